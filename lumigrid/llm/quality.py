@@ -25,7 +25,7 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 @dataclass(frozen=True)
 class QualityRules:
     buckets: int = 4096
-    min_score: float = -0.35
+    min_score: float = -0.2
     min_words: int = 10
     max_repeat_percent: int = 20
     window: int = 5

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, urlfilter
+from . import licenses, neardup, quality, urlfilter
 
 QUERIES = {
     "op6_licenses": licenses.op6_licenses,
     "op7_quality": quality.op7_quality,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_url_filter": urlfilter.op9_url_filter,
 }
 
