@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, neardup, quality, urlfilter
+from . import licenses, neardup, quality, urlfilter, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op6_licenses": licenses.op6_licenses,
     "op7_quality": quality.op7_quality,
     "op8_near_duplicates": neardup.op8_near_duplicates,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc": warc.SQL,
     "op9_url_filter": urlfilter.SQL,
 }
