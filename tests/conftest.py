@@ -18,4 +18,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    from lumigrid.session import ready
+
+    return ready(session)
