@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, neardup, quality, urlfilter, warc
+from . import decontam, licenses, neardup, pieces, quality, urlfilter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op4_decontamination": decontam.op4_decontamination,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_licenses": licenses.op6_licenses,
     "op7_quality": quality.op7_quality,
     "op8_near_duplicates": neardup.op8_near_duplicates,
