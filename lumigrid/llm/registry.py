@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, neardup, pieces, quality, urlfilter, warc
+from . import decontam, licenses, linededup, neardup, pieces, quality, urlfilter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_url_filter": urlfilter.op9_url_filter,
+    "op10_line_dedup": linededup.op10_line_dedup,
 }
 
 ORACLES = {
