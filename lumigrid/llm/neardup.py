@@ -11,7 +11,7 @@ truncated minimum. Registers of a union are the element-wise maximum.
 3. In each bucket the nodes are ranked by how crowded their buckets are, so the
    text a family was copied from comes first. The first node is paired with
    the others; what stays in different components is then paired with the next
-   nodes in rank, in doubling steps, until each bucket is settled. Only pairs
+   nodes in rank, in growing steps, until each bucket is settled. Only pairs
    across components are made, so a family costs as many pairs as it has
    members, and no link between components is left untried.
 4. A pair's similarity is estimated from the two sketches jointly, by maximum
@@ -52,6 +52,8 @@ class NearDup:
     limit: int = 120
     #: pairs are verified if their estimate is at most this far below the threshold
     margin: float = 0.17
+    #: growth of the ranks that are paired in one round
+    step: int = 8
 
     @property
     def bands(self) -> int:
@@ -323,7 +325,7 @@ def _linked(shared: DataFrame, nodes: DataFrame, texts: DataFrame, p: NearDup) -
         if active.isEmpty():
             return labels
         ranked = active.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("pull"), "node")))
-        high = 2 * low if tried > 1 else 2
+        high = p.step * low
         one = ranked.where(f"rank > {low} and rank <= {high}").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("rank").alias("rx"))
         cross = ranked.join(one, "key").where("rank > rx and comp <> cx")
         pairs = cross.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()

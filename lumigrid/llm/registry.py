@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, linededup, lm, neardup, pieces, quality, urlfilter, warc
+from . import decontam, langid, licenses, linededup, lm, neardup, pieces, quality, urlfilter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_lm_score": lm.op2_lm_score,
+    "op3_language_id": langid.op3_language_id,
     "op4_decontamination": decontam.op4_decontamination,
     "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_licenses": licenses.op6_licenses,
