@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .store import cut, drop_table
+from .store import cut, cut_counting, drop_table
 
 U = np.uint64
 
@@ -230,8 +230,7 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, labels.node == near.a).select("node", "comp", F.least("comp", "near").alias("new"))
         up = labels.select(F.col("node").alias("up_node"), F.col("comp").alias("up"))
         step = step.join(up, step.new == up.up_node, "left").select("node", "comp", F.least("new", F.coalesce("up", "new")).alias("new"))
-        step = cut(step, "labels")
-        changed = not step.where("new <> comp").isEmpty()
+        step, changed = cut_counting(step, "labels", F.col("new") != F.col("comp"))
         drop_table(labels)
         labels = step.select("node", F.col("new").alias("comp"))
         if not changed:
@@ -303,33 +302,30 @@ def _linked(shared: DataFrame, nodes: DataFrame, texts: DataFrame, p: NearDup) -
     spark = shared.sparkSession
     crowding = shared.groupBy("node").agg(F.sum("crowd").alias("pull"))
     active = shared.join(crowding, "node").select("key", "node", "pull")
-    edges = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, comp long")
     # first every bucket's most central node, found without ordering the bucket
     heads = active.groupBy("key").agg(F.max(F.struct("pull", F.negative("node").alias("m"))).alias("h"))
     star = active.join(heads.select("key", F.negative("h.m").alias("head")), "key").where("node <> head")
     pairs = star.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-    low, tried = 1, 1
+    low = 1
     while True:
-        pairs = cut(pairs, "pairs")
-        fresh = cut(_verified(cut(_likely(pairs, nodes, p), "likely"), texts, p), "edges")
-        edges = cut(edges.union(fresh).union(labels.select("node", "comp").where("node <> comp")), "edges")
-        labels = components(edges)
-        edges = labels.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
-        if tried == 1:
-            drop_table(pairs)
-        # buckets that still hold several components
+        likely, n_likely = cut_counting(_likely(pairs, nodes, p), "likely")
+        if n_likely:
+            fresh = _verified(likely, texts, p)
+            edges, n_edges = cut_counting(fresh.union(labels.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))), "edges")
+            labels = components(edges) if n_edges else labels
+        # buckets that still hold several components, and nodes that no round has paired
         marked = active.join(labels, "node", "left").select("key", "node", "pull", F.coalesce("comp", "node").alias("comp"))
         open_keys = marked.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where(f"x <> y and n > {low + 1}")
-        active = cut(marked.join(open_keys.select("key"), "key", "left_semi"), "active")
-        if active.isEmpty():
+        active, n_active = cut_counting(marked.join(open_keys.select("key"), "key", "left_semi"), "active")
+        if not n_active:
             return labels
         ranked = active.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("pull"), "node")))
         high = p.step * low
         one = ranked.where(f"rank > {low} and rank <= {high}").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("rank").alias("rx"))
         cross = ranked.join(one, "key").where("rank > rx and comp <> cx")
         pairs = cross.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-        low, tried = high, tried + 1
+        low = high
         active = active.select("key", "node", "pull")
 
 

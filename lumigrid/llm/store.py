@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counting(df: DataFrame, name: str, what: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut``, and how many rows (that satisfy ``what``) were written, counted on the way."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1) if what is None else F.when(what, 1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files that a ``cut`` table was read from."""
     spark = df.sparkSession
