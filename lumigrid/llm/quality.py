@@ -103,18 +103,19 @@ def _with_base(docs: DataFrame, rules: QualityRules) -> DataFrame:
 
 
 def judge(docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """Every column of ``docs`` (doc_id, text and others that do not clash) with
+    """Every column of ``docs`` (those named as an added one are replaced) with
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     score (mean log ratio) and kept."""
     weights = log_ratios(feature_counts(docs, trusted, rules), rules)
     table = F.array(*map(F.lit, weights))
-    keep = list(docs.columns)
-    out = _with_base(_hashed(docs), rules)
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).alias("row")
+    out = _with_base(_hashed(docs.select(others, "text")), rules)
     out = out.withColumn("features", F.transform(_features(), lambda f: F.pmod(f, F.lit(rules.buckets)).cast("int")))
     total = F.aggregate("features", F.lit(0.0), lambda s, b: s + F.get(table, b))
     out = out.withColumn("score", F.when(F.size("features") > 0, total / F.size("features")).otherwise(0.0))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    return out.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", (~failed & (F.col("score") >= rules.min_score)).alias("kept"))
+    return out.select("row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", (~failed & (F.col("score") >= rules.min_score)).alias("kept"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
