@@ -29,6 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import text as T
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ENCODED = "ids array<int>, n_tokens long, n_bytes long, score double"
@@ -38,7 +40,7 @@ ENCODED = "ids array<int>, n_tokens long, n_bytes long, score double"
 class Settings:
     model: str = MODEL
     unknown_gap: float = 10.0
-    cached_runs: int = 200_000
+    cached_runs: int = 600_000
 
 
 def _fields(data: bytes):
@@ -152,7 +154,9 @@ class Model:
         if len(self.bytes) < 256 or bad:
             raise ValueError("the model needs byte pieces, and markers only in front")
         trie = DoubleArray([self.pieces[i].encode() for i in usable], usable)
-        self.base, self.check = trie.base, trie.check
+        # a state's child may be sought up to 256 places on
+        self.base, self.check = np.append(trie.base, np.zeros(300, np.int32)), np.append(trie.check, np.full(300, -1, np.int32))
+        self.score_array = np.array(scores)
 
 
 RUN = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
@@ -163,7 +167,7 @@ class Encoder:
 
     def __init__(self, model: Model):
         self.model, self.base, self.check = model, model.base.tolist(), model.check.tolist()
-        self.known: dict[str, tuple] = {}
+        self._forget()
 
     def run(self, run: str) -> tuple[tuple[int, ...], int, float]:
         """ids, how many of them are bytes, and the log score of one run."""
@@ -211,27 +215,127 @@ class Encoder:
         return tuple(reversed(out)), n_bytes, best[n]
 
     def encode(self, text: str) -> tuple[list[int], int, float]:
-        ids: list[int] = []
-        n_bytes, score, known = 0, 0.0, self.known
-        if not text:
-            return ids, 0, 0.0
+        """One text; see ``encode_all``."""
+        ids, sizes, n_bytes, score = self.encode_all([text])
+        return ids.tolist(), int(n_bytes[0]), float(score[0])
+
+    def encode_all(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and per text its number of ids, of bytes among them, and log score."""
+        if len(self.index) > self.model.settings.cached_runs:
+            self._forget()
+        runs, ends = [], []
+        for text in texts:
+            if text:
+                own = RUN.findall(MARK + text.replace(" ", MARK)) if MARK not in text else self._literal(text)
+                runs += own
+            ends.append(len(runs))
+        self._learn({r for r in runs if r not in self.index})
+        at = np.fromiter(map(self.index.__getitem__, runs), np.int64, len(runs))
+        counts = self.counts[at]
+        first = np.cumsum(counts) - counts
+        ids = self.flat[np.repeat(self.starts[at] - first, counts) + np.arange(counts.sum())]
+        bounds = np.array([0, *ends])
+        total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[bounds])
+        # scores are summed text by text: a running sum over all would lose digits
+        scores = self.scores[at]
+        score = np.array([scores[a:b].sum() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+        return ids, total(counts), total(self.n_bytes[at]), score
+
+    def _literal(self, text: str) -> list:
+        """Runs of a text that holds markers of its own: those are bytes, not blanks."""
+        out = []
         for k, part in enumerate(text.split(MARK)):
-            if k:  # a marker in the text is not a blank
-                ids += [self.model.bytes[b] for b in MARK.encode()]
-                n_bytes, score = n_bytes + 3, score + self.model.unknown
-            marked = part.replace(" ", MARK) if k else MARK + part.replace(" ", MARK)
-            for run in RUN.findall(marked):
-                own = known.get(run)
-                if own is None:
-                    own = self.run(run)
-                    if len(run) < 64:
-                        if len(known) >= self.model.settings.cached_runs:
-                            known.clear()
-                        known[run] = own
-                ids += own[0]
-                n_bytes += own[1]
-                score += own[2]
-        return ids, n_bytes, score
+            if k:
+                out.append(None)
+            out += RUN.findall(part.replace(" ", MARK) if k else MARK + part.replace(" ", MARK))
+        return out
+
+    def _forget(self) -> None:
+        self.index: dict = {}
+        self.flat, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.n_bytes, self.scores = np.zeros(0, np.int64), np.zeros(0)
+
+    def _learn(self, runs: set) -> None:
+        """Solve runs that are new and keep them."""
+        if not runs:
+            return
+        keys = sorted(runs, key=lambda r: (-1 if r is None else len(r), r or ""))
+        raw = [None if r is None else r.encode() for r in keys]
+        done = [None] * len(keys)
+        short = [i for i, r in enumerate(raw) if r is not None and len(r) <= 48]
+        for lo in range(0, len(short), 1 << 14):
+            part = short[lo : lo + (1 << 14)]
+            for i, own in zip(part, self.solve([raw[i] for i in part]), strict=True):
+                done[i] = own
+        for i, r in enumerate(keys):
+            if r is None:
+                done[i] = (tuple(self.model.bytes[b] for b in MARK.encode()), 3, self.model.unknown)
+            elif done[i] is None:
+                done[i] = self.run(r)
+        counts = np.array([len(d[0]) for d in done], np.int64)
+        starts = len(self.flat) + np.cumsum(counts) - counts
+        for i, r in enumerate(keys):
+            self.index[r] = len(self.starts) + i
+        self.flat = np.concatenate([self.flat, np.array([x for d in done for x in d[0]], np.int32)])
+        self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
+        self.n_bytes = np.concatenate([self.n_bytes, np.array([d[1] for d in done], np.int64)])
+        self.scores = np.concatenate([self.scores, np.array([d[2] for d in done])])
+
+    def solve(self, runs: list[bytes]) -> list[tuple[tuple[int, ...], int, float]]:
+        """``run`` for many short runs at once, a lane each."""
+        n, length = len(runs), np.array([len(r) for r in runs])
+        width = int(length.max())
+        data = np.zeros((n, width), np.uint8)
+        data[np.arange(width)[None, :] < length[:, None]] = np.frombuffer(b"".join(runs), np.uint8)
+        size = np.where(data < 0x80, 1, np.where(data < 0xC0, 0, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4))))
+        base, check, scores = self.model.base, self.model.check, self.model.score_array
+        best = np.full((n, width + 1), -np.inf)
+        came, piece = np.zeros((n, width + 1), np.int16), np.full((n, width + 1), -1, np.int32)
+        best[:, 0] = 0
+        whole = np.zeros(n, bool)
+        for at in range(width):
+            lanes = np.flatnonzero((length > at) & (size[:, at] > 0))
+            whole[lanes] = False
+            live, state, here = lanes, np.zeros(len(lanes), np.int64), best[lanes, at]
+            for to in range(at + 1, width + 1):
+                child = base[state] + data[live, to - 1] + 1
+                ok = (check[child] == state) & (length[live] >= to)
+                live, state, here = live[ok], child[ok], here[ok]
+                if not len(live):
+                    break
+                end = base[state]
+                final = np.flatnonzero((check[end] == state) & (base[end] < 0))
+                if not len(final):
+                    continue
+                own, i = live[final], -1 - base[end[final]]
+                score = here[final] + scores[i]
+                better = score > best[own, to]
+                up = own[better]
+                best[up, to], came[up, to], piece[up, to] = score[better], at, i[better]
+                whole[own[size[own, at] == to - at]] = True
+            rest = lanes[~whole[lanes]]
+            if len(rest):
+                to = at + size[rest, at]
+                score = best[rest, at] + self.model.unknown
+                better = score > best[rest, to]
+                rest, to = rest[better], to[better]
+                best[rest, to], came[rest, to], piece[rest, to] = score[better], at, -1
+        out, all_came, all_piece = [], came.tolist(), piece.tolist()
+        for k, to in enumerate(length.tolist()):
+            ids, n_bytes, total = [], 0, float(best[k, to])
+            own_came, own_piece = all_came[k], all_piece[k]
+            while to:
+                i, start = own_piece[to], own_came[to]
+                if i >= 0:
+                    ids.append(i)
+                else:
+                    own = [self.model.bytes[b] for b in runs[k][start:to]]
+                    ids += reversed(own)
+                    n_bytes += len(own)
+                to = start
+            ids.reverse()
+            out.append((tuple(ids), n_bytes, total))
+        return out
 
 
 class Decoder:
@@ -259,33 +363,22 @@ def encode(docs: DataFrame, settings: Settings = Settings(), column: str = "text
 
     def run(batches):
         encoder, decoder = Encoder(model.value), Decoder(model.value)
-        for batch in batches:
-            column_at = batch.schema.get_field_index(column)
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                texts = rows.column(column_at).to_pylist()
-                done = [encoder.encode(t) if t is not None else None for t in texts]
-                ids = [np.array(d[0], np.int32) if d else None for d in done]
-                new = [
-                    _lists(ids), pa.array([len(d[0]) if d else 0 for d in done], pa.int64()),
-                    pa.array([d[1] if d else 0 for d in done], pa.int64()), pa.array([d[2] if d else 0.0 for d in done], pa.float64()),
-                ]
-                if check:
-                    new.append(pa.array([zlib.crc32(i.astype("<i4").tobytes()) if i is not None else None for i in ids], pa.int64()))
-                    new.append(pa.array([decoder.decode(d[0]) == t if d else None for d, t in zip(done, texts, strict=True)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays([*rows.columns, *new], names=schema.names)
+        for rows, _, _ in T.pieces(batches, column, 1 << 20):
+            texts = rows.column(rows.schema.get_field_index(column)).to_pylist()
+            ids, sizes, n_bytes, score = encoder.encode_all(texts)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            null = np.array([t is None for t in texts])
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array(null))
+            new = [lists, pa.array(sizes), pa.array(n_bytes), pa.array(score)]
+            if check:
+                each = [None if z else ids[a:b] for z, a, b in zip(null, offsets[:-1], offsets[1:], strict=True)]
+                new.append(pa.array([None if i is None else zlib.crc32(i.astype("<i4").tobytes()) for i in each], pa.int64()))
+                new.append(pa.array([None if i is None else decoder.decode(i.tolist()) == t for i, t in zip(each, texts, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, *new], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _lists(arrays: list) -> pa.ListArray:
-    lengths = [0 if a is None else len(a) for a in arrays]
-    flat = np.concatenate([a for a in arrays if a is not None] or [np.zeros(0, np.int32)])
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    mask = pa.array([a is None for a in arrays])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=mask)
-
-
 def decode(encoded: DataFrame, settings: Settings = Settings(), column: str = "ids", into: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids."""
     from pyspark.sql.types import StringType, StructField, StructType

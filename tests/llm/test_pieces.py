@@ -38,6 +38,9 @@ def test_best_score_and_round_trip(model):
     for text in TEXTS + more:
         ids, _, score = encoder.encode(text)
         assert decoder.decode(ids) == text
+        if pieces.MARK not in text:
+            alone = [encoder.run(r) for r in pieces.RUN.findall(pieces.MARK + text.replace(" ", pieces.MARK))] if text else []
+            assert [i for a in alone for i in a[0]] == ids
         if pieces.MARK not in text:
             assert score == pytest.approx(brute(model, pieces.MARK + text.replace(" ", pieces.MARK)), abs=1e-9)
 
