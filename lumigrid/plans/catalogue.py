@@ -1,4 +1,384 @@
 """Named queries over the test tables, with the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import cfa, pointwise
+from ..operators import demosaic, exposure, luma, roi
+from ..operators import metadata as M
+from ..schema import GRAY, PATTERNS, RGB, bayer, construction_error, cspace_text, custom
+from ..sources import fits, imageio, serde
+from . import fixtures as X
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# properties and construction
+
+
+@query(f"""SELECT image_id, 8 AS width, 8 AS height, 1 AS channels, any_value(pattern) AS color_space, 'u8' AS pixel_type, CAST(64 AS BIGINT) AS len, false AS is_empty FROM ({X.BAYER8}) GROUP BY image_id
+UNION ALL SELECT image_id, 4, 4, 3, 'RGB', 'u8', CAST(48 AS BIGINT), false FROM ({X.RGB8}) GROUP BY image_id""")
+def image_props(spark, d):
+    one = X._read(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"))
+    pattern = F.expr(X.PATTERN_OF.format(id="image_id"))
+    mosaic = one.select("image_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("channels"), F.struct(F.lit("bayer").alias("kind"), pattern.alias("pattern"), F.lit(1).cast("smallint").alias("channels"), F.lit(None).cast("string").alias("name")).alias("cspace"))
+    rgb = one.select("image_id", F.lit(4).alias("width"), F.lit(4).alias("height"), F.lit(3).alias("channels"), RGB.column().alias("cspace"))
+    size = F.col("width").cast("bigint") * F.col("height") * F.col("channels")
+    return mosaic.unionByName(rgb).select("image_id", "width", "height", "channels", cspace_text(F.col("cspace")).alias("color_space"), F.lit("u8").alias("pixel_type"), size.alias("len"), (size == 0).alias("is_empty"))
+
+
+@query("""SELECT image_id, CASE WHEN w > 65535 OR h > 65535 THEN 'Image too large.' WHEN n = 0 THEN 'Data is empty' WHEN w = 0 THEN 'Width is zero' WHEN h = 0 THEN 'Height is zero' WHEN w * h > n THEN 'Not enough data for image.' END AS error
+FROM (SELECT vec_id AS image_id, CASE vec_id % 6 WHEN 0 THEN 65536 WHEN 2 THEN 0 ELSE 8 END AS w, CASE vec_id % 6 WHEN 3 THEN 0 WHEN 4 THEN 9 ELSE 8 END AS h, CASE vec_id % 6 WHEN 1 THEN 0 ELSE len(embedding) END AS n FROM embeddings)""")
+def validate_images(spark, d):
+    e = X._read(spark, d, "embeddings").selectExpr("vec_id AS image_id", "CASE vec_id % 6 WHEN 0 THEN 65536 WHEN 2 THEN 0 ELSE 8 END AS w", "CASE vec_id % 6 WHEN 3 THEN 0 WHEN 4 THEN 9 ELSE 8 END AS h", "CASE vec_id % 6 WHEN 1 THEN 0 ELSE size(embedding) END AS n")
+    return e.select("image_id", construction_error(F.col("w"), F.col("h"), F.lit(1), F.col("n")).alias("error"))
+
+
+@query(f"SELECT image_id, y, x, v FROM ({X.BAYER8})")
+def raw_pixels(spark, d):
+    return X.bayer8(spark, d).select("image_id", "y", "x", "v")
+
+
+@query(f"SELECT image_id, CASE WHEN pixel_type = 'u8' THEN v END AS v_u8, pixel_type FROM (SELECT image_id, v, 'u8' AS pixel_type FROM ({X.BAYER8}) UNION ALL SELECT image_id, v, 'u16' FROM ({X.BAYER16}))")
+def typed_view(spark, d):
+    both = X.bayer8(spark, d).select("image_id", "v", F.lit("u8").alias("pixel_type")).unionByName(X.bayer16(spark, d).select("image_id", "v", F.lit("u16").alias("pixel_type")))
+    return both.select("image_id", F.when(F.col("pixel_type") == "u8", F.col("v")).alias("v_u8"), "pixel_type")
+
+
+@query(f"SELECT image_id, count(*) AS n FROM ({X.BAYER8}) GROUP BY image_id")
+def dyn_filter_u8(spark, d):
+    both = X.bayer8(spark, d).select("image_id", F.lit("u8").alias("pixel_type")).unionByName(X.bayer16(spark, d).select("image_id", F.lit("u16").alias("pixel_type")))
+    return both.where("pixel_type = 'u8'").groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT kind, pattern, kind = 'bayer' AS is_bayer FROM (VALUES ('gray', NULL), ('rgb', NULL), ('custom', NULL), ('bayer', 'BGGR'), ('bayer', 'GBRG'), ('bayer', 'GRBG'), ('bayer', 'RGGB')) t(kind, pattern)")
+def color_spaces(spark, d):
+    spaces = [GRAY, RGB, custom(2, "ir"), *map(bayer, PATTERNS)]
+    return spark.createDataFrame([(s.kind, s.pattern, s.is_bayer) for s in spaces], "kind string, pattern string, is_bayer boolean")
+
+
+# points
+
+
+@query(f"SELECT image_id, y, x, CAST((v + 128) // 257 AS INTEGER) AS v FROM ({X.BAYER16})")
+def cast_u8_u16(spark, d):
+    return X.bayer16(spark, d).select("image_id", "y", "x", pointwise.cast_u8(F.col("v"), "u16").alias("v"))
+
+
+@query(f"SELECT image_id, y, x, CAST(v // 257 AS INTEGER) AS v FROM ({X.BAYER16})")
+def floor_u8_u16(spark, d):
+    return X.bayer16(spark, d).select("image_id", "y", "x", pointwise.floor_u8(F.col("v"), "u16").alias("v"))
+
+
+def _f32_sql(add: str) -> str:
+    return f"SELECT image_id, y, x, CAST(least(255.0::DOUBLE, greatest(0.0::DOUBLE, floor(CAST(v * 255.0::FLOAT AS DOUBLE) + {add}::DOUBLE))) AS INTEGER) AS v FROM ({X.GRAY32})"
+
+
+@query(_f32_sql("0.5"))
+def cast_u8_f32(spark, d):
+    return X.gray32(spark, d).select("image_id", "y", "x", pointwise.cast_u8(F.col("v"), "f32").alias("v"))
+
+
+@query(_f32_sql("0.0"))
+def floor_u8_f32(spark, d):
+    return X.gray32(spark, d).select("image_id", "y", "x", pointwise.floor_u8(F.col("v"), "f32").alias("v"))
+
+
+def _luma_sql(source: str, weights=pointwise.LUMA, high: int = 255) -> str:
+    total = " + ".join(f"CAST(v{k} AS DOUBLE) * {w!r}::DOUBLE" for k, w in enumerate(weights))
+    each = ", ".join(f"max(CASE WHEN c = {k} THEN v END) AS v{k}" for k in range(3))
+    return f"SELECT image_id, y, x, CAST(trunc(least({high}.0::DOUBLE, {total})) AS INTEGER) AS v FROM (SELECT image_id, y, x, {each} FROM ({source}) GROUP BY ALL)"
+
+
+@query(_luma_sql(X.RGB8))
+def luma_rgb(spark, d):
+    return luma.to_luma(X.rgb8(spark, d)).drop("c")
+
+
+@query(_luma_sql(X.RGB8, (0.2126, 0.7152, 0.3)))
+def luma_custom_rgb(spark, d):
+    return luma.to_luma(X.rgb8(spark, d), weights=(0.2126, 0.7152, 0.3)).drop("c")
+
+
+@query(f"SELECT image_id, sum(v) / 16.0::DOUBLE AS mean_luma FROM ({_luma_sql(X.RGB8)}) GROUP BY image_id")
+def luma_mean_per_image(spark, d):
+    return luma.to_luma(X.rgb8(spark, d)).groupBy("image_id").agg((F.sum("v") / 16.0).alias("mean_luma"))
+
+
+# demosaicing
+
+
+def debayer_sql(source: str, method: str, high: int = 255) -> str:
+    """Neighbours by joins on reflected coordinates."""
+    refl = lambda at, by, n: f"CASE WHEN abs({at} + {by}) > {n} - 1 THEN 2 * ({n} - 1) - abs({at} + {by}) ELSE abs({at} + {by}) END"
+    used: dict[tuple, str] = {}
+
+    def near(dy, dx):
+        return used.setdefault((dy, dx), f"n{len(used)}") + ".v"
+
+    mean = lambda taps: f"(({' + '.join(near(*t) for t in taps)}) // {len(taps)})"
+
+    def quotient(top, below):
+        x = f"trunc(({top}) / {below}.0::DOUBLE)"
+        return f"CASE WHEN {x} < 0 OR {x} > {high} THEN {high} ELSE {x} END"
+
+    D = demosaic
+    if method == "none":
+        cross = diagonal = beside = above = "0"
+    elif method == "nearest":
+        cross, diagonal, beside, above = near(0, -1), near(-1, -1), near(0, -1), near(-1, 0)
+    elif method == "linear":
+        cross, diagonal, beside, above = mean(D.ACROSS + D.ALONG), mean(D.CORNERS), mean(D.ACROSS), mean(D.ALONG)
+    else:
+        cross = quotient(f"324 * {mean(D.ACROSS + D.ALONG)} + 4 * {mean(D.FAR_AXES)} - 72 * {mean(D.KNIGHTS)}", 256)
+        diagonal = quotient(f"324 * {mean(D.CORNERS)} + 4 * {mean(D.FAR_CORNERS)} - 72 * {mean(D.WIDE_KNIGHTS)}", 256)
+        beside = quotient(f"18 * {mean(D.ACROSS)} - 2 * {mean([(0, -3), (0, 3)])}", 16)
+        above = quotient(f"18 * {mean(D.ALONG)} - 2 * {mean([(-3, 0), (3, 0)])}", 16)
+    joins = " ".join(f"JOIN px {n} ON {n}.image_id = s.image_id AND {n}.y = {refl('s.y', dy, 's.h')} AND {n}.x = {refl('s.x', dx, 's.w')}" for (dy, dx), n in used.items())
+    letter = lambda y, x: f"substr(s.pattern, CAST(1 + ({y} % 2) * 2 + ({x}) % 2 AS BIGINT), 1)"
+    own, side = letter("s.y", "s.x"), letter("s.y", "s.x + 1")
+    value = f"CASE WHEN t.l = {own} THEN s.v WHEN t.l = 'G' THEN {cross} WHEN {own} <> 'G' THEN {diagonal} WHEN t.l = {side} THEN {beside} ELSE {above} END"
+    return f"WITH px AS ({source}) SELECT s.image_id, s.y, s.x, t.c, CAST({value} AS INTEGER) AS v FROM px s CROSS JOIN (VALUES (0, 'R'), (1, 'G'), (2, 'B')) t(c, l) {joins}"
+
+
+def _debayer(name: str, source, sql: str, method: str, kind: str, high: int):
+    def run(spark, d):
+        return demosaic.debayer(source(spark, d), method, kind)
+
+    run.__name__ = name
+    query(debayer_sql(sql, method, high))(run)
+
+
+for _m in demosaic.METHODS:
+    _debayer(f"debayer_{_m}", X.bayer8, X.BAYER8, _m, "u8", 255)
+for _m in ("nearest", "linear", "cubic"):
+    _debayer(f"debayer_{_m}_u16", X.bayer16, X.BAYER16, _m, "u16", 65535)
+_debayer("debayer_linear_frame", X.frame16, X.FRAME16, "linear", "u16", 65535)
+_debayer("debayer_cubic_frame", X.frame16, X.FRAME16, "cubic", "u16", 65535)
+
+
+@query(_luma_sql(f"({debayer_sql(X.BAYER8, 'linear')})"))
+def debayer_then_luma(spark, d):
+    return luma.to_luma(demosaic.debayer(X.bayer8(spark, d), "linear")).drop("c")
+
+
+_GRID = "SELECT p AS pattern, x, y FROM (VALUES ('BGGR'), ('GBRG'), ('GRBG'), ('RGGB')) a(p) CROSS JOIN (VALUES (0), (1), (2), (3)) b(x) CROSS JOIN (VALUES (0), (1), (2), (3)) c(y)"
+_HF, _VF = "substr({p}, 2, 1) || substr({p}, 1, 1) || substr({p}, 4, 1) || substr({p}, 3, 1)", "substr({p}, 3, 2) || substr({p}, 1, 2)"
+
+
+@query(f"SELECT pattern, x, y, CASE WHEN y % 2 = 1 THEN {_HF.format(p='r')} ELSE r END AS shifted FROM (SELECT pattern, x, y, CASE WHEN x % 2 = 1 THEN {_VF.format(p='pattern')} ELSE pattern END AS r FROM ({_GRID}))")
+def bayer_shift(spark, d):
+    grid = spark.createDataFrame([(p, x, y) for p in PATTERNS for x in range(4) for y in range(4)], "pattern string, x int, y int")
+    return grid.select("pattern", "x", "y", cfa.bayer_shift_col(F.col("pattern"), F.col("x"), F.col("y")).alias("shifted"))
+
+
+@query(f"SELECT DISTINCT pattern, {_HF.format(p='pattern')} AS horizontal, {_VF.format(p='pattern')} AS vertical FROM ({_GRID})")
+def bayer_flip(spark, d):
+    p = F.col("pattern")
+    return spark.createDataFrame([(p_,) for p_ in PATTERNS], "pattern string").select(p, cfa.flip_horizontal_col(p).alias("horizontal"), cfa.flip_vertical_col(p).alias("vertical"))
+
+
+# regions
+
+
+def _roi_sql(source: str, x: int, y: int, w: int, h: int, channels: int) -> str:
+    return f"""WITH px AS ({source}), ids AS (SELECT DISTINCT image_id FROM px)
+SELECT i.image_id, CAST(gy.y AS INTEGER) AS y, CAST(gx.x AS INTEGER) AS x, CAST(gc.c AS INTEGER) AS c, CAST(coalesce(px.v, 0) AS INTEGER) AS v FROM ids i
+CROSS JOIN range({h}) gy(y) CROSS JOIN range({w}) gx(x) CROSS JOIN range({channels}) gc(c)
+LEFT JOIN px ON px.image_id = i.image_id AND px.y = gy.y + {y} AND px.x = gx.x + {x} AND px.c = gc.c"""
+
+
+_B8C = f"SELECT image_id, y, x, 0 AS c, v FROM ({X.BAYER8})"
+
+
+@query(_roi_sql(_B8C, 2, 1, 4, 5, 1))
+def select_roi_inside(spark, d):
+    px = X.bayer8(spark, d).select("image_id", "y", "x", "c", "v")
+    return roi.select_roi(px, X.dims(px, 8, 8, 1), 2, 1, 4, 5)
+
+
+@query(_roi_sql(_B8C, 5, 6, 6, 4, 1))
+def select_roi_clipped(spark, d):
+    px = X.bayer8(spark, d).select("image_id", "y", "x", "c", "v")
+    return roi.select_roi(px, X.dims(px, 8, 8, 1), 5, 6, 6, 4)
+
+
+@query(_roi_sql(X.RGB8, 1, 2, 3, 3, 3))
+def select_roi_rgb(spark, d):
+    px = X.rgb8(spark, d)
+    return roi.select_roi(px, X.dims(px, 4, 4, 3), 1, 2, 3, 3)
+
+
+@query(_roi_sql(_B8C, 9, 0, 3, 3, 1))
+def copy_roi_no_overlap(spark, d):
+    px = X.bayer8(spark, d).select("image_id", "y", "x", "c", "v")
+    return roi.copy_to(px, X.dims(px, 8, 8, 1), 3, 3, 9, 0)
+
+
+@query(_roi_sql(_B8C, 3, 4, 10, 6, 1))
+def copy_roi(spark, d):
+    px = X.bayer8(spark, d).select("image_id", "y", "x", "c", "v")
+    return roi.copy_to(px, X.dims(px, 8, 8, 1), 10, 6, 3, 4)
+
+
+@query(f"SELECT image_id, y, x, CAST((v + 128) // 257 AS INTEGER) AS v FROM ({_roi_sql(f'SELECT image_id, y, x, 0 AS c, v FROM ({X.BAYER16})', 2, 2, 4, 4, 1)})")
+def crop_preview(spark, d):
+    px = X.bayer16(spark, d).select("image_id", "y", "x", "c", "v")
+    return roi.select_roi(px, X.dims(px, 8, 8, 1), 2, 2, 4, 4).select("image_id", "y", "x", pointwise.cast_u8(F.col("v"), "u16").alias("v"))
+
+
+# exposure
+
+
+def _exposure_sql(source: str, key: str, cfg: exposure.OptimumExposure, ns: int, bin_: int) -> str:
+    import numpy as np
+
+    tgt, unc = np.float32(cfg.pixel_tgt) * np.float32(65535), np.float32(cfg.pixel_uncertainty) * np.float32(65535)
+    e, b = "w", f"CAST({bin_} AS INTEGER)"
+    most = max(1, cfg.max_allowed_bin)
+    sel = f"SELECT {key}, n, value, CAST(round_even(abs({float(tgt)!r}::DOUBLE * {float(ns // 1000)!r}::DOUBLE * 0.000001::DOUBLE / CAST(CASE WHEN f <= 0.00001::FLOAT THEN 0.00001::FLOAT ELSE f END AS DOUBLE)) * 1000000000.0::DOUBLE, 0) AS BIGINT) AS w, abs({float(tgt)!r}::FLOAT - f) < {float(unc)!r}::FLOAT AS fine FROM chosen"
+    sql = f"SELECT {key}, n, value, fine, w, {e} AS e, {b} AS b FROM ({sel})"
+    if most > 1:
+        for _ in range(6):
+            sql = f"SELECT {key}, n, value, fine, w, CASE WHEN w < {cfg.max_allowed_exp} THEN (CASE WHEN e < {cfg.max_allowed_exp} AND b > 2 THEN e * 4 ELSE e END) ELSE (CASE WHEN e > {cfg.max_allowed_exp} AND b * 2 <= {most} THEN e // 4 ELSE e END) END AS e, CASE WHEN w < {cfg.max_allowed_exp} THEN (CASE WHEN e < {cfg.max_allowed_exp} AND b > 2 THEN b // 2 ELSE b END) ELSE (CASE WHEN e > {cfg.max_allowed_exp} AND b * 2 <= {most} THEN b * 2 ELSE b END) END AS b FROM ({sql})"
+    return f"""WITH px AS ({source}), r AS (SELECT {key}, v, row_number() OVER (PARTITION BY {key} ORDER BY v) - 1 AS rn, count(*) OVER (PARTITION BY {key}) AS n FROM px),
+at AS (SELECT *, CAST(floor(CAST({float(np.float32(cfg.percentile_pix))!r} AS FLOAT) * CAST(n - 1 AS FLOAT)) AS BIGINT) AS c0 FROM r),
+chosen AS (SELECT {key}, n, v AS value, CAST(v AS FLOAT) AS f FROM at WHERE rn = CASE WHEN c0 < {cfg.pixel_exclusion} THEN n - 1 - {cfg.pixel_exclusion} ELSE c0 END)
+SELECT {key}, n, value, CAST(CASE WHEN fine THEN {ns} ELSE least({cfg.max_allowed_exp}, greatest({cfg.min_allowed_exp}, e)) END AS BIGINT) AS exposure_ns, CAST(CASE WHEN fine THEN {bin_} ELSE least({most}, greatest(1, b)) END AS INTEGER) AS bin FROM ({sql})"""
+
+
+PLAIN = exposure.OptimumExposure(pixel_exclusion=5)
+BINNED = exposure.OptimumExposure(pixel_exclusion=5, percentile_pix=0.5, max_allowed_bin=8, max_allowed_exp=2_000_000_000)
+
+
+@query(_exposure_sql(X.USER_VALUES, "user_id", PLAIN, 500_000_000, 1))
+def opt_exposure(spark, d):
+    return exposure.optimum_exposure(X.user_values(spark, d), F.lit(500_000_000), F.lit(1), "u16", PLAIN, "user_id")
+
+
+@query(_exposure_sql(X.USER_VALUES, "user_id", BINNED, 1_500_000_000, 4))
+def opt_exposure_binning(spark, d):
+    return exposure.optimum_exposure(X.user_values(spark, d), F.lit(1_500_000_000), F.lit(4), "u16", BINNED, "user_id")
+
+
+@query(_exposure_sql(f"SELECT image_id, v FROM ({X.FRAME16})", "image_id", BINNED, 40_000_000, 8))
+def opt_exposure_frame(spark, d):
+    return exposure.optimum_exposure(X.frame16(spark, d), F.lit(40_000_000), F.lit(8), "u16", BINNED)
+
+
+# metadata
+
+_KEYS = """SELECT image_id, 'TIMESTAMP' AS key, 'systemtime' AS kind, CAST(NULL AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS f, CAST(NULL AS VARCHAR) AS s, us * 1000 AS ns, 'Timestamp of the image' AS comment FROM ({e})
+UNION ALL SELECT image_id, 'EXPOSURE', 'duration', NULL, NULL, NULL, CAST(floor(value * 1000000.0::DOUBLE) AS BIGINT), 'Exposure time' FROM ({e})
+UNION ALL SELECT image_id, 'CAMERA', 'string', NULL, NULL, 'CAM-' || user_id, NULL, NULL FROM ({e})
+UNION ALL SELECT image_id, 'GAIN', 'u8', image_id % 256, NULL, NULL, NULL, 'Gain' FROM ({e})
+UNION ALL SELECT image_id, 'OFFSET', 'i32', image_id - 100, NULL, NULL, NULL, NULL FROM ({e})
+UNION ALL SELECT image_id, 'RATIO', 'f64', NULL, value / 4.0::DOUBLE, NULL, NULL, NULL FROM ({e})""".format(e=X.EVENTS)
+
+
+def _exploded(df):
+    return df.select("image_id", F.explode("metadata").alias("key", "m")).select("image_id", "key", "m.kind", "m.i", "m.f", "m.s", "m.ns", "m.comment")
+
+
+@query(_KEYS)
+def meta_explode(spark, d):
+    return _exploded(X.event_metadata(spark, d))
+
+
+@query(f"SELECT * FROM ({_KEYS}) WHERE key <> 'GAIN' UNION ALL SELECT image_id, 'GAIN', 'u16', 7, NULL, NULL, NULL, 'new' FROM ({X.EVENTS}) UNION ALL SELECT image_id, 'LENS', 'string', NULL, NULL, 'f/2', NULL, NULL FROM ({X.EVENTS})")
+def meta_insert(spark, d):
+    meta = M.insert_key(M.insert_key(F.col("metadata"), "gain", M.item("u16", 7, "new")), "Lens", M.item("string", "f/2"))
+    return _exploded(X.event_metadata(spark, d).withColumn("metadata", meta))
+
+
+@query(f"SELECT * FROM ({_KEYS}) WHERE key <> 'OFFSET'")
+def meta_remove(spark, d):
+    return _exploded(X.event_metadata(spark, d).withColumn("metadata", M.remove_key(F.col("metadata"), "offset")))
+
+
+@query(f"SELECT * FROM ({_KEYS}) WHERE key <> 'CAMERA' UNION ALL SELECT image_id, 'CAMERA', 'string', NULL, NULL, 'other', NULL, 'swapped' FROM ({X.EVENTS})")
+def meta_replace(spark, d):
+    meta = M.replace_key(F.col("metadata"), "camera", M.item("string", "other", "swapped"))
+    return _exploded(X.event_metadata(spark, d).withColumn("metadata", meta))
+
+
+@query(f"SELECT image_id, image_id % 256 AS gain_u8, CAST(NULL AS BIGINT) AS gain_u16, image_id - 100 AS offset_i32, value / 4.0::DOUBLE AS ratio_f64, 'CAM-' || user_id AS camera, 'Gain' AS gain_comment, CAST(NULL AS VARCHAR) AS missing FROM ({X.EVENTS})")
+def meta_get_typed(spark, d):
+    m = F.col("metadata")
+    return X.event_metadata(spark, d).select(
+        "image_id", M.get_value(m, "gain", "u8").alias("gain_u8"), M.get_value(m, "Gain", "u16").alias("gain_u16"), M.get_value(m, "OFFSET", "i32").alias("offset_i32"),
+        M.get_value(m, "ratio", "f64").alias("ratio_f64"), M.get_value(m, "camera", "string").alias("camera"), M.get_comment(m, "gain").alias("gain_comment"), M.get_value(m, "nothing", "string").alias("missing"),
+    )
+
+
+@query(f"SELECT image_id, us * 1000 AS timestamp_ns FROM ({X.EVENTS})")
+def timestamp_key(spark, d):
+    return X.event_metadata(spark, d).select("image_id", M.get_timestamp(F.col("metadata")).alias("timestamp_ns"))
+
+
+@query(f"SELECT image_id, CAST(floor(value * 1000000.0::DOUBLE) AS BIGINT) AS exposure_ns FROM ({X.EVENTS})")
+def exposure_key(spark, d):
+    return X.event_metadata(spark, d).select("image_id", M.get_exposure(F.col("metadata")).alias("exposure_ns"))
+
+
+# sinks
+
+
+@query(f"""WITH k AS ({_KEYS}), e AS ({X.EVENTS})
+SELECT image_id, 'DATE-OBS' AS key, 'str' AS kind, CAST(NULL AS DOUBLE) AS fvalue, CAST(NULL AS BIGINT) AS ivalue, strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.%f') AS svalue, CAST(NULL AS VARCHAR) AS comment FROM e
+UNION ALL SELECT image_id, 'COLOR_SPACE', 'str', NULL, NULL, 'GRAY', NULL FROM e
+UNION ALL SELECT image_id, key, 'int', NULL, i, NULL, comment FROM k WHERE kind IN ('u8', 'i32')
+UNION ALL SELECT image_id, key, 'float', f, NULL, NULL, comment FROM k WHERE kind = 'f64'
+UNION ALL SELECT image_id, key, 'str', NULL, NULL, s, comment FROM k WHERE kind = 'string'
+UNION ALL SELECT image_id, 'EXPOSURE_S', 'int', NULL, ns // 1000000000, NULL, comment || ' (s)' FROM k WHERE kind = 'duration'
+UNION ALL SELECT image_id, 'EXPOSURE_NS', 'int', NULL, ns % 1000000000, NULL, comment || ' (ns)' FROM k WHERE kind = 'duration'
+UNION ALL SELECT image_id, 'EXPOSURE', 'float', CAST(ns // 1000000000 AS DOUBLE) + CAST(ns % 1000000000 AS DOUBLE) / 1000000000.0::DOUBLE, NULL, NULL, comment FROM k WHERE kind = 'duration'
+UNION ALL SELECT image_id, 'TIMESTAMP_S', 'int', NULL, ns // 1000000000, NULL, comment || ' (s from EPOCH)' FROM k WHERE kind = 'systemtime'
+UNION ALL SELECT image_id, 'TIMESTAMP_NS', 'int', NULL, ns % 1000000000, NULL, comment || ' (ns from EPOCH)' FROM k WHERE kind = 'systemtime'""")
+def fits_header_cards(spark, d):
+    return fits.cards(X.event_metadata(spark, d)).withColumn("ivalue", F.col("ivalue").cast("bigint"))
+
+
+def _document_images(spark, d):
+    docs = X._read(spark, d, "documents").select(F.col("doc_id").alias("image_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
+    width = F.least(F.octet_length("data"), F.lit(65535))
+    return docs.select("image_id", width.alias("width"), F.lit(1).alias("height"), F.lit(1).alias("channels"), GRAY.column().alias("cspace"), F.lit("u8").alias("pixel_type"), F.expr("substring(data, 1, 65535)").alias("data"))
+
+
+@query()
+def serde_crc(spark, d):
+    rows = serde.serialize(_document_images(spark, d))
+    broken = rows.withColumn("image", F.when(F.pmod("image_id", F.lit(7)) == 3, F.col("image").withField("crc", F.col("image.crc") + 1)).otherwise(F.col("image")))
+    return serde.deserialize(broken, strict=False).select("image_id", "width", "error", F.crc32("data").alias("crc"))
+
+
+@query("SELECT doc_id AS image_id, CAST(least(octet_length(encode(coalesce(text, ''))), 65535) AS INTEGER) AS width, 1 AS height, 'GRAY' AS color_space, 'u8' AS pixel_type, true AS same FROM documents")
+def serde_json_roundtrip(spark, d):
+    images = _document_images(spark, d)
+    back = serde.from_json(serde.to_json(images), strict=False)
+    # both sides come from one pass: the JSON travels beside the data it was made from
+    pair = images.select("image_id", F.sha1("data").alias("was")).join(back, "image_id")
+    return pair.select("image_id", "width", "height", cspace_text(F.col("cspace")).alias("color_space"), "pixel_type", (F.sha1("data") == F.col("was")).alias("same"))
+
+
+@query("""SELECT space, kind, CASE WHEN ch > 4 THEN 'Too many channels' WHEN space NOT IN ('GRAY', 'RGB') THEN 'Unsupported color space' WHEN space = 'GRAY' AND kind = 'f32' THEN 'Gray32F not supported' END AS error,
+CASE WHEN space IN ('GRAY', 'RGB') AND NOT (space = 'GRAY' AND kind = 'f32') THEN CASE space WHEN 'GRAY' THEN 'Luma' ELSE 'Rgb' END || CASE kind WHEN 'u8' THEN '8' WHEN 'u16' THEN '16' ELSE '32F' END END AS becomes
+FROM (VALUES ('GRAY', 1), ('RGB', 3), ('RGGB', 1), ('C(2, a)', 2), ('C(5, b)', 5)) s(space, ch) CROSS JOIN (VALUES ('u8'), ('u16'), ('f32')) k(kind)""")
+def interop_validity(spark, d):
+    rows = [(s.kind, s.pattern, s.channels, s.name, k) for s in (GRAY, RGB, bayer("RGGB"), custom(2, "a"), custom(5, "b")) for k in ("u8", "u16", "f32")]
+    t = spark.createDataFrame(rows, "kind string, pattern string, channels smallint, name string, pixel_type string")
+    space = F.struct("kind", "pattern", "channels", "name")
+    error = imageio.export_error(space, F.col("channels"), F.col("pixel_type"))
+    return t.select(cspace_text(space).alias("space"), F.col("pixel_type").alias("kind"), error.alias("error"), F.when(error.isNull(), imageio.export_kind(space, F.col("pixel_type"))).alias("becomes"))
