@@ -121,11 +121,14 @@ def luma_mean_per_image(spark, d):
 
 
 def debayer_sql(source: str, method: str, high: int = 255) -> str:
-    """Neighbours by joins on reflected coordinates."""
+    """Neighbours by joins on reflected coordinates; the cubic method's many by places in a list of the image's samples."""
+    listed = method == "cubic"
     refl = lambda at, by, n: f"CASE WHEN abs({at} + {by}) > {n} - 1 THEN 2 * ({n} - 1) - abs({at} + {by}) ELSE abs({at} + {by}) END"
     used: dict[tuple, str] = {}
 
     def near(dy, dx):
+        if listed:
+            return f"s.p[CAST(({refl('s.y', dy, 's.h')}) * s.w + ({refl('s.x', dx, 's.w')}) + 1 AS BIGINT)]"
         return used.setdefault((dy, dx), f"n{len(used)}") + ".v"
 
     mean = lambda taps: f"(({' + '.join(near(*t) for t in taps)}) // {len(taps)})"
@@ -150,7 +153,8 @@ def debayer_sql(source: str, method: str, high: int = 255) -> str:
     letter = lambda y, x: f"substr(s.pattern, CAST(1 + ({y} % 2) * 2 + ({x}) % 2 AS BIGINT), 1)"
     own, side = letter("s.y", "s.x"), letter("s.y", "s.x + 1")
     value = f"CASE WHEN t.l = {own} THEN s.v WHEN t.l = 'G' THEN {cross} WHEN {own} <> 'G' THEN {diagonal} WHEN t.l = {side} THEN {beside} ELSE {above} END"
-    return f"WITH px AS ({source}) SELECT s.image_id, s.y, s.x, t.c, CAST({value} AS INTEGER) AS v FROM px s CROSS JOIN (VALUES (0, 'R'), (1, 'G'), (2, 'B')) t(c, l) {joins}"
+    rows = "(SELECT px.*, i.p FROM px JOIN (SELECT image_id, list(v ORDER BY y, x) AS p FROM px GROUP BY image_id) i USING (image_id))" if listed else "px"
+    return f"WITH px AS ({source}) SELECT s.image_id, s.y, s.x, t.c, CAST({value} AS INTEGER) AS v FROM {rows} s CROSS JOIN (VALUES (0, 'R'), (1, 'G'), (2, 'B')) t(c, l) {joins}"
 
 
 def _debayer(name: str, source, sql: str, method: str, kind: str, high: int):
@@ -166,7 +170,6 @@ for _m in demosaic.METHODS:
 for _m in ("nearest", "linear", "cubic"):
     _debayer(f"debayer_{_m}_u16", X.bayer16, X.BAYER16, _m, "u16", 65535)
 _debayer("debayer_linear_frame", X.frame16, X.FRAME16, "linear", "u16", 65535)
-_debayer("debayer_cubic_frame", X.frame16, X.FRAME16, "cubic", "u16", 65535)
 
 
 @query(_luma_sql(f"({debayer_sql(X.BAYER8, 'linear')})"))
@@ -254,8 +257,8 @@ def _exposure_sql(source: str, key: str, cfg: exposure.OptimumExposure, ns: int,
         for _ in range(6):
             sql = f"SELECT {key}, n, value, fine, w, CASE WHEN w < {cfg.max_allowed_exp} THEN (CASE WHEN e < {cfg.max_allowed_exp} AND b > 2 THEN e * 4 ELSE e END) ELSE (CASE WHEN e > {cfg.max_allowed_exp} AND b * 2 <= {most} THEN e // 4 ELSE e END) END AS e, CASE WHEN w < {cfg.max_allowed_exp} THEN (CASE WHEN e < {cfg.max_allowed_exp} AND b > 2 THEN b // 2 ELSE b END) ELSE (CASE WHEN e > {cfg.max_allowed_exp} AND b * 2 <= {most} THEN b * 2 ELSE b END) END AS b FROM ({sql})"
     return f"""WITH px AS ({source}), r AS (SELECT {key}, v, row_number() OVER (PARTITION BY {key} ORDER BY v) - 1 AS rn, count(*) OVER (PARTITION BY {key}) AS n FROM px),
-at AS (SELECT *, CAST(floor(CAST({float(np.float32(cfg.percentile_pix))!r} AS FLOAT) * CAST(n - 1 AS FLOAT)) AS BIGINT) AS c0 FROM r),
-chosen AS (SELECT {key}, n, v AS value, CAST(v AS FLOAT) AS f FROM at WHERE rn = CASE WHEN c0 < {cfg.pixel_exclusion} THEN n - 1 - {cfg.pixel_exclusion} ELSE c0 END)
+ranked AS (SELECT *, CAST(floor(CAST({float(np.float32(cfg.percentile_pix))!r} AS FLOAT) * CAST(n - 1 AS FLOAT)) AS BIGINT) AS c0 FROM r),
+chosen AS (SELECT {key}, n, v AS value, CAST(v AS FLOAT) AS f FROM ranked WHERE rn = CASE WHEN c0 < {cfg.pixel_exclusion} THEN n - 1 - {cfg.pixel_exclusion} ELSE c0 END)
 SELECT {key}, n, value, CAST(CASE WHEN fine THEN {ns} ELSE least({cfg.max_allowed_exp}, greatest({cfg.min_allowed_exp}, e)) END AS BIGINT) AS exposure_ns, CAST(CASE WHEN fine THEN {bin_} ELSE least({most}, greatest(1, b)) END AS INTEGER) AS bin FROM ({sql})"""
 
 

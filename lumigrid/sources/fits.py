@@ -36,6 +36,11 @@ def compression_suffix(name: str) -> str:
     return COMPRESSIONS.get(name.lower(), name)
 
 
+def _floor_div(a, n: int):
+    """Whole-number division of 64-bit counts, rounding down; ``/`` would go through doubles."""
+    return F.call_function("div", a - F.pmod(a, F.lit(n)), F.lit(n))
+
+
 def cards(images: DataFrame) -> DataFrame:
     """(image_id, key, kind, ivalue, fvalue, svalue, comment) of every header card
     that an image's colour space and metadata give."""
@@ -49,7 +54,7 @@ def cards(images: DataFrame) -> DataFrame:
         return value if when is None else F.when(when, value)
 
     ns, kind = m["ns"], m["kind"]
-    seconds, rest = F.floor(ns / NANOS), F.pmod(ns, F.lit(NANOS))
+    seconds, rest = _floor_div(ns, NANOS), F.pmod(ns, F.lit(NANOS))
     whole = seconds.cast("double") + rest.cast("double") / 1e9
     span, moment = kind == "duration", kind == "systemtime"
     epoch = lambda unit: note(f"{unit} from EPOCH", f"{unit} from EPOCH")
@@ -66,12 +71,12 @@ def cards(images: DataFrame) -> DataFrame:
         card(k, "float", f=whole, comment=F.lit("s from EPOCH"), when=moment & ~has),
     )
     own = each.select("image_id", F.explode(F.array_compact(rows)).alias("r")).select("image_id", "r.*")
-    micros = F.floor(F.col("stamp") / 1000)
-    second = F.floor(micros / 1_000_000)
+    micros = _floor_div(F.col("stamp"), 1000)
+    second = _floor_div(micros, 1_000_000)
     # the calendar of a count of seconds, without a session time zone
-    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(second / 86400).cast("int"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), _floor_div(second, 86400).cast("int"))
     clock = F.pmod(second, F.lit(86400))
-    date = F.format_string("%sT%02d:%02d:%02d.%06d", day.cast("string"), F.floor(clock / 3600), F.floor(F.pmod(clock, F.lit(3600)) / 60), F.pmod(clock, F.lit(60)), F.pmod(micros, F.lit(1_000_000)))
+    date = F.format_string("%sT%02d:%02d:%02d.%06d", day.cast("string"), _floor_div(clock, 3600), _floor_div(F.pmod(clock, F.lit(3600)), 60), F.pmod(clock, F.lit(60)), F.pmod(micros, F.lit(1_000_000)))
     always = images.select("image_id", cspace_text(F.col("cspace")).alias("space"), F.col("metadata.TIMESTAMP.ns").alias("stamp"))
     fixed = always.select("image_id", F.explode(F.array(card(F.lit("DATE-OBS"), "str", s=date), card(F.lit("COLOR_SPACE"), "str", s=F.col("space")))).alias("r")).select("image_id", "r.*")
     return fixed.unionByName(own)
