@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def item(kind: str, value, comment: str | None = None) -> Column:
             _text_check(value, "Value")
         if kind in RANGES and not RANGES[kind][0] <= value <= RANGES[kind][1]:
             raise ValueError(f"{value} is outside {kind}")
-        value = F.lit(value)
+        value = F.lit(Decimal(value) if kind == "u64" else value)  # a 64-bit unsigned value may not fit a long
     elif kind == "string":
         size = F.octet_length(value)
         value = F.when(size == 0, F.raise_error(F.lit("Value cannot be empty")).cast("string")).when(size > 4096, F.raise_error(F.lit("Value cannot be longer than 4096 characters")).cast("string")).otherwise(value)
