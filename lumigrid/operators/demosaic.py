@@ -46,13 +46,13 @@ def debayer(mosaic: DataFrame, method: str, kind: str = "u8") -> DataFrame:
             total = total + near(*t)
         return (total / len(taps)).cast("float").cast("double") if real else F.floor(total / len(taps))
 
-    def quotient(top: Column, below: int) -> Column:
-        x = top / below
+    def quotient(name: str) -> Column:
+        x = F.col(name)
         if real:
             return x
-        whole = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
+        # already a whole number, truncated toward zero
         high = PIXEL_TYPES[kind][2]
-        return F.when((whole < PIXEL_TYPES[kind][1]) | (whole > high), high).otherwise(whole)
+        return F.when((x < PIXEL_TYPES[kind][1]) | (x > high), high).otherwise(x)
 
     if method == "none":
         cross = diagonal = beside = above = zero
@@ -61,10 +61,19 @@ def debayer(mosaic: DataFrame, method: str, kind: str = "u8") -> DataFrame:
     elif method == "linear":
         cross, diagonal, beside, above = mean(ACROSS + ALONG), mean(CORNERS), mean(ACROSS), mean(ALONG)
     else:
-        cross = quotient(324 * mean(ACROSS + ALONG) + 4 * mean(FAR_AXES) - 72 * mean(KNIGHTS), 256)
-        diagonal = quotient(324 * mean(CORNERS) + 4 * mean(FAR_CORNERS) - 72 * mean(WIDE_KNIGHTS), 256)
-        beside = quotient(18 * mean(ACROSS) - 2 * mean([(0, -3), (0, 3)]), 16)
-        above = quotient(18 * mean(ALONG) - 2 * mean([(-3, 0), (3, 0)]), 16)
+        # own steps for means and quotients keep each projection small enough to compile
+        means = {
+            "m_near": mean(ACROSS + ALONG), "m_far": mean(FAR_AXES), "m_knights": mean(KNIGHTS), "m_corners": mean(CORNERS), "m_far_corners": mean(FAR_CORNERS),
+            "m_wide": mean(WIDE_KNIGHTS), "m_across": mean(ACROSS), "m_far_across": mean([(0, -3), (0, 3)]), "m_along": mean(ALONG), "m_far_along": mean([(-3, 0), (3, 0)]),
+        }
+        tops = {
+            "q_cross": ("324 * m_near + 4 * m_far - 72 * m_knights", 256), "q_diagonal": ("324 * m_corners + 4 * m_far_corners - 72 * m_wide", 256),
+            "q_beside": ("18 * m_across - 2 * m_far_across", 16), "q_above": ("18 * m_along - 2 * m_far_along", 16),
+        }
+        base = base.select("image_id", "y", "x", "v", "pattern", *[m.alias(n) for n, m in means.items()])
+        parts = [F.expr(t) / below if real else F.call_function("div", F.expr(t), F.lit(below).cast("bigint")) for t, below in tops.values()]
+        base = base.select("image_id", "y", "x", "v", "pattern", *[p.alias(n) for n, p in zip(tops, parts, strict=True)])
+        cross, diagonal, beside, above = map(quotient, tops)
     own, left = colour(F.col("pattern"), F.col("y"), F.col("x")), colour(F.col("pattern"), F.col("y"), F.col("x") + 1)
     v, kind_sql = F.col("v"), "float" if real else "int"
     green = F.when(F.col("own") == "G", v).otherwise(cross).cast(kind_sql)
