@@ -224,7 +224,8 @@ def fit(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam()) -> DataFrame:
     """doc_id, item_id, distance, item_words and first_word of every leaked item of every document."""
-    items = benchmark.select("item_id", "text").where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark, count = docs.sparkSession, items.count()
     blocks = max(1, -(-count // p.block_items))
     out = None
@@ -232,7 +233,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam())
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         rows = mine.orderBy("item_id").collect()
         index = spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text for r in rows], p))
-        found = docs.select("doc_id", "text").mapInArrow(_searcher(index), LEAK)
+        found = docs.mapInArrow(_searcher(index), LEAK)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -240,6 +240,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = cut(sketches(docs, p), "sketches")
     full = own.where("n_shingles > 0 and doc_id is not null")
     # rows of equal sets are one node; a doc_id with several sets joins their nodes
