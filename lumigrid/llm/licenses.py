@@ -144,3 +144,33 @@ def scan_documents(docs: DataFrame, scan: LicenseScan = LicenseScan()) -> DataFr
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:
     return scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql(scan: LicenseScan = LicenseScan()) -> str:
+    """The same rows by trying every template on every line."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    places = ", ".join(
+        f"list_filter(range(0, len(w)), lambda i: {' AND '.join(f'w[i + {d}] = {part!r}' for d, part in enumerate(p.split(), 1))}) AS p{k}" for k, p in enumerate(scan.phrases)
+    )
+    names = [f"p{k}" for k in range(len(scan.phrases))]
+    every = " || ".join(names)
+    base = " || ".join(f"CASE WHEN len({n}) > 0 THEN ['{label}'] ELSE [] END" for n, label in zip(names, scan.phrases.values(), strict=True))
+    templates = ", ".join(f"('{label}', {quoted(words)}, {len(words)}, {need})" for _, label, words, need in scan.sets())
+    split = r"list_filter(string_split_regex({t}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, lower(coalesce(text, '')) AS t FROM documents),
+w AS (SELECT row_id, doc_id, {split.format(t='t')} AS w FROM d),
+p AS (SELECT row_id, doc_id, len(w) AS n_words, {places} FROM w),
+b AS (SELECT *, {every} AS places, {base} AS base FROM p),
+tmpl(label, words, m, need) AS (VALUES {templates}),
+lines AS (SELECT doc_id, list_distinct({split.format(t='l')}) AS s FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+found AS (SELECT doc_id, label, max(len(list_intersect(s, words)) / CAST(m AS DOUBLE)) AS c FROM lines, tmpl WHERE len(list_intersect(s, words)) >= need GROUP BY ALL),
+more AS (SELECT doc_id, list(label) AS more, max(c) AS best FROM found GROUP BY doc_id)
+SELECT b.doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+  array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(base || coalesce(more, []))), ',') AS labels,
+  CASE WHEN len(base) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM b LEFT JOIN more ON b.doc_id IS NOT DISTINCT FROM more.doc_id"""
+
+
+SQL = _sql()

@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc": warc.SQL,
+    "op6_licenses": licenses.SQL,
+    "op8_near_duplicates": neardup.SQL,
     "op9_url_filter": urlfilter.SQL,
 }
