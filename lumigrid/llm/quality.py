@@ -115,7 +115,11 @@ def judge(docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRule
     total = F.aggregate("features", F.lit(0.0), lambda s, b: s + F.get(table, b))
     out = out.withColumn("score", F.when(F.size("features") > 0, total / F.size("features")).otherwise(0.0))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    return out.select("row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", (~failed & (F.col("score") >= rules.min_score)).alias("kept"))
+    # A filter on ``kept`` would be pushed below the projections above, and compute every
+    # array anew at each of its references. A term that is always true but that the
+    # optimizer may not move keeps the filter here.
+    here = F.monotonically_increasing_id() >= 0
+    return out.select("row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", (~failed & (F.col("score") >= rules.min_score) & here).alias("kept"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
