@@ -10,6 +10,14 @@ word at positions i and j leaves at most 1 + min(m - i, |b| - j) (positional
 filter). What passes is verified on full sets. Words outside all templates
 cannot add to an overlap, so blocks are reduced to template words first.
 
+Notices are also wrapped over lines. A template of L words is looked for in
+every window of L words of a text of several lines, whatever the line breaks:
+the window matches when its set does and ceil(threshold * L) of the template's
+words stand in it in the template's order (longest common subsequence). The
+order keeps parts of two neighbouring notices from making up a third. Texts are
+first held as sets against the templates (prefix and length filters), and only
+windows that begin with a template word and hold enough of them are verified.
+
 Defined cases: null text is empty, without words and labels; repeated rows each
 return a row; rows that share a doc_id share the labels found for it.
 """
@@ -83,9 +91,9 @@ def word_order(docs: DataFrame, scan: LicenseScan) -> dict[str, int]:
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
 
 
-def matches(docs: DataFrame, scan: LicenseScan = LicenseScan()) -> DataFrame:
+def matches(docs: DataFrame, scan: LicenseScan, order: dict[str, int]) -> DataFrame:
     """doc_id, block, template, label, containment of every block that reaches the threshold."""
-    spark, order = docs.sparkSession, word_order(docs, scan)
+    spark = docs.sparkSession
     rows = []
     for i, label, words, need in scan.sets():
         ranks = sorted(order[w] for w in words)
@@ -105,6 +113,46 @@ def matches(docs: DataFrame, scan: LicenseScan = LicenseScan()) -> DataFrame:
     return found.where("shared >= need").drop("need", "shared").dropDuplicates(["doc_id", "block", "template"])
 
 
+def _in_order(window: Column, template: Column) -> Column:
+    """Length of the longest common subsequence. The state holds, for each place
+    of the template, the longest one that ends there."""
+    start = F.transform(template, lambda _: F.lit(0))
+
+    def step(state: Column, word: Column) -> Column:
+        longer = lambda i: F.coalesce(F.array_max(F.slice(state, F.lit(1), i)), F.lit(0)) + 1
+        return F.transform(template, lambda own, i: F.when(own == word, longer(i)).otherwise(F.get(state, i)))
+
+    return F.aggregate(window, start, step, F.array_max)
+
+
+def wrapped_matches(docs: DataFrame, scan: LicenseScan, order: dict[str, int]) -> DataFrame:
+    """doc_id, template, label, containment of templates found in windows of texts of several lines."""
+    rows, vocabulary = [], sorted(order)
+    array = lambda words: F.array(*map(F.lit, words))
+    for i, label, words, need in scan.sets():
+        seq = scan.templates[i][1].split()
+        prefix = sorted(words, key=order.get)[: len(words) - need + 1]
+        fields = {"template": F.lit(i), "label": F.lit(label), "words": array(words), "seq": array(seq), "prefix": array(prefix)}
+        fields |= {"need": F.lit(need), "ordered": F.lit(math.ceil(scan.threshold * len(seq) - 1e-9))}
+        rows.append(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    enough = lambda t: F.arrays_overlap("tokens", t["prefix"]) & (F.size(F.array_intersect("tokens", t["words"])) >= t["need"])
+    out = docs.where(F.contains("text", F.lit("\n"))).select("doc_id", F.array_remove(_pieces(F.col("text")), "").alias("all"))
+    out = out.withColumn("tokens", F.array_intersect("all", array(vocabulary)))
+    out = out.select("doc_id", "all", F.explode(F.filter(F.array(*rows), enough)).alias("t"))
+    places = F.filter(F.transform("all", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains("t.words", x["word"]))
+    out = out.select("doc_id", "t", places.alias("places"))
+    inside = lambda x, k: F.filter(F.slice("places", k + 1, F.size("t.seq")), lambda y: y["at"] < x["at"] + F.size("t.seq"))
+    # windows with as many template words as are needed, repeats counted
+    full = lambda x, k: F.coalesce(F.get("places", k + F.col("t.need") - 1)["at"] < x["at"] + F.size("t.seq"), F.lit(False))
+    windows = F.array_compact(F.transform("places", lambda x, k: F.when(full(x, k), F.transform(inside(x, k), lambda y: y["word"]))))
+    shared = lambda w: F.size(F.array_distinct(w))
+    right = F.filter(F.filter(windows, lambda w: shared(w) >= F.col("t.need")), lambda w: _in_order(w, F.col("t.seq")) >= F.col("t.ordered"))
+    # always true, but the optimizer moves no filter below it, which would compute the places anew for each window
+    here = F.monotonically_increasing_id() >= 0
+    out = out.select("doc_id", "t", F.when(here, F.array_max(F.transform(right, shared))).alias("shared")).where("shared is not null")
+    return out.select("doc_id", "t.template", "t.label", (F.col("shared") / F.size("t.words")).alias("containment"))
+
+
 def _starts_with(parts: list[str]):
     def at(i: Column) -> Column:
         same = [F.coalesce(F.get("words", i + d) == p, F.lit(False)) for d, p in enumerate(parts)]
@@ -135,7 +183,10 @@ def scan_documents(docs: DataFrame, scan: LicenseScan = LicenseScan()) -> DataFr
         "doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base"),
     )
-    more = matches(docs, scan).groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    order = word_order(docs, scan)
+    names = ["doc_id", "label", "containment"]
+    found = matches(docs, scan, order).select(names).unionByName(wrapped_matches(docs, scan, order).select(names))
+    more = found.groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     out = base.join(more, base.doc_id.eqNullSafe(more.found_id), "left")
     both = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
     score = F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
@@ -147,7 +198,7 @@ def op6_licenses(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql(scan: LicenseScan = LicenseScan()) -> str:
-    """The same rows by trying every template on every line."""
+    """The rows by trying every template on every line; notices wrapped over lines are not in it."""
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     places = ", ".join(
         f"list_filter(range(0, len(w)), lambda i: {' AND '.join(f'w[i + {d}] = {part!r}' for d, part in enumerate(p.split(), 1))}) AS p{k}" for k, p in enumerate(scan.phrases)

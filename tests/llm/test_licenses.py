@@ -61,3 +61,29 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert L.scan_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_wrapped_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software"
+    bsd = "# Redistribution and use in source and binary forms, with or\n# without modification, are permitted provided that the\n# following conditions are met:"
+    apache = "\n * you may not use this file except in compliance\n * with the License.\n * You may obtain a copy of the License at"
+    gpl = "This is licensed under the GNU\r\nGeneral Public License,\r\nversion 3."
+    rows = [
+        (1, mit, "mit"), (2, bsd, "bsd"), (3, "text\n" * 50 + apache, "apache-2"), (4, gpl, "agpl-3,gpl-3,lgpl-3"),  # 9 of 10 words of the other two, as on one line
+        (10, gpl.replace("\r\n", " "), "agpl-3,gpl-3,lgpl-3"),
+        (5, mit.replace("hereby", "now"), "mit"),  # 18 of 19 words
+        (6, mit.replace("hereby", "now").replace("charge", "cost"), ""),
+        (7, "license version 3\nlicensed under the gnu general public", ""),  # not in order
+        (8, "\n".join([mit, bsd]), "bsd,mit"),
+        (9, "\n".join(["the of to any a copy"] * 3000 + [mit]), "mit"),
+    ]
+    out = L.scan_documents(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in out} == {i: want for i, _, want in rows}
+    assert {r.doc_id: r.score for r in out}[5] == 18 / 19 and {r.doc_id: r.score for r in out}[1] == 1.0
+
+
+def test_wrapped_long_template(spark):
+    long = " ".join(f"w{i}" for i in range(90))
+    scan = L.LicenseScan(templates=(("long", long),))
+    docs = spark.createDataFrame([(1, long.replace("w9 ", "x\n").replace("w50 ", "w50\n"))], "doc_id long, text string")
+    assert [(r.labels, r.score) for r in L.scan_documents(docs, scan).collect()] == [("long", 89 / 90)]
