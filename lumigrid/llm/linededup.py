@@ -51,6 +51,10 @@ class LineDedup:
     min_chars: int = 10
     blocks: int = 4
 
+    def __post_init__(self):
+        if self.max_edits not in (0, 1):
+            raise ValueError(f"max_edits is 0 or 1, not {self.max_edits}: the neighbourhoods are those of one edit")
+
 
 def lines_of(data: np.ndarray, offsets: np.ndarray):
     """Code points of all rows, and per line: row, number in the row, trimmed start and end."""

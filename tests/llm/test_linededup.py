@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lumigrid.llm import linededup as L
 
 
@@ -68,3 +70,9 @@ def test_empty_and_clashes(spark):
     out = {r.doc_id: r for r in L.dedup_lines(docs).collect()}
     assert out[1].kept and not out[2].kept and out[2].text == "" and out[2].n_removed == 1
     assert L.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_bounds_over_one_edit_are_refused():
+    for bound in (2, -1):
+        with pytest.raises(ValueError, match="max_edits"):
+            L.LineDedup(max_edits=bound)
