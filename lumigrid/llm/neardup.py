@@ -5,33 +5,40 @@ m registers keeps the maximum over the set of ``floor(1 - log_b(x))`` with x
 exponential at rate ``rate``, truncated to 0..q+1: an exponentially spaced
 truncated minimum. Registers of a union are the element-wise maximum.
 
-1. Equal sets (by 128-bit fingerprint and size) become one node, the smallest
-   doc_id.
-2. Bands of registers are hashed; a bucket is the nodes that share a band.
-3. In each bucket the nodes are ranked by how crowded their buckets are, so the
-   text a family was copied from comes first. The first node is paired with
-   the others; what stays in different components is then paired with the next
-   nodes in rank, in growing steps, until each bucket is settled. Only pairs
-   across components are made, so a family costs as many pairs as it has
-   members, and no link between components is left untried.
-4. A pair's similarity is estimated from the two sketches jointly, by maximum
-   likelihood; pairs far below the threshold go no further.
-5. The rest is verified on the full shingle sets, and verified links are merged
-   to components by minimum labels with pointer jumping.
+1. Equal sets (by 128-bit fingerprint and size) become one node.
+2. Bands of registers are hashed; a bucket is the nodes that share a band. The
+   band is the longest that misses a pair at the threshold in at most
+   ``miss`` of all cases.
+3. Hubs: a bucket's head is the node whose buckets are the most crowded, so the
+   text that a family was copied from. Each node is verified against one head,
+   that of its buckets with the largest crowd around it. A family becomes a
+   component with as many pairs as it has members.
+4. The rest: in buckets that still hold several components, similarities are
+   estimated from two sketches jointly, by maximum likelihood, inside the task
+   that holds the bucket. Only pairs across components whose estimate is near or
+   over the threshold leave the task, each once, from the first band they share.
+   Buckets of more than ``bucket`` nodes are first split by further registers,
+   with as many repetitions as keep the recall; what stays too large is compared
+   block by block, so memory is bounded and no pair is left out.
+5. All pairs are verified on the full shingle sets. A hub's set is sent once per
+   ``share`` partners, not once per pair.
 
 Defined cases: null or wordless texts have an empty set and are linked with
 nothing; 1 to k-1 words are one shingle; rows that share a doc_id are one
-document with the union of their sets' links; a null doc_id stays alone.
+document with the union of their sets' links; a null doc_id stays alone; an
+empty table gives no rows. Only doc_id and text are read, so other columns may
+have any names.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -45,20 +52,39 @@ class NearDup:
     #: linked if percent_of * intersection >= percent * union
     percent: int = 85
     shingle: int = 5
-    registers: int = 128
-    band: int = 5
+    registers: int = 480
     base: float = 1.2
     rate: float = 20.0
     limit: int = 120
-    #: pairs are verified if their estimate is at most this far below the threshold
-    margin: float = 0.17
-    #: growth of the ranks that are paired in one round
-    step: int = 8
+    #: share of pairs at the threshold that may share no band
+    miss: float = 1e-5
+    #: pairs are verified if their estimate is at most this far below the threshold (4 standard errors)
+    margin: float = 0.07
+    #: nodes of a bucket that one task compares at once
+    bucket: int = 1024
+    #: partners that share one copy of a hub's set
+    share: int = 256
+
+    def equal(self, similarity: float) -> float:
+        """Probability that a register agrees, for sets of one size."""
+        u = (1 - similarity) / 2
+        return 1 + 2 * math.log1p(-u * (self.base - 1) / self.base) / math.log(self.base)
+
+    @property
+    def band(self) -> int:
+        agree = self.equal(self.percent / 100)
+        fits = [w for w in range(1, 33) if self.registers // w < 64 and (1 - agree**w) ** (self.registers // w) <= self.miss]
+        return max(fits, default=max(1, -(-self.registers // 63)))
 
     @property
     def bands(self) -> int:
         return self.registers // self.band
 
+    @property
+    def repeats(self) -> int:
+        """Splits of a bucket by ``band`` further registers that lose at most a twentieth of its pairs at the threshold."""
+        return math.ceil(math.log(0.05) / math.log1p(-(self.equal(self.percent / 100) ** self.band)))
+
 
 class Sketcher:
     """Registers of sets. One hash of an element gives all its register values:
@@ -126,6 +152,16 @@ def sets_of(data, offsets, p: NearDup) -> tuple[np.ndarray, np.ndarray]:
 SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary"
 
 
+def fingerprints(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of every set, zero for empty ones."""
+    full = np.flatnonzero(np.diff(bounds))
+    fp1, fp2 = np.zeros(len(bounds) - 1, U), np.zeros(len(bounds) - 1, U)
+    if len(full):
+        fp1[full] = np.add.reduceat(T.mix(values ^ U(0xA5A5A5A5)), bounds[full])
+        fp2[full] = np.add.reduceat(T.mix(values * U(3) + U(7)), bounds[full])
+    return fp1.view(np.int64), fp2.view(np.int64)
+
+
 def sketches(docs: DataFrame, p: NearDup) -> DataFrame:
     def run(batches):
         maker = Sketcher(p)
@@ -134,91 +170,191 @@ def sketches(docs: DataFrame, p: NearDup) -> DataFrame:
             n = np.diff(bounds)
             full = np.flatnonzero(n)
             sketch = [None] * len(n)
-            fp1, fp2 = np.zeros(len(n), U), np.zeros(len(n), U)
             if len(full):
-                at = bounds[full]
-                regs = maker.registers(values, np.append(at, len(values)))
-                fp1[full] = np.add.reduceat(T.mix(values ^ U(0xA5A5A5A5)), at)
-                fp2[full] = np.add.reduceat(T.mix(values * U(3) + U(7)), at)
-                for i, r in zip(full, regs, strict=True):
+                for i, r in zip(full, maker.registers(values, np.append(bounds[full], len(values))), strict=True):
                     sketch[i] = r.tobytes()
+            fp1, fp2 = fingerprints(values, bounds)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(rows.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), pa.array(sketch, pa.binary())],
+                [rows.column(rows.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(fp1), pa.array(fp2), pa.array(sketch, pa.binary())],
                 names=["doc_id", "n_shingles", "fp1", "fp2", "sketch"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+
+
+def _register_hash(regs: np.ndarray, seed: int) -> np.ndarray:
+    """One hash per row of a (rows, n) matrix of registers."""
+    key = np.full(len(regs), T.mix(np.array([seed], U))[0], U)
+    for j in range(regs.shape[1]):
+        key = T.mix(key * U(0x100000001B3) + regs[:, j].astype(U) + U(1))
+    return key
+
+
 def _bands(nodes: DataFrame, p: NearDup) -> DataFrame:
-    """(node, key) for every band of every node."""
+    """(key, band, node) for every band of every node."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            regs = _matrix(batch.column(1), p.registers)[:, : p.bands * p.band].reshape(batch.num_rows, p.bands, p.band).astype(U)
-            key = np.zeros(regs.shape[:2], U)
-            for j in range(p.band):
-                key = T.mix(key * U(0x100000001B3) + regs[:, :, j] + U(1))
-            key = T.mix(key + np.arange(p.bands, dtype=U)[None, :] * U(0x9E3779B97F4A7C15))
+            regs = _matrix(batch.column(1), p.registers)
+            key = np.stack([_register_hash(regs[:, b * p.band : (b + 1) * p.band], b) for b in range(p.bands)], axis=1)
             node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), p.bands)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key.ravel().view(np.int64))], names=["node", "key"])
-
-    return nodes.select("node", "sketch").mapInArrow(run, "node long, key long")
+            band = np.tile(np.arange(p.bands, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(node)], names=["key", "band", "node"])
 
+    return nodes.select("node", "sketch").mapInArrow(run, "key long, band int, node long")
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
 
-
-def _likely(pairs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame:
-    """Pairs whose joint estimate is near or over the threshold."""
-    side = lambda n: nodes.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}"), F.col("n_shingles").alias(f"n{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def _split(rows: DataFrame, p: NearDup) -> DataFrame:
+    """Rows of crowded buckets, each in ``repeats`` smaller ones: nodes that agree in further registers stay together."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             col = lambda n: batch.column(batch.schema.get_field_index(n))
-            j = estimate(_matrix(col("sa"), p.registers), _matrix(col("sb"), p.registers), col("na").to_numpy(), col("nb").to_numpy(), p)
-            ok = pa.array(j >= p.percent / 100 - p.margin)
-            yield pa.RecordBatch.from_arrays([col("a").filter(ok), col("b").filter(ok)], names=["a", "b"])
-
-    return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
+            regs, band = _matrix(col("sketch"), p.registers), col("band").to_numpy()
+            key = col("key").to_numpy().view(U)
+            for again in range(p.repeats):
+                new = np.empty(len(band), U)
+                for b in np.unique(band):
+                    own = np.flatnonzero(band == b)
+                    others = np.delete(np.arange(p.registers), slice(b * p.band, (b + 1) * p.band))
+                    places = np.random.default_rng([int(b), again]).choice(others, p.band, replace=False)
+                    new[own] = T.mix(key[own] ^ _register_hash(regs[own][:, places], p.bands + again))
+                yield batch.set_column(batch.schema.get_field_index("key"), "key", pa.array(new.view(np.int64)))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+MEMBER = ["key", "band", "node", "comp", "sketch", "n_shingles", "skip", "mine", "left", "right"]
+
+
+def pairs_in(regs: np.ndarray, sizes: np.ndarray, comp: np.ndarray, p: NearDup) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a bucket's members in different components whose joint estimate is near or over the threshold."""
+    least = p.percent / 100 - p.margin
+    # a pair at the estimate's bar agrees in this many registers, less four standard errors
+    agree = p.equal(least)
+    enough = math.floor(p.registers * agree - 4 * math.sqrt(p.registers * agree * (1 - agree)))
+    left, right = [], []
+    for i in range(len(regs) - 1):
+        rest = np.arange(i + 1, len(regs))
+        small, large = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
+        rest = rest[(comp[rest] != comp[i]) & (100 * small >= p.percent * large)]
+        rest = rest[np.count_nonzero(regs[rest] == regs[i], axis=1) >= enough]
+        if len(rest):
+            left.append(np.full(len(rest), i))
+            right.append(rest)
+    if not left:
+        return np.zeros(0, int), np.zeros(0, int)
+    a, b = np.concatenate(left), np.concatenate(right)
+    ok = np.concatenate([estimate(regs[a[s : s + 4096]], regs[b[s : s + 4096]], sizes[a[s : s + 4096]], sizes[b[s : s + 4096]], p) for s in range(0, len(a), 4096)]) >= least
+    return a[ok], b[ok]
+
+
+def _likely(members: DataFrame, p: NearDup) -> DataFrame:
+    """(hub, other) of the pairs of every bucket that are likely over the threshold.
+
+    A pair leaves from the first band it shares, ``skip`` bands (split buckets) apart;
+    in a bucket that is compared by blocks, from the task of its two blocks."""
 
-
-def _verified(pairs: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
-    """Pairs that reach the threshold on full shingle sets."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    mine = texts.join(used, "node", "left_semi")
+    def run(batches):
+        for group in _groups(batches, 0):
+            col = {n: group.column(group.schema.get_field_index(n)) for n in MEMBER}
+            regs, node = _matrix(col["sketch"], p.registers), col["node"].to_numpy()
+            a, b = pairs_in(regs, col["n_shingles"].to_numpy(), col["comp"].to_numpy(), p)
+            if not len(a):
+                continue
+            mine, lo, hi = col["mine"].to_numpy(), col["left"].to_numpy(), col["right"].to_numpy()
+            ok = (np.minimum(mine[a], mine[b]) == lo[0]) & (np.maximum(mine[a], mine[b]) == hi[0])
+            band, skip = int(col["band"][0].as_py()), col["skip"].to_numpy()
+            if not (skip[0] >> band) & 1:
+                earlier = np.zeros(len(a), bool)
+                for e in range(band):
+                    at = slice(e * p.band, (e + 1) * p.band)
+                    earlier |= (regs[a, at] == regs[b, at]).all(1) & ((skip[a] >> e) & 1 == 0)
+                ok &= ~earlier
+            a, b = a[ok], b[ok]
+            degree = np.bincount(np.concatenate([a, b]), minlength=len(node))
+            turn = degree[b] > degree[a]
+            a, b = np.where(turn, b, a), np.where(turn, a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["hub", "other"])
+
+    return members.select(MEMBER).repartition("key").sortWithinPartitions("key").mapInArrow(run, "hub long, other long")
+
+
+def _groups(batches, column: int):
+    """Runs of rows with equal values of a sorted column, across batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value = batch.column(column).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[last is None or value[0] != last], value[1:] != value[:-1]]))
+        at = 0
+        for s in starts:
+            if s > at:
+                held.append(batch.slice(at, s - at))
+            if held:
+                yield pa.concat_batches(held)
+            held, at = [], int(s)
+        held.append(batch.slice(at))
+        last = value[-1]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame:
+    """(a, b) of the pairs (hub, other) that reach the threshold on full shingle sets."""
+    used = pairs.select(F.col("hub").alias("node")).distinct().union(pairs.select(F.col("other").alias("node")).distinct()).distinct()
+    wanted = nodes.join(used, "node", "left_semi").select("node", "first")
+    texts = docs.join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     def sets(batches):
-        for rows, data, offsets in T.pieces(batches, "text"):
+        for _, data, offsets in T.pieces(batches, "text"):
             values, bounds = sets_of(data, offsets, p)
+            fp1, fp2 = fingerprints(values, bounds)
             raw = values.tobytes()
             packed = [raw[8 * s : 8 * e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("node")), pa.array(packed, pa.binary())], names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp1), pa.array(fp2), pa.array(np.diff(bounds)), pa.array(packed, pa.binary())], names=["fp1", "fp2", "n_shingles", "items"])
 
-    known = cut(mine.select("node", "text").mapInArrow(sets, "node long, items binary").dropDuplicates(["node"]), "sets")
-    side = lambda n: known.select(F.col("node").alias(n), F.col("items").alias(f"i{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    # a doc_id may have rows of several sets: only those of a wanted node stay
+    known = texts.select("text").mapInArrow(sets, "fp1 long, fp2 long, n_shingles long, items binary").selectExpr(f"{NODE} AS node", "items")
+    known = cut(known.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / p.share).cast("int").alias("parts"))
+    salt = F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("salt")
+    partners = pairs.join(parts, "hub").select("hub", salt, "other").join(known.withColumnRenamed("node", "other"), "other").select("hub", "salt", "other", "items")
+    hubs = parts.join(known.withColumnRenamed("node", "hub"), "hub")
+    hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("other"), "items")
 
     def run(batches):
+        hub, own = None, None
         for batch in batches:
             col = lambda n: batch.column(batch.schema.get_field_index(n))
-            ok = []
-            for x, y in zip(col("ia"), col("ib"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                shared = int((y[at] == x).sum())
-                ok.append(100 * shared >= p.percent * (len(x) + len(y) - shared))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([col("a").filter(ok), col("b").filter(ok)], names=["a", "b"])
-
-    return both.select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long")
+            a, b = [], []
+            for h, other, x in zip(col("hub").to_pylist(), col("other").to_pylist(), col("items"), strict=True):
+                x = np.frombuffer(x.as_buffer(), U)
+                if other is None:
+                    hub, own = h, x
+                    continue
+                if hub != h:
+                    raise ValueError("a partner stands before its hub")
+                at = np.searchsorted(own, x)
+                at[at == len(own)] = 0
+                shared = int((own[at] == x).sum())
+                if 100 * shared >= p.percent * (len(x) + len(own) - shared):
+                    a.append(h)
+                    b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    both = hubs.unionByName(partners).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("other"))
+    return both.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,96 +374,94 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+#: a node's number follows from its set alone
+NODE = "xxhash64(fp1, fp2, n_shingles)"
+
+
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = cut(sketches(docs, p), "sketches")
-    full = own.where("n_shingles > 0 and doc_id is not null")
-    # rows of equal sets are one node; a doc_id with several sets joins their nodes
-    nodes = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("first"), F.min_by("sketch", "doc_id").alias("sketch"), F.max("doc_id").alias("last"))
-    many = full.groupBy("doc_id").agg(F.min(F.struct("fp1", "fp2")).alias("x"), F.max(F.struct("fp1", "fp2")).alias("y")).where("x <> y").select("doc_id")
-    split_ids = not many.isEmpty()
-    # a node's number: its first doc_id, or a negative hash where doc_ids are shared by different sets
-    number = (F.xxhash64("fp1", "fp2") if split_ids else F.col("first")).alias("node")
-    nodes = cut(nodes.select(number, "fp1", "fp2", "n_shingles", "sketch", "first"), "nodes")
-    all_bands = _bands(nodes, p)
-    crowds = all_bands.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    shared = cut(all_bands.join(crowds, "key"), "buckets")
-    texts = _node_texts(docs, nodes, p, split_ids)
-    labels = _linked(shared, nodes, texts, p)
-    comp = nodes.join(labels, "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("comp", "node").alias("comp"), "first")
-    if split_ids:
-        comp = _join_split(full, comp)
+    own = cut(sketches(docs, p).selectExpr("doc_id", "n_shingles", f"if(n_shingles > 0, {NODE}, null) AS node", "sketch"), "sketches")
+    full = own.where("node is not null and doc_id is not null")
+    nodes = cut(full.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n_shingles"), F.min_by("sketch", "doc_id").alias("sketch")), "nodes")
+    labels = _linked(docs, full, nodes, p)
+    comp = nodes.select("node", "first").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "first")
     least = comp.groupBy("comp").agg(F.min("first").alias("component"))
-    comp = comp.join(least, "comp").select("fp1", "fp2", F.col("n_shingles").alias("n"), "component")
+    comp = comp.join(least, "comp").select("node", "component")
     # copies of one text may be a third of all rows, so this join is left to skew splitting
-    rows = own.select("doc_id", "n_shingles", "fp1", "fp2")
-    out = rows.join(comp, (rows.fp1 == comp.fp1) & (rows.fp2 == comp.fp2) & (rows.n_shingles == comp.n), "left")
-    component = F.when(rows.n_shingles > 0, F.when(rows.doc_id.isNotNull(), F.col("component"))).otherwise(rows.doc_id)
-    return out.select(rows.doc_id, rows.n_shingles, component.alias("component_id"), F.coalesce(rows.doc_id == component, F.lit(True)).alias("kept"))
-
-
-def _node_texts(docs: DataFrame, nodes: DataFrame, p: NearDup, split_ids: bool) -> DataFrame:
-    """(node, text) of one row per node; lazily, to be cut down by a semi join."""
-    if not split_ids:
-        return docs.select(F.col("doc_id").alias("node"), "text")
+    out = own.select("doc_id", "n_shingles", "node").join(comp, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
-    def run(batches):
-        for rows, data, offsets in T.pieces(batches, "text", 1 << 20):
-            values, bounds = sets_of(data, offsets, p)
-            n = np.diff(bounds)
-            fp1, fp2 = np.zeros(len(n), U), np.zeros(len(n), U)
-            if len(values):
-                at = bounds[:-1][n > 0]
-                fp1[n > 0] = np.add.reduceat(T.mix(values ^ U(0xA5A5A5A5)), at)
-                fp2[n > 0] = np.add.reduceat(T.mix(values * U(3) + U(7)), at)
-            yield pa.RecordBatch.from_arrays([pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), rows.column(rows.schema.get_field_index("text"))], names=["fp1", "fp2", "text"])
 
-    return docs.select("text").mapInArrow(run, "fp1 long, fp2 long, text string").select(F.xxhash64("fp1", "fp2").alias("node"), "text")
+def _one_document(full: DataFrame) -> DataFrame:
+    """(a, b) of the nodes of one doc_id, where it has several sets."""
+    ends = full.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+    return full.select("doc_id", "node").join(ends, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _join_split(full: DataFrame, comp: DataFrame) -> DataFrame:
-    """Where a doc_id has several sets, their components are one."""
-    of = full.select("doc_id", "fp1", "fp2").distinct().join(comp, ["fp1", "fp2"]).select("doc_id", "comp").distinct()
-    base = of.groupBy("doc_id").agg(F.min("comp").alias("a"))
-    edges = of.join(base, "doc_id").where("a <> comp").select("a", F.col("comp").alias("b"))
-    if edges.isEmpty():
-        return comp
-    joined = components(edges).withColumnRenamed("comp", "whole")
-    out = comp.join(joined, comp.comp == joined.node, "left")
-    return out.select("fp1", "fp2", "n_shingles", F.coalesce("whole", "comp").alias("comp"), "first")
+def _merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels after further edges between nodes: only components are joined anew."""
+    of = lambda n: labels.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}"))
+    between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    between, n = cut_counting(between.where("a <> b").distinct(), "between")
+    if not n:
+        return labels
+    whole = components(between).select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    old = labels.join(whole, labels.comp == whole.old, "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    alone = whole.join(labels, whole.old == labels.node, "left_anti").select(F.col("old").alias("node"), F.col("new").alias("comp"))
+    return cut(old.unionByName(alone), "merged")
 
 
-def _linked(shared: DataFrame, nodes: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
+def _linked(docs: DataFrame, full: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame:
     """(node, comp) of all nodes that have a verified link."""
-    spark = shared.sparkSession
-    crowding = shared.groupBy("node").agg(F.sum("crowd").alias("pull"))
-    active = shared.join(crowding, "node").select("key", "node", "pull")
-    labels = spark.createDataFrame([], "node long, comp long")
-    # first every bucket's most central node, found without ordering the bucket
-    heads = active.groupBy("key").agg(F.max(F.struct("pull", F.negative("node").alias("m"))).alias("h"))
-    star = active.join(heads.select("key", F.negative("h.m").alias("head")), "key").where("node <> head")
-    pairs = star.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-    low = 1
-    while True:
-        likely, n_likely = cut_counting(_likely(pairs, nodes, p), "likely")
-        if n_likely:
-            fresh = _verified(likely, texts, p)
-            edges, n_edges = cut_counting(fresh.union(labels.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))), "edges")
-            labels = components(edges) if n_edges else labels
-        # buckets that still hold several components, and nodes that no round has paired
-        marked = active.join(labels, "node", "left").select("key", "node", "pull", F.coalesce("comp", "node").alias("comp"))
-        open_keys = marked.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where(f"x <> y and n > {low + 1}")
-        active, n_active = cut_counting(marked.join(open_keys.select("key"), "key", "left_semi"), "active")
-        if not n_active:
-            return labels
-        ranked = active.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("pull"), "node")))
-        high = p.step * low
-        one = ranked.where(f"rank > {low} and rank <= {high}").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("rank").alias("rx"))
-        cross = ranked.join(one, "key").where("rank > rx and comp <> cx")
-        pairs = cross.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-        low = high
-        active = active.select("key", "node", "pull")
+    all_bands = _bands(nodes, p)
+    crowds = all_bands.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    shared = cut(all_bands.join(crowds, "key"), "buckets")
+    pulls = shared.groupBy("node").agg(F.sum("crowd").alias("pull"))
+    heads = shared.join(pulls, "node").groupBy("key").agg(F.max(F.struct("pull", "node")).alias("head"))
+    star = shared.select("key", "node").join(heads, "key").where("node <> head.node").groupBy("node").agg(F.max("head").alias("head"))
+    star = cut(star.select(F.col("head.node").alias("hub"), F.col("node").alias("other")), "star")
+    edges, n = cut_counting(_verified(star, docs, nodes, p).unionByName(_one_document(full)), "edges")
+    labels = components(edges) if n else docs.sparkSession.createDataFrame([], "node long, comp long")
+    pairs, n = cut_counting(_rest(shared, nodes, labels, p), "likely")
+    if n:
+        labels = _merged(labels, _verified(pairs, docs, nodes, p))
+    drop_table(shared)
+    drop_table(pairs)
+    return labels
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, with the bucket's crowd."""
+    keys = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("crowd")).where("x <> y").select("key", "crowd")
+    return rows.join(keys, "key")
+
+
+def _rest(shared: DataFrame, nodes: DataFrame, labels: DataFrame, p: NearDup) -> DataFrame:
+    """(hub, other): likely pairs across components that share a bucket."""
+    small = f"crowd <= {p.bucket}"
+    marked = shared.select("key", "band", "node").join(labels, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
+    rows, n_large = cut_counting(_open(marked), "open", F.col("crowd") > p.bucket)
+    alone = {"skip": F.lit(0).cast("long"), "mine": F.lit(0), "left": F.lit(0), "right": F.lit(0)}
+    sketch = nodes.select("node", "sketch", "n_shingles")
+    whole = rows.where(small).join(sketch, "node").withColumns(alone)
+    if not n_large:
+        return _likely(whole, p)
+    large = rows.where(f"not {small}").drop("crowd").join(sketch, "node")
+    # which bands of a node are split: those do not count as the first band of a pair
+    bit = F.expr("shiftleft(1L, band)")
+    skips = large.groupBy("node").agg(F.bit_or(bit).alias("skip"))
+    with_skip = lambda df: df.drop("skip").join(skips, "node", "left").withColumn("skip", F.coalesce("skip", F.lit(0).cast("long")))
+    parts = cut(_open(_split(large.select("key", "band", "node", "comp", "sketch", "n_shingles"), p)), "split")
+    parts = with_skip(parts.withColumns(alone))
+    # block by block: a row meets every block of its bucket, its own included
+    blocks = F.ceil(F.col("crowd") / p.bucket).cast("int")
+    mine = parts.where(f"not {small}").withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    mine = mine.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"left": F.least("mine", "with"), "right": F.greatest("mine", "with")})
+    mine = mine.withColumn("key", F.xxhash64("key", "left", "right"))
+    rows = [with_skip(whole), parts.where(small), mine]
+    return functools.reduce(DataFrame.unionByName, [_likely(r.select(MEMBER), p) for r in rows]).distinct()
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:
