@@ -7,14 +7,17 @@ probabilities are the mean over the positions of its letters, all of them. A
 window starts from zero states, so windows are independent and a text of any
 length is a batch of them.
 
-The network is trained in numpy by backpropagation through time with Adam, on a
-bounded sample: at most about ``per_language`` windows of each language, taken
-at hashed places of documents chosen by hash. That bound is the only one; every
-byte of every document is read in prediction. Language, source and id are never
-inputs.
+The network is trained in numpy by backpropagation through time with Adam, in a
+fixed number of steps on a bounded sample: about ``per_language`` windows of each
+language, taken at hashed places of documents chosen by hash, several of a
+document where a language has few. Every batch holds as many windows of each
+language, so a rare one weighs as much as a common one. That bound is the only
+one: every non-null language is learned and every byte of every document is read
+in prediction. Language, source and id are never inputs.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0;
-repeated rows are labelled one by one; without labelled rows all are ``und``.
+repeated rows are labelled one by one; without labelled rows all are ``und``;
+more languages than ``most_languages`` are refused by name, not dropped.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ class LangId:
     hidden: int = 8
     window: int = 96
     per_language: int = 800
-    max_languages: int = 200
-    epochs: int = 6
+    most_languages: int = 10_000
+    steps: int = 300
     batch: int = 128
     rate: float = 0.02
     lanes: int = 2048
@@ -162,20 +165,22 @@ class Network:
 
     def fit(self, windows: np.ndarray, y: np.ndarray) -> None:
         p, rnd = self.p, np.random.default_rng(self.p.seed)
-        first, second, step = [np.zeros_like(v) for v in self.parameters()], [np.zeros_like(v) for v in self.parameters()], 0
-        total = p.epochs * -(-len(windows) // p.batch)
-        for _ in range(p.epochs):
-            order = rnd.permutation(len(windows))
-            for lo in range(0, len(order), p.batch):
-                own = order[lo : lo + p.batch]
-                x = np.ascontiguousarray(windows[own].T)
-                _, grads = self.gradients(x, y[own], LETTER[x])
-                step += 1
-                rate = p.rate * (1 - step / (total + 1))
-                for v, g, m, s in zip(self.parameters(), grads, first, second, strict=True):
-                    m += 0.1 * (g - m)
-                    s += 0.001 * (g * g - s)
-                    v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+        first, second = ([np.zeros_like(v) for v in self.parameters()] for _ in range(2))
+        of = [np.flatnonzero(y == k) for k in range(len(self.labels))]
+        of = [own for own in of if len(own)]
+        turn = 0
+        for step in range(1, p.steps + 1):
+            # the same share of each language; those that the last batch had no room for come first
+            which = (turn + np.arange(p.batch)) % len(of)
+            turn = (turn + p.batch) % len(of)
+            own = np.array([of[k][i] for k, i in zip(which, rnd.integers(0, 1 << 31, p.batch) % np.array([len(of[k]) for k in which]), strict=True)])
+            x = np.ascontiguousarray(windows[own].T)
+            _, grads = self.gradients(x, y[own], LETTER[x])
+            rate = p.rate * (1 - step / (p.steps + 1))
+            for v, g, m, s in zip(self.parameters(), grads, first, second, strict=True):
+                m += 0.1 * (g - m)
+                s += 0.001 * (g * g - s)
+                v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
 
 
 #: bytes that count as letters' positions: ASCII letters and all bytes of other characters
@@ -192,23 +197,26 @@ def sample(docs: DataFrame, p: LangId) -> tuple[list[str], np.ndarray, np.ndarra
     """Labels, windows and their labels' numbers, from learning rows with a language.
 
     Documents are taken by hash at a rate that gives each language about
-    ``per_language``, and one window of each is gathered."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learning(F.col("doc_id")))
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_languages).collect()}
+    ``per_language`` windows; equal windows are gathered once."""
+    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learning(F.col("doc_id")))
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(p.most_languages + 1).collect()}
+    if len(sizes) > p.most_languages:
+        raise ValueError(f"over {p.most_languages} values of lang; raise LangId.most_languages or clean the column")
     if not sizes:
         return [], np.zeros((0, p.window), np.uint8), np.zeros(0, np.int64)
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, p.per_language / n)])
+    rates = [(lang, p.per_language / n, max(1, -(-p.per_language // n))) for lang, n in sizes.items()]
+    rates = F.broadcast(docs.sparkSession.createDataFrame(rates, "lang string, rate double, windows int"))
     number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
-    at = (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.greatest(F.length("text") - p.window, F.lit(1))) + 1).cast("int")
-    chosen = rows.where(F.col("lang").isin(list(sizes))).where(number < 1_000_003 * rate[F.col("lang")])
-    cut = chosen.select("lang", F.substring("text", at, F.lit(p.window)).alias("piece")).orderBy("lang", "piece")
-    got = cut.limit(2 * p.per_language * len(sizes)).collect()
+    chosen = rows.join(rates, "lang").where(number < 1_000_003 * F.col("rate")).withColumn("k", F.explode(F.expr("sequence(1, windows)")))
+    at = (F.pmod(F.xxhash64(F.lit(7), "doc_id", "k"), F.greatest(F.length("text") - p.window, F.lit(1))) + 1).cast("int")
+    got = chosen.select("lang", F.substring("text", at, F.lit(p.window)).alias("piece")).distinct().orderBy("lang", "piece").collect()
     labels = sorted(sizes)
     windows = np.full((len(got), p.window), 32, np.uint8)
     for row, r in zip(windows, got, strict=True):
         raw = r.piece.encode()[: p.window]
         row[: len(raw)] = np.frombuffer(raw, np.uint8)
-    return labels, T.LOWER[windows], np.array([labels.index(r.lang) for r in got], np.int64)
+    number = {lang: i for i, lang in enumerate(labels)}
+    return labels, T.LOWER[windows], np.array([number[r.lang] for r in got], np.int64)
 
 
 def train(docs: DataFrame, p: LangId = LangId()) -> Network | None:
@@ -230,7 +238,7 @@ def _documents(network: Network, data: np.ndarray, offsets: np.ndarray) -> tuple
     start = offsets[row] + within * p.window
     length = np.minimum(p.window, offsets[row + 1] - start)
     sums, counts = np.zeros((n_rows, len(network.labels))), np.zeros(n_rows)
-    marks = np.zeros(len(data), np.uint8)
+    marks = np.zeros(len(data), np.uint16)
     order = np.argsort(-length, kind="stable")  # equal lengths together: only the last windows of texts are short
     for lo in range(0, len(order), p.lanes):
         own = order[lo : lo + p.lanes]
@@ -239,7 +247,7 @@ def _documents(network: Network, data: np.ndarray, offsets: np.ndarray) -> tuple
         inside = np.arange(steps)[:, None] < length[own][None, :]
         x = np.where(inside, T.LOWER[data[np.minimum(at, len(data) - 1)]], np.uint8(32))
         prob = network.probabilities(x)
-        marks[at[inside]] = prob.argmax(1).astype(np.uint8)[inside]
+        marks[at[inside]] = prob.argmax(1).astype(np.uint16)[inside]
         use = LETTER[x] & inside
         total = np.einsum("tkl,tl->lk", prob, use.astype(np.float32))
         np.add.at(sums, row[own], total)
@@ -250,7 +258,8 @@ def _documents(network: Network, data: np.ndarray, offsets: np.ndarray) -> tuple
 
 def predict(docs: DataFrame, network: Network | None, positions: bool = False) -> DataFrame:
     """``docs`` (doc_id, text) with lang_pred, score (the mean probability of that
-    language) and, with ``positions``, the label number of every byte of the text."""
+    language) and, with ``positions``, the label number of every byte of the text,
+    two bytes each, the lower first."""
     from pyspark.sql.types import StructType
 
     spark = docs.sparkSession
@@ -264,7 +273,7 @@ def predict(docs: DataFrame, network: Network | None, positions: bool = False) -
             col = lambda n: rows.column(rows.schema.get_field_index(n))
             lettered = col("lettered").to_numpy(zero_copy_only=False).astype(bool)
             if own is None:
-                lang, score, marks = ["und"] * rows.num_rows, np.zeros(rows.num_rows), np.zeros(len(data), np.uint8)
+                lang, score, marks = ["und"] * rows.num_rows, np.zeros(rows.num_rows), np.zeros(len(data), np.uint16)
             else:
                 mean, marks = _documents(own, data, offsets)
                 best = mean.argmax(1)
@@ -272,8 +281,8 @@ def predict(docs: DataFrame, network: Network | None, positions: bool = False) -
                 lang = [own.labels[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
             out = [col("doc_id"), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))]
             if positions:
-                raw = marks.tobytes()
-                out.append(pa.array([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()))
+                raw = marks.astype("<u2").tobytes()
+                out.append(pa.array([raw[2 * a : 2 * b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()))
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return docs.mapInArrow(run, schema)

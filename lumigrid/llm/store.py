@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``.
 
-    Only a session that has none (tests, a laptop) gets a temporary folder.
+    Only a local session that has none (tests, a laptop) gets a temporary folder:
+    on a cluster each executor would write to a disk of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lumigrid-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -1,5 +1,7 @@
+import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -61,7 +63,7 @@ def test_held_out_accuracy(spark):
     assert len(out) == len(rows) + len(extra)
     for i in (2000, 2001, 2002):
         assert by[i].lang_pred == "und" and by[i].score == 0
-    assert by[2003].lang_pred == "de" and len(by[2003].labels) == 120000
+    assert by[2003].lang_pred == "de" and len(by[2003].labels) == 2 * 120000
     assert all(0 <= r.score <= 1 for r in out)
 
 
@@ -70,3 +72,58 @@ def test_without_labels_and_empty(spark):
     assert G.train(docs) is None
     assert G.predict(docs, None).first().lang_pred == "und"
     assert G.predict(docs.limit(0), None).count() == 0
+
+
+PROSE = {
+    "en": "the of and to in that is was he for it with as his on be at by had not are but from or have an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through",
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei prozent hatte kann gegen vom können schon wenn habe seine mark ihre dann unter wir soll ich eines jahr zwei jahren diese dieser wieder keine seiner worden will zwischen",
+    "fr": "le de un être et à il avoir ne je son que se qui ce dans en du elle au pour pas vous par sur faire plus dire me on mon lui nous comme mais pouvoir avec tout aller voir bien où sans tu ou leur homme si deux mari moi vouloir te femme venir quand grand celui notre devoir là jour prendre même votre rien petit encore aussi quelque dont mer trouver donner temps ça peu falloir sous parler alors main chose ton mettre vie savoir yeux",
+    "es": "el la de que y a en un ser se no haber por con su para como estar tener le lo todo pero más hacer o poder decir este ir otro ese si me ya ver porque dar cuando él muy sin vez mucho saber qué sobre mi alguno mismo yo también hasta año dos querer entre así primero desde grande eso ni nos llegar pasar tiempo ella sí día uno bien poco deber entonces poner cosa tanto hombre parecer nuestro tan donde ahora parte después vida",
+}
+
+
+def test_every_language_is_found_where_documents_are_few(spark):
+    """Four languages, one of them three fifths of a few hundred documents."""
+    rnd = random.Random(7)
+    rows = []
+    for k in range(420):
+        lang = rnd.choices(list(PROSE), [60, 14, 16, 10])[0]
+        words = PROSE[lang].split()
+        rows.append((k, " ".join(rnd.choice(words) for _ in range(rnd.randint(8, 120))).capitalize(), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    by = {r.doc_id: r.lang_pred for r in G.predict(docs, G.train(docs)).collect()}
+    recall_over(0.9, [(lang, by[i]) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 == 1], PROSE)
+
+
+def recall_over(least, pairs, languages):
+    all_, right = Counter(a for a, _ in pairs), Counter(a for a, b in pairs if a == b)
+    assert set(all_) >= set(languages)
+    assert all(right[x] > least * n for x, n in all_.items()), (right, all_)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_recall_of_each_language_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = G.op3_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id")
+    rows = out.where("held_out and lang is not null and lang_pred <> 'und'").select("lang", "lang_pred").collect()
+    recall_over(0.9, [tuple(r) for r in rows], {r.lang for r in rows})
+
+
+def test_rare_and_many_languages(spark):
+    """Every value of lang is learned; over the bound it is an error, not a cut."""
+    rows = [(k, f"{chr(97 + k % 26)}" * 50, f"l{k % 300}") for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    labels, windows, y = G.sample(docs, G.LangId(per_language=4))
+    assert labels == sorted(learned) and len(labels) > 256 and set(y) == set(range(len(labels))) and len(windows) == len(y)
+    out = G.predict(docs.limit(5), G.train(docs, G.LangId(per_language=4, steps=2, hidden=2)), positions=True).collect()
+    assert all(len(r.labels) == 100 for r in out)
+    with pytest.raises(ValueError):
+        G.sample(docs, G.LangId(most_languages=len(labels) - 1))
+
+
+def test_clashing_columns(spark):
+    rows = [(k, "the and for with " * 9, "en", "x", "y", 1) for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, lettered string, rate int")
+    out = G.predict(docs, G.train(docs, G.LangId(steps=3)))
+    assert out.columns == ["doc_id", "lang_pred", "score"] and {r.lang_pred for r in out.collect()} == {"en"}
