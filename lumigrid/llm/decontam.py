@@ -5,21 +5,31 @@ passage leaks an item of n words when it is within k = floor(max_edit * n) edits
 
 1. An item is cut into k + 1 pieces; a passage within k edits holds one of them
    unchanged. Item-sized windows are taken where a document holds a piece, at
-   the piece's place and up to ``slack`` words beside it.
-2. The CGK random walk embeds windows and items in strings of 3n symbols whose
-   Hamming distance follows the edit distance: step j copies the symbol under
-   the pointer, and a random bit of (j, symbol) tells whether it moves on.
-3. Bit-sampling LSH over the embeddings: ``walks`` x ``tables`` samples of
-   ``bits`` positions; a window is compared with items that share a sample.
+   the piece's place and up to ``slack`` words beside it. This step does the
+   searching, and loses nothing but windows that begin over ``slack`` words off.
+2. The CGK random walk embeds windows and items in strings whose Hamming
+   distance follows the edit distance: step j copies the symbol under the
+   pointer, and a random bit of (j, symbol) tells whether it moves on. It moves
+   in half of its steps, so somewhat under 2n steps (``live_steps``) end before a
+   text of n words does, and padding is hardly ever sampled.
+3. Bit-sampling LSH over the embeddings filters the windows: ``walks`` x
+   ``tables`` samples of ``bits`` positions; a window is compared with items
+   that share a sample. One window of a passage at the edit limit passes with a
+   probability of 0.97 to 1 (5 to 150 words; tests/llm/test_decontam.py), and a
+   passage has several.
 4. Candidates are verified by exact edit distance, the item against the best
    stretch of the document around the window.
 
-The benchmark is the stated query set: it is worked through in blocks of
-``block_items`` items, each small enough to send to every task.
+The benchmark is the stated query set: it is worked through in blocks of at most
+about ``block_items`` items and ``block_chars`` characters, each small enough to
+send to every task. Within a block items are dealt by length, so a very long one
+widens nothing but its own windows.
 
-Defined cases: null and empty texts leak nothing; items with fewer than
-``min_words`` words, null ones included, are not searched; items with the same
-text are each reported; repeated rows of documents are each searched.
+Defined cases: null and empty texts, of documents and of items, leak nothing;
+items of fewer than 1 / max_edit words are searched for exactly; items with the
+same text are each reported; repeated rows of documents, and those without a
+doc_id, are each searched; items without an item_id are not reported. Other
+columns of either table are not read.
 """
 
 from __future__ import annotations
@@ -43,29 +53,36 @@ PAD = U(0x7F4A7C159E3779B9)
 @dataclass(frozen=True)
 class Decontam:
     max_edit: float = 0.2
-    min_words: int = 5
     walks: int = 8
-    tables: int = 8
+    tables: int = 16
     bits: int = 3
     slack: int = 2
     longest_piece: int = 5
     block_items: int = 20_000
+    block_chars: int = 20_000_000
+    #: bytes of embeddings at a time
+    embed_bytes: int = 32 << 20
     seed: int = 11
 
     def edits(self, n):
         return np.floor(np.asarray(n) * self.max_edit + 1e-9).astype(np.int64)
 
 
+def live_steps(n: np.ndarray) -> np.ndarray:
+    """Steps of a walk that end within n words but for two standard deviations: s / 2 + sqrt(s) = n."""
+    return np.maximum(((np.sqrt(1 + 2 * np.asarray(n, float)) - 1) ** 2).astype(np.int64), 1)
+
+
 def embed(windows: np.ndarray, lengths: np.ndarray, walk: int, p: Decontam) -> np.ndarray:
     """CGK strings, a row per window; windows are padded beyond their length."""
     m, width = windows.shape
-    steps = 3 * width
+    steps = int(live_steps(width))
     odd = T.mix(np.arange(1, steps + 1, dtype=U) + U((p.seed * 1000 + walk) << 20)) | U(1)
-    out, at, row = np.empty((m, steps), U), np.zeros(m, np.int64), np.arange(m)
+    out, at, row = np.empty((steps, m), U), np.zeros(m, np.int64), np.arange(m)
     padded = np.concatenate([windows, np.full((m, 1), PAD, U)], axis=1)
     for j in range(steps):
         symbol = padded[row, np.minimum(at, lengths)]
-        out[:, j] = symbol
+        out[j] = symbol
         at += ((symbol * odd[j]) >> U(63)).astype(np.int64)
     return out
 
@@ -73,16 +90,28 @@ def embed(windows: np.ndarray, lengths: np.ndarray, walk: int, p: Decontam) -> n
 def bucket_keys(windows: np.ndarray, lengths: np.ndarray, p: Decontam) -> np.ndarray:
     """(windows, walks * tables) hashed samples of each embedding; the length is part of the key."""
     rnd = np.random.default_rng(p.seed)
-    keys = []
+    keys, own = np.empty((len(windows), p.walks * p.tables), U), np.arange(len(windows))
+    steps = live_steps(lengths)
     for walk in range(p.walks):
         embedded = embed(windows, lengths, walk, p)
         for table in range(p.tables):
             places = rnd.random(p.bits)
             key = T.mix(lengths.astype(U) * U(1_000_003) + U(walk * p.tables + table))
             for place in places:
-                key = T.mix(key * U(3) + embedded[np.arange(len(windows)), (place * 3 * lengths).astype(np.int64)])
-            keys.append(key)
-    return np.stack(keys, axis=1)
+                key = T.mix(key * U(3) + embedded[(place * steps).astype(np.int64), own])
+            keys[:, walk * p.tables + table] = key
+    return keys
+
+
+def by_width(lengths: np.ndarray, p: Decontam):
+    """Numbers of texts, those of like lengths together, in portions whose embeddings fit in ``embed_bytes``."""
+    kind = np.frexp(lengths.astype(float))[1]
+    for k in np.unique(kind):
+        own = np.flatnonzero(kind == k)
+        width = int(lengths[own].max())
+        step = max(1, int(p.embed_bytes / (24 * width)))
+        for lo in range(0, len(own), step):
+            yield own[lo : lo + step], width
 
 
 def run_hashes(h: np.ndarray, bounds: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,41 +159,47 @@ class Index:
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
         h, _, _, bounds = T.words(np.frombuffer(b"".join(raw), np.uint8), offsets, space=BREAK)
         n = np.diff(bounds)
-        keep = np.flatnonzero(n >= p.min_words)
+        keep = np.flatnonzero(n)
         self.ids = np.asarray(ids, np.int64)[keep]
         self.words = [h[bounds[i] : bounds[i + 1]] for i in keep]
         self.n, self.k = n[keep], p.edits(n[keep])
-        self.pieces: dict[int, Lookup] = {}
+        self.pieces: dict[int, tuple[Lookup, np.ndarray, np.ndarray]] = {}
         found: dict[int, list] = {}
-        for item, (w, size, k) in enumerate(zip(self.words, self.n, self.k, strict=True)):
+        for item, (size, k) in enumerate(zip(self.n, self.k, strict=True)):
             q = int(min(p.longest_piece, size // (k + 1)))
-            for piece in range(k + 1):
-                found.setdefault(q, []).append((item, int(piece * size // (k + 1)), w))
+            found.setdefault(q, []).append((np.full(k + 1, item), np.arange(k + 1) * size // (k + 1)))
         for q, rows in found.items():
-            flat = np.stack([w[o : o + q] for _, o, w in rows])
-            _, keys = run_hashes(flat.ravel(), np.arange(len(rows) + 1) * q, q)
-            self.pieces[q] = Lookup(keys, np.array([(i << 20) + o for i, o, _ in rows], np.int64))
+            items, places = (np.concatenate(x) for x in zip(*rows, strict=True))
+            flat = np.concatenate([self.words[i][o : o + q] for i, o in zip(items, places, strict=True)])
+            _, keys = run_hashes(flat, np.arange(len(items) + 1) * q, q)
+            self.pieces[q] = Lookup(keys, np.arange(len(items))), items, places
         self.buckets = None
         if len(self.ids):
-            keys = bucket_keys(self.matrix(self.words), self.n, p)
+            keys = np.empty((len(self.ids), p.walks * p.tables), U)
+            for own, width in by_width(self.n, p):
+                matrix = np.full((len(own), width), PAD, U)
+                for row, i in zip(matrix, own, strict=True):
+                    row[: self.n[i]] = self.words[i]
+                keys[own] = bucket_keys(matrix, self.n[own], p)
             self.buckets = Lookup(keys.ravel(), np.repeat(np.arange(len(self.ids)), keys.shape[1]))
 
-    def matrix(self, rows: list[np.ndarray]) -> np.ndarray:
-        out = np.full((len(rows), int(self.n.max())), PAD, U)
-        for i, w in enumerate(rows):
-            out[i, : len(w)] = w
-        return out
-
     def leaks(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, distance, first word) of the best passage for every row and item."""
         if self.buckets is None or not len(h):
             return []
         row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         starts, sizes = [], []
-        for q, lookup in self.pieces.items():
+        for q, (lookup, items, places) in self.pieces.items():
             at, keys = run_hashes(h, bounds, q)
-            hit, value = lookup.find(keys)
-            item, offset = value >> 20, value & 0xFFFFF
+            hit, piece = lookup.find(keys)
+            item, offset = items[piece], places[piece]
+            # a short item is its own piece: its first place in a row is its best passage
+            exact = np.flatnonzero(self.k[item] == 0)
+            _, first = np.unique(np.stack([row_of[at[hit[exact]]], item[exact]]), axis=1, return_index=True)
+            use = np.zeros(len(hit), bool)
+            use[exact[first]] = True
+            use |= self.k[item] > 0
+            hit, item, offset = hit[use], item[use], offset[use]
             for beside in range(-self.p.slack, self.p.slack + 1):
                 ok = np.abs(beside) <= self.k[item]
                 starts.append(np.stack([row_of[at[hit[ok]]], at[hit[ok]] - offset[ok] + beside]))
@@ -174,13 +209,12 @@ class Index:
         start = np.maximum(start, bounds[row])
         windows = np.unique(np.stack([row, start, size]), axis=1)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for lo in range(0, windows.shape[1], 4096):
-            self._compare(h, bounds, windows[:, lo : lo + 4096], best)
+        for own, width in by_width(windows[2], self.p):
+            self._compare(h, bounds, windows[:, own], width, best)
         return [(r, i, d, s) for (r, i), (d, s) in best.items()]
 
-    def _compare(self, h, bounds, windows, best) -> None:
+    def _compare(self, h, bounds, windows, width, best) -> None:
         row, start, size = windows
-        width = int(self.n.max())
         at = start[:, None] + np.arange(width)[None, :]
         inside = (np.arange(width)[None, :] < size[:, None]) & (at < bounds[row + 1][:, None])
         cut = np.where(inside, h[np.minimum(at, len(h) - 1)], PAD)
@@ -208,7 +242,7 @@ def fit(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
             if np.array_equal(passage[s : s + n], item):
                 return 0, int(s)
     # cost * big + start, so that the minimum also carries where its stretch began (the latest on ties is last)
-    big = 1 << 20
+    big = 1 << 32
     column = np.arange(m + 1, dtype=np.int64)
     line = column.copy()
     for j in range(n):
@@ -226,8 +260,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, p: Decontam = Decontam())
     """doc_id, item_id, distance, item_words and first_word of every leaked item of every document."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark, count = docs.sparkSession, items.count()
-    blocks = max(1, -(-count // p.block_items))
+    spark = docs.sparkSession
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size.n // p.block_items), -(-size.chars // p.block_chars))
     out = None
     for b in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
