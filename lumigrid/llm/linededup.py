@@ -1,8 +1,10 @@
 """Line dedup: a line goes if an earlier line of the corpus is equal or one edit away.
 
-Lines are compared trimmed; those under ``min_chars`` characters stay out of it.
-The order is (doc_id, line number). "Earlier" includes lines that go themselves,
-so the result does not depend on the order of work.
+Lines are compared trimmed; lines without a word stay, and those under
+``min_chars`` characters go only if they are equal to an earlier one, since one
+edit makes another word of a short line. The order is (doc_id, line number).
+"Earlier" includes lines that go themselves, so the result does not depend on
+the order of work.
 
 Two lines are within one edit exactly if deleting at most one character makes
 them equal: deleting the same place of both (a changed character), or one place
@@ -22,8 +24,11 @@ grains, so that only lines with a near partner emit one per character:
 No step makes pairs inside a group: each key carries minima only.
 
 Defined cases: null text stays null; documents with no line left get an empty
-text (``dedup_lines`` keeps them, ``kept`` false); rows that share a doc_id and a
-line number are copies of each other; a null doc_id counts as the smallest.
+text (``dedup_lines`` keeps them, ``kept`` false); a null doc_id counts as the
+smallest; rows that share a doc_id, or have none, are documents of their own, in
+the order of their texts' hashes (equal rows: as they come, all but one go); an
+empty table gives no rows; other columns pass through, and input columns of the
+result's names are replaced.
 """
 
 from __future__ import annotations
@@ -35,9 +40,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import text as T
-from .store import cut
+from .store import cut, cut_counting
 
 U = np.uint64
 #: what strip() takes from a line's ends
@@ -48,6 +54,7 @@ BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 @dataclass(frozen=True)
 class LineDedup:
     max_edits: int = 1
+    #: shortest line that one edit may match
     min_chars: int = 10
     blocks: int = 4
 
@@ -104,36 +111,59 @@ def block_keys(ph: T.PrefixHash, lo: np.ndarray, hi: np.ndarray, blocks: int) ->
     return np.stack(out, axis=1)
 
 
-LINE = "h long, doc_id long, line int, keys array<long>"
+LINE = "h long, id long, tie long, line int, keys array<long>"
+#: where a line stands, in the order of what is earlier
+PLACE = ["id", "tie", "line"]
+#: stands for a null doc_id
+FIRST = -(1 << 63)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with id and tie, which together are one row's own and give the rows' order.
+
+    Where a doc_id is unique the tie is 0. The other rows are written in the order
+    of (doc_id, text), so their numbers are the same whenever they are read."""
+    number = F.col("doc_id").cast("long")
+    shared = docs.groupBy(number.alias("shared")).count().where("count > 1 or shared is null").select("shared")
+    shared, n = cut_counting(shared, "shared")
+    docs = docs.withColumn("id", F.coalesce(number, F.lit(FIRST)))
+    if not n:
+        return docs.withColumn("tie", F.lit(0).cast("long"))
+    one = docs.where("doc_id is not null").join(shared, number == F.col("shared"), "left_anti").withColumn("tie", F.lit(0).cast("long"))
+    some = docs.join(shared, number.eqNullSafe(F.col("shared")), "left_semi").repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
+    return one.unionByName(cut(some.withColumn("tie", F.monotonically_increasing_id() + 1), "repeated"))
 
 
 def _distinct_lines(docs: DataFrame, p: LineDedup) -> DataFrame:
     def run(batches):
         for rows, data, offsets in T.pieces(batches, "text", 2 << 20):
             codes, row, number, lo, hi = lines_of(data, offsets)
-            use = np.flatnonzero(hi - lo >= p.min_chars)
+            use = np.flatnonzero(hi > lo)
             if not len(use):
                 continue
             lo, hi, ph = lo[use], hi[use], codes_hash(codes)
             h = line_hash(ph, lo, hi)
-            ids = rows.column(rows.schema.get_field_index("doc_id"))
-            order_id = pc.fill_null(ids, -(1 << 63)).to_numpy(zero_copy_only=False)[row[use]]
+            col = lambda n: rows.column(rows.schema.get_field_index(n)).to_numpy(zero_copy_only=False)[row[use]]
+            ids, ties, number = col("id"), col("tie"), number[use]
             # the earliest of equal lines of this piece stands for them
-            order = np.lexsort((number[use], order_id, h))
+            order = np.lexsort((number, ties, ids, h))
             one = order[np.concatenate([[True], h[order][1:] != h[order][:-1]])]
-            keys = block_keys(ph, lo[one], hi[one], p.blocks).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(one) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), pa.array(order_id[one]), pa.array(number[use][one].astype(np.int32)), lists], names=["h", "doc_id", "line", "keys"])
-
-    each = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, LINE)
+            long = (hi[one] - lo[one] >= p.min_chars) & (p.max_edits > 0)
+            keys = block_keys(ph, lo[one][long], hi[one][long], p.blocks).view(np.int64)
+            bounds = np.concatenate([[0], np.cumsum(long * keys.shape[1])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.ravel()))
+            at = [pa.array(x) for x in (h[one].view(np.int64), ids[one], ties[one], number[one].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*at, lists], names=["h", "id", "tie", "line", "keys"])
+
+    each = docs.select("id", "tie", "text").mapInArrow(run, LINE)
     # keys follow from the line, so any of equal lines' keys will do
-    return each.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("keys").alias("keys")).select("h", "at.doc_id", "at.line", "keys")
+    return each.groupBy("h").agg(F.min(F.struct(*PLACE)).alias("at"), F.first("keys").alias("keys")).select("h", "at.id", "at.tie", "at.line", "keys")
 
 
 def _variant_rows(lines: DataFrame, p: LineDedup) -> DataFrame:
-    """lines: h, doc_id, line, body, parts (which of the 2 * blocks keys are shared).
+    """lines: h, id, tie, line, body, parts (which of the 2 * blocks keys are shared).
 
-    Rows (variant, place, h, doc_id, line): place is where a character was
+    Rows (variant, place, h, id, tie, line): place is where a character was
     deleted, -1 for the whole line."""
 
     def run(batches):
@@ -160,9 +190,9 @@ def _variant_rows(lines: DataFrame, p: LineDedup) -> DataFrame:
             whole = ph.of(lo, gap) + ph.of(after, hi) * T.shifted(gap - lo)
             variant = T.mix(whole + (hi - lo - (place >= 0)).astype(U) * U(0x9E3779B97F4A7C15))
             take = lambda n: rows.column(rows.schema.get_field_index(n)).take(pa.array(line))
-            yield pa.RecordBatch.from_arrays([pa.array(variant.view(np.int64)), pa.array(place.astype(np.int32)), take("h"), take("doc_id"), take("line")], names=["variant", "place", "h", "doc_id", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(variant.view(np.int64)), pa.array(place.astype(np.int32)), *[take(n) for n in ("h", *PLACE)]], names=["variant", "place", "h", *PLACE])
 
-    return lines.select("h", "doc_id", "line", "body", "parts").mapInArrow(run, "variant long, place int, h long, doc_id long, line int")
+    return lines.select("h", *PLACE, "body", "parts").mapInArrow(run, "variant long, place int, h long, id long, tie long, line int")
 
 
 def within_one_edit(a: str, b: str) -> bool:
@@ -179,29 +209,27 @@ def within_one_edit(a: str, b: str) -> bool:
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (doc_id, line, ...) with the trimmed line as body."""
-    # an id may have several rows: the line is the one whose hash was kept
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "h", "parts")).alias("wanted"))
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text").join(lists, "doc_id")
+    """wanted (h, id, tie, line, parts) with the trimmed line as body."""
+    # a list holds lines of one text, so it is no longer than that
+    lists = wanted.groupBy("id", "tie").agg(F.collect_list(F.struct("line", "h", "parts")).alias("wanted"))
+    own = docs.select("id", "tie", "text").join(lists, ["id", "tie"])
 
     def run(batches):
         for rows, data, offsets in T.pieces(batches, "text", 1 << 20):
             codes, row, _, lo, hi = lines_of(data, offsets)
             first = np.searchsorted(row, np.arange(len(offsets)))
-            h = line_hash(codes_hash(codes), lo, hi).view(np.int64)
-            out = {"h": [], "doc_id": [], "line": [], "body": [], "parts": []}
-            ids = rows.column(rows.schema.get_field_index("doc_id")).to_pylist()
-            for r, own in enumerate(rows.column(rows.schema.get_field_index("wanted")).to_pylist()):
+            out = {"h": [], "id": [], "tie": [], "line": [], "body": [], "parts": []}
+            col = lambda n: rows.column(rows.schema.get_field_index(n)).to_pylist()
+            for r, (own, id_, tie) in enumerate(zip(col("wanted"), col("id"), col("tie"), strict=True)):
                 for w in own:
                     at = first[r] + w["line"]
-                    if at < first[r + 1] and h[at] == w["h"]:
-                        body = codes[lo[at] : hi[at]].tobytes().decode("utf-32-le", "surrogatepass")
-                        for k, v in (("h", w["h"]), ("doc_id", ids[r]), ("line", w["line"]), ("body", body), ("parts", w["parts"])):
-                            out[k].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
+                    body = codes[lo[at] : hi[at]].tobytes().decode("utf-32-le", "surrogatepass")
+                    for k, v in zip(out, (w["h"], id_, tie, w["line"], body, w["parts"]), strict=True):
+                        out[k].append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return own.mapInArrow(run, "h long, doc_id long, line int, body string, parts array<int>").dropDuplicates(["h"])
+    return own.mapInArrow(run, "h long, id long, tie long, line int, body string, parts array<int>")
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, p: LineDedup) -> DataFrame:
@@ -210,10 +238,10 @@ def near_lines(docs: DataFrame, lines: DataFrame, p: LineDedup) -> DataFrame:
     # a key of the own length in one line, and any other line with that key
     crowd = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("least")).where(f"n > 1 and least < {p.blocks}")
     shared = keys.join(crowd.select("key"), "key", "left_semi").groupBy("h").agg(F.collect_set("part").alias("parts"))
-    wanted = lines.select("h", "doc_id", "line").join(shared, "h")
+    wanted = lines.select("h", *PLACE).join(shared, "h")
     bodies = cut(_bodies(docs, wanted), "bodies")
     variants = cut(_variant_rows(bodies, p), "variants")
-    at = F.struct("doc_id", "line", "h")
+    at = F.struct(*PLACE, "h")
     # a character changed: same variant, same place
     changed = variants.where("place >= 0").groupBy("variant", "place").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = variants.where("place >= 0").join(changed, ["variant", "place"]).where(at > F.col("first")).select("h", F.col("first.h").alias("other"))
@@ -241,40 +269,35 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
     """``docs`` with text reduced to the lines that stay, and n_lines,
     n_removed (lines that went) and kept (false if no word is left of a text
     that had some, by lines going)."""
-    lines = cut(_distinct_lines(docs, p), "lines")
-    stay = lines.select("h", "doc_id", "line")
-    if p.max_edits:
-        stay = stay.join(near_lines(docs, lines, p), "h", "left_anti")
-    lists = stay.groupBy(F.col("doc_id").alias("stay_id")).agg(F.collect_list("line").alias("stay_lines"), F.collect_list("h").alias("stay_hashes"))
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    docs = docs.drop("n_lines", "n_removed", "kept", "stay_id", "stay_lines", "stay_hashes")
-    own = docs.withColumn("stay_id", number).join(lists, "stay_id", "left").drop("stay_id")
-    from pyspark.sql.types import StructType
-
+    docs = docs.drop("n_lines", "n_removed", "kept")
     names = docs.columns
+    # every column but the text travels under a number, so that no name can clash
+    rest = [n for n in names if n != "text"]
+    plain = docs.select(F.col("doc_id"), F.col("text"), *[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(rest)])
+    own = numbered(plain)
+    lines = cut(_distinct_lines(own, p), "lines")
+    stay = lines.select("h", *PLACE)
+    if p.max_edits:
+        stay = stay.join(near_lines(own, lines, p), "h", "left_anti")
+    lists = stay.groupBy("id", "tie").agg(F.collect_list("line").alias("stay"))
+    own = own.join(lists, ["id", "tie"], "left")
+    order = ["text" if n == "text" else f"c{rest.index(n)}" for n in names]
+    own = own.select(*[F.col(c).alias(f"o{i}") if c != "text" else F.col(c) for i, c in enumerate(order)], "stay")
     schema = StructType([*docs.schema.fields, *StructType.fromDDL("n_lines long, n_removed long, kept boolean").fields])
 
     def run(batches):
         for rows, data, offsets in T.pieces(batches, "text", 1 << 20):
-            codes, row, number, lo, hi = lines_of(data, offsets)
-            h = line_hash(codes_hash(codes), lo, hi).view(np.int64)
+            _, row, _, lo, hi = lines_of(data, offsets)
             col = lambda n: rows.column(rows.schema.get_field_index(n))
-            eligible = hi - lo >= p.min_chars
-            keep = ~eligible
-            where, hashes = col("stay_lines"), col("stay_hashes")
-            sizes = pc.fill_null(pc.list_value_length(where), 0).to_numpy(zero_copy_only=False)
+            worded = hi > lo
+            keep = ~worded
+            sizes = pc.fill_null(pc.list_value_length(col("stay")), 0).to_numpy(zero_copy_only=False)
             first = np.searchsorted(row, np.arange(len(offsets)))
-            flat_row = np.repeat(np.arange(len(sizes)), sizes)
-            flat_line = pc.list_flatten(where).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat_hash = pc.list_flatten(hashes).to_numpy(zero_copy_only=False)
-            at = first[flat_row] + flat_line
-            ok = at < first[flat_row + 1]
-            at, flat_hash = at[ok], flat_hash[ok]
-            keep[at[h[at] == flat_hash]] = True
+            lines_left = pc.list_flatten(col("stay")).to_numpy(zero_copy_only=False).astype(np.int64)
+            keep[first[np.repeat(np.arange(len(sizes)), sizes)] + lines_left] = True
             n_rows = len(offsets) - 1
             removed = np.bincount(row[~keep], minlength=n_rows)
             texts = col("text")
-            worded = hi > lo
             left = np.bincount(row[keep & worded], minlength=n_rows) > 0
             if removed.any():
                 new = texts.to_pylist()
@@ -282,7 +305,7 @@ def dedup_lines(docs: DataFrame, p: LineDedup = LineDedup()) -> DataFrame:
                     whole = new[r].split("\n")
                     new[r] = "\n".join([x for x, k in zip(whole, keep[first[r] : first[r + 1]], strict=True) if k])
                 texts = pa.array(new, pa.string())
-            columns = [texts if n == "text" else col(n) for n in names]
+            columns = [texts if n == "text" else col(f"o{i}") for i, n in enumerate(names)]
             n_lines = np.where(texts.is_valid().to_numpy(zero_copy_only=False), np.diff(first), 0)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines), pa.array(removed.astype(np.int64)), pa.array((removed == 0) | left)], names=[*names, "n_lines", "n_removed", "kept"])
 
