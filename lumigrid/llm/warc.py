@@ -4,16 +4,24 @@ Reading plans partitions of whole files, small ones together up to
 ``maxPartitionBytes``. Filters on record_type, record_id, target_uri and
 payload_digest are taken over by the source: a record's headers are parsed
 first, and the block of a record that fails, or whose payload the schema does
-not ask for, is skipped by its length and never decoded. Files are gzip with
-one member per record, or plain. They are opened through pyarrow's file
+not ask for, is skipped by its length. In a plain file that is a seek; in a gzip
+file, one member per record, the member must still be inflated to find its end,
+but nothing of it is kept or decoded. Files are opened through pyarrow's file
 systems, so local, HDFS and object-store paths work alike.
 
+Field names are read in any case, with or without a blank behind the colon, and
+folded values are joined, so other writers' archives are read too. Their
+payload_bytes are counted from the block if no header states them.
+
 Writing rolls files over at ``maxFileBytes``; a task writes under a name of its
 own attempt and only the commit gives files their final names, so a lost
 executor leaves no half-written archive.
 
 Defined cases: a null payload is written as an empty one; a payload of a revisit
-record is null when read; an empty table gives an empty folder of archives.
+record is null when read; rows that share a page_id are separate records, and
+equal ones among them all responses; an empty table gives an empty folder of
+archives; other columns of the pages are not read. An archive that ends inside a
+record, or a record without a length, is an error.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from .store import new_path
+from .store import cut_counting, new_path
 
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 FILTERED = {"record_id", "record_type", "target_uri", "payload_digest"}
@@ -43,6 +51,8 @@ FIELDS = {
     "payload_digest": "WARC-Payload-Digest",
     "payload_bytes": "WARC-Payload-Length",
 }
+LENGTH = FIELDS["payload_bytes"].lower()
+ENDS = "the archive ends inside a record"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -129,12 +139,28 @@ class Paths(InputPartition):
 
 
 class Input:
-    """Bytes of a plain or gzip file, member by member, read in blocks."""
+    """Bytes of a plain or gzip file, member by member, read in blocks. A plain one can be sought."""
 
     def __init__(self, stream, zipped: bool, block: int = 1 << 20):
         self.stream, self.block, self.zipped = stream, block, zipped
         self.unzip = zlib.decompressobj(31) if zipped else None
         self.left, self.have, self.at = b"", bytearray(), 0
+        if not zipped:
+            stream.seek(0, 2)
+            self.end = stream.tell()
+            stream.seek(0)
+
+    def skip(self, n: int) -> None:
+        """Pass over n bytes; those of a plain file that are not in memory are not read."""
+        inside = min(n, len(self.have) - self.at)
+        self.at += inside
+        n -= inside
+        if self.zipped:
+            self.take(n, False)
+        elif n:
+            if self.stream.tell() + n > self.end:
+                raise ValueError(ENDS)
+            self.stream.seek(n, 1)
 
     def _more(self) -> bool:
         raw = self.left or self.stream.read(self.block)
@@ -173,7 +199,7 @@ class Input:
             if self.at == len(self.have):
                 self._drop()
                 if not self._more():
-                    raise ValueError("the archive ends inside a record")
+                    raise ValueError(ENDS)
                 continue
             step = min(n, len(self.have) - self.at)
             if want:
@@ -183,8 +209,24 @@ class Input:
         return b"".join(parts) if want else None
 
 
-def records(stream, zipped: bool, wanted, payload: bool):
-    """(headers, payload or None) of the records whose headers satisfy ``wanted``."""
+def header_fields(lines: list[str]) -> dict:
+    """Values by lower-case field name; a line that starts with a blank continues the one before."""
+    fields, name = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] = f"{fields[name]} {line.strip()}"
+            continue
+        name, colon, value = line.partition(":")
+        name = name.strip().lower()
+        if colon:
+            fields[name] = value.strip()
+    return fields
+
+
+def records(stream, zipped: bool, wanted, payload: bool, length: bool = False):
+    """(headers, payload or None) of the records whose headers satisfy ``wanted``.
+
+    ``length``: fill in the payload's length where the headers don't state it."""
     source = Input(stream, zipped)
     while True:
         head = source.until(b"\r\n\r\n")
@@ -195,22 +237,33 @@ def records(stream, zipped: bool, wanted, payload: bool):
             lines.pop(0)
         if not lines:
             continue
-        fields = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
-        size, ok = int(fields["Content-Length"]), wanted(fields)
-        need = ok and payload and fields.get("WARC-Type") != "revisit"
-        block = source.take(size, need)
+        fields = header_fields(lines[1:])
+        if not fields.get("content-length", "").isdigit():
+            raise ValueError(f"record {fields.get('warc-record-id')} states no Content-Length")
+        size, ok = int(fields["content-length"]), wanted(fields)
+        full = fields.get("warc-type", "").lower() != "revisit"
+        count = length and LENGTH not in fields
+        if ok and full and (payload or count):
+            own = _payload(source.take(size), fields)
+            if count:
+                fields[LENGTH] = str(len(own))
+            yield fields, own if payload else None
+            continue
+        source.skip(size)
         if ok:
-            yield fields, _payload(block, fields) if need else None
+            yield fields, None
 
 
 def _payload(block: bytes, fields: dict) -> bytes:
-    if not fields.get("Content-Type", "").startswith("application/http"):
+    if not fields.get("content-type", "").lower().startswith("application/http"):
         return block
     return block.partition(b"\r\n\r\n")[2]
 
 
 def values(fields: dict) -> dict:
-    out = {k: fields.get(v) for k, v in FIELDS.items()}
+    out = {k: fields.get(v.lower()) for k, v in FIELDS.items()}
+    if out["record_type"]:
+        out["record_type"] = out["record_type"].lower()
     if out["payload_digest"]:
         out["payload_digest"] = out["payload_digest"].partition(":")[2] or out["payload_digest"]
     out["payload_bytes"] = int(out["payload_bytes"]) if out["payload_bytes"] else None
@@ -256,8 +309,9 @@ class WarcReader(DataSourceReader):
 
         rows, size = {n: [] for n in self.names}, 0
         for path in partition.paths:
-            with filesystem.open_input_stream(path, compression=None) as stream:
-                for fields, payload in records(stream, path.endswith(".gz"), wanted, "payload" in self.names):
+            zipped = path.endswith(".gz")
+            with filesystem.open_input_stream(path, compression=None) if zipped else filesystem.open_input_file(path) as stream:
+                for fields, payload in records(stream, zipped, wanted, "payload" in self.names, "payload_bytes" in self.names):
                     own = values(fields) | {"payload": payload}
                     for n in self.names:
                         rows[n].append(own[n])
@@ -303,18 +357,26 @@ def base32_digest(payload) -> F.Column:
     return F.concat(*parts)
 
 
-def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+#: payloads with copies whose digests are broadcast; beyond this the ids of revisits are joined by shuffle
+BROADCAST_FIRSTS = 250_000
+
+
+def with_revisits(pages: DataFrame, min_bytes: int = 0, broadcast: int = BROADCAST_FIRSTS) -> DataFrame:
     """(page_id, url, payload) with digest, type and, for revisits, the first page of the payload.
 
-    Only ids and digests are aggregated; payloads with a copy are few, so the
-    table of first pages is joined by digest, copies of one payload dealt over
-    salts."""
-    salts = 16
-    rows = pages.withColumn("payload_digest", base32_digest(F.col("payload"))).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
-    large = rows.where(F.length("payload") >= min_bytes)
-    firsts = large.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = firsts.select(F.col("payload_digest").alias("digest"), "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("lot"))
-    out = rows.join(firsts, (rows.payload_digest == firsts.digest) & (rows.salt == firsts.lot) & (F.length("payload") >= min_bytes), "left")
+    Digests and ids are aggregated, payloads are not. The digests that occur
+    again go to every task if they are few. If not, revisits are found among ids
+    and digests, and only their ids meet the payloads: page ids are many, so a
+    payload with many copies makes no hot key."""
+    rows = pages.withColumn("payload_digest", base32_digest(F.col("payload")))
+    ids = rows.where(F.length("payload") >= min_bytes).select("page_id", F.col("payload_digest").alias("digest"))
+    firsts = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    firsts, n = cut_counting(firsts.select("digest", "first"), "firsts")
+    if n <= broadcast:
+        out = rows.join(F.broadcast(firsts), (rows.payload_digest == firsts.digest) & (F.length("payload") >= min_bytes), "left")
+    else:
+        found = ids.join(firsts, "digest").where("page_id <> first").select(F.col("page_id").alias("copy"), "digest", "first").distinct()
+        out = rows.join(found, (rows.page_id == found.copy) & (rows.payload_digest == found.digest) & (F.length("payload") >= min_bytes), "left")
     again = F.col("first").isNotNull() & (F.col("first") != F.col("page_id"))
     return out.select(
         F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">")).alias("record_id"),
