@@ -120,7 +120,7 @@ def test_unwanted_blocks_of_plain_files_are_not_read():
 
 
 def test_many_copies_are_joined_by_id(spark):
-    pages = [(i, "u", f"p{i % 7}".encode()) for i in range(60)] + [(None, "u", b"p1"), (None, "u", b"p1"), (3, "u", b"p3"), (3, "u", b"p4")]
+    pages = [(i, "u", f"p{i % 7}".encode()) for i in range(60)] + [(None, "u", b"p1"), (None, "u", b"p1"), (3, "u", b"p3"), (3, "u", b"p2")]
     df = spark.createDataFrame(pages, "page_id long, url string, payload binary")
     key = lambda r: tuple((x is None, x) for x in r)
     out = [sorted((tuple(r) for r in warc.with_revisits(df, broadcast=n).drop("payload").collect()), key=key) for n in (1000, 0)]
