@@ -7,8 +7,10 @@ ratio of its features, so it does not depend on length, and a document is kept
 when its score reaches a fixed threshold. Everything is DataFrame expressions.
 
 Defined cases: a null or empty text has no words, scores 0 and fails; repeated
-rows are judged one by one; an empty corpus gives no rows; without trusted
-documents both multinomials are uniform or raw and the ratio still is defined.
+rows are judged one by one, and rows that share a doc_id are all trusted if it
+is; rows without a doc_id are not; an empty corpus gives no rows; without trusted
+documents the target is uniform and the ratio still is defined; input columns of
+the result's names are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class QualityRules:
-    buckets: int = 4096
+    buckets: int = 1 << 14
     min_score: float = -0.2
     min_words: int = 10
     max_repeat_percent: int = 20
@@ -50,9 +52,12 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return out.withColumn("two", F.zip_with(_part("one", 1, 1), _part("one", 2, 1), lambda a, b: F.xxhash64(a, b)))
 
 
+def _ending(word: Column) -> Column:
+    return F.xxhash64(F.lit("end"), F.substring(word, -3, 3))
+
+
 def _features() -> Column:
-    ends = F.transform("words", lambda w: F.xxhash64(F.lit("end"), F.substring(w, -3, 3)))
-    return F.concat("one", "two", ends)
+    return F.concat("one", "two", F.transform("words", _ending))
 
 
 def feature_counts(docs: DataFrame, trusted: DataFrame, rules: QualityRules) -> DataFrame:
@@ -60,6 +65,7 @@ def feature_counts(docs: DataFrame, trusted: DataFrame, rules: QualityRules) ->
     ids = trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
     if trusted.limit(rules.broadcast_rows + 1).count() <= rules.broadcast_rows:
         ids = F.broadcast(ids)
+    docs = docs.select("doc_id", "text")
     marked = docs.join(ids, docs.doc_id == ids.trusted_id, "left").select("text", F.col("trusted_id").isNotNull().cast("long").alias("t"))
     each = _hashed(marked).select("t", F.explode(_features()).alias("f")).select("t", F.pmod("f", F.lit(rules.buckets)).cast("int").alias("bucket"))
     return each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
@@ -88,9 +94,9 @@ def _with_base(docs: DataFrame, rules: QualityRules) -> DataFrame:
         .withColumn("n_symbols", (F.size(F.split(text, "[#*$%&|<>]")) - 1).cast("long"))
         .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     )
-    four = F.zip_with(_part("two", 1, 3), _part("two", 3, 3), lambda a, b: F.xxhash64(a, b))
-    out = out.withColumn("four", four)
-    out = out.withColumn("runs", F.zip_with(_part("four", 1, k - 1), _part("one", k, k - 1), lambda a, b: F.xxhash64(a, b)))
+    # a window of five is a pair, a pair and a word; wider ones take in more words
+    rest = lambda i: [F.get("two", i + d) for d in range(2, k - 1, 2)] + [F.get("one", i + k - 1)] * (k % 2)
+    out = out.withColumn("runs", F.transform(_part("two" if k > 1 else "one", 1, k - 1), lambda a, i: F.xxhash64(a, *rest(i))))
     # only texts with a repeated run sort their runs
     repeats = F.size(F.array_distinct("runs")) < F.size("runs")
     numbered = F.transform("runs", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
@@ -111,9 +117,12 @@ def judge(docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRule
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).alias("row")
     out = _with_base(_hashed(docs.select(others, "text")), rules)
-    out = out.withColumn("features", F.transform(_features(), lambda f: F.pmod(f, F.lit(rules.buckets)).cast("int")))
-    total = F.aggregate("features", F.lit(0.0), lambda s, b: s + F.get(table, b))
-    out = out.withColumn("score", F.when(F.size("features") > 0, total / F.size("features")).otherwise(0.0))
+    weight = lambda f: F.get(table, F.pmod(f, F.lit(rules.buckets)).cast("int"))
+    total = F.aggregate("words", F.lit(0.0), lambda s, x: s + weight(_ending(x)))
+    for array in ("one", "two"):
+        total = F.aggregate(array, total, lambda s, x: s + weight(x))
+    size = F.size("one") + F.size("two") + F.size("words")
+    out = out.withColumn("score", F.when(size > 0, total / size).otherwise(0.0))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     # A filter on ``kept`` would be pushed below the projections above, and compute every
     # array anew at each of its references. A term that is always true but that the
