@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import cfa, kernels
 from .operators import exposure, metadata
-from .schema import DYNAMIC, IMAGE, METADATA, PIXEL_TYPES, RGB, ColorSpace, construct, cspace_text
+from .schema import DYNAMIC, IMAGE, METADATA, PIXEL_TYPES, RGB, ColorSpace, construct, cspace_text, image_rows
 from .sources import fits, imageio, serde
 
 
@@ -69,13 +69,12 @@ class ImageFrame:
 
         def run(batches):
             for batch in batches:
-                rows = []
-                for row in batch.to_pylist():
+                for row in image_rows([batch]):
                     a = np.frombuffer(row["data"], PIXEL_TYPES[row["pixel_type"]][0])[: row["height"] * row["width"] * row["channels"]]
                     out, kind, space = f(a.reshape(row["height"], row["width"], row["channels"]), row)
                     space = {"kind": space.kind, "pattern": space.pattern, "channels": space.channels, "name": space.name}
-                    rows.append(row | {"height": out.shape[0], "width": out.shape[1], "channels": out.shape[2], "pixel_type": kind, "cspace": space, "data": np.ascontiguousarray(out, PIXEL_TYPES[kind][0]).tobytes()})
-                yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+                    new = {"height": out.shape[0], "width": out.shape[1], "channels": out.shape[2], "pixel_type": kind, "cspace": space, "data": np.ascontiguousarray(out, PIXEL_TYPES[kind][0]).tobytes()}
+                    yield pa.RecordBatch.from_pylist([row | new], schema=batch.schema)
 
         return ImageFrame(self.df.mapInArrow(run, schema))
 

@@ -128,3 +128,10 @@ def construct(df: DataFrame, strict: bool = True) -> DataFrame:
         data = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("binary")).otherwise(F.substring("data", F.lit(1), length))
         return out.withColumn("data", data).drop("error")
     return out.withColumn("data", F.when(F.col("error").isNull(), F.substring("data", F.lit(1), length)).otherwise(F.col("data")))
+
+
+def image_rows(batches):
+    """Rows of Arrow batches one by one, so that one image is decoded at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]

@@ -2,8 +2,10 @@
 
 Each image is a file ``<image_id>.fits`` (``append`` option: one file a task, an
 image extension each). Without compression the image is the primary HDU; with
-``gzip`` the keys are on the primary and the image is a tiled-image table, a row
-of pixels a tile. Other codecs live in native libraries and are refused.
+``gzip`` the image is a tiled-image table, a row of pixels a tile, and its header
+has the keys; so has the primary one of a file of its own. Other codecs live in
+native libraries and are refused. String values and comments over a card's end
+go on in CONTINUE cards; the format has ASCII only, other characters become "?".
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from __future__ import annotations
 import datetime
 import gzip
 import re
-import struct
 import uuid
 
 import numpy as np
@@ -26,8 +27,11 @@ from ..schema import ColorSpace, cspace_text
 BLOCK = 2880
 #: names of compressions and their suffix in an extended file name
 COMPRESSIONS = {"none": "", "gzip": "[compress G]", "rice": "[compress R]", "hcompress": "[compress H]", "hsmooth": "[compress HS]", "bzip2": "[compress B]", "plio": "[compress P]"}
-#: fixed values of the format: pixel type, BITPIX, BZERO, big-endian storage, the value that storage subtracts
-TYPES = {"u8": (8, 0, ">u1"), "u16": (16, 32768, ">i2"), "f32": (-32, 0, ">f4")}
+#: fixed values of the format: pixel type, BITPIX, BZERO, numpy type. A type with a BZERO is stored with its top bit turned
+TYPES = {
+    "u8": (8, 0, "u1"), "i8": (8, -128, "i1"), "i16": (16, 0, "i2"), "u16": (16, 32768, "u2"), "i32": (32, 0, "i4"), "u32": (32, 2147483648, "u4"),
+    "i64": (64, 0, "i8"), "u64": (64, 9223372036854775808, "u8"), "f32": (-32, 0, "f4"), "f64": (-64, 0, "f8"),
+}
 NANOS = 1_000_000_000
 
 
@@ -82,22 +86,43 @@ def cards(images: DataFrame) -> DataFrame:
     return fixed.unionByName(own)
 
 
+def _string_cards(head: str, value: str, comment: str) -> list[str]:
+    """A string value in as many cards as it takes: each but the last ends in &."""
+    units, parts, room = re.findall(r"''|.", value.replace("'", "''"), re.S), [""], 80 - len(head) - 3
+    for u in units:
+        if len(parts[-1]) + len(u) > room:
+            parts.append("")
+            room = 67
+        parts[-1] += u
+    heads = [head, *["CONTINUE  "] * (len(parts) - 1)]
+    out = [f"{h}'{x}&'" for h, x in zip(heads[:-1], parts[:-1], strict=True)]
+    last = f"{heads[-1]}'{parts[-1]:<8}'"
+    if not comment:
+        return [*out, last]
+    if len(last) + 3 + len(comment) <= 80:
+        return [*out, f"{last} / {comment}"]
+    # the comment starts behind the value's end, and goes on behind empty values
+    last, pieces = f"{heads[-1]}'{parts[-1]}&'", []
+    while comment:
+        room = 80 - 3 - (len(last) if not pieces else 13)
+        pieces.append(comment[: max(room, 0)])
+        comment = comment[max(room, 0) :]
+    out.append(f"{last} / {pieces[0]}" if pieces[0] else last)
+    return [*out, *[f"CONTINUE  '{'' if i == len(pieces) - 1 else '&'}' / {x}" for i, x in enumerate(pieces) if i]]
+
+
 def header_card(key: str, value, comment: str | None = None) -> str:
-    """One 80-character card; long or lower-case keys use the HIERARCH convention."""
-    if isinstance(value, bool):
-        text = f"{'T' if value else 'F':>20}"
-    elif isinstance(value, int):
-        text = f"{value:>20d}"
-    elif isinstance(value, float):
-        text = f"{value!r:>20}".upper()
-    else:
-        text = f"'{str(value).replace(chr(39), chr(39) * 2):<8}'"
+    """One 80-character card or several; long or lower-case keys use the HIERARCH convention."""
+    ascii_ = lambda x: re.sub(r"[^ -~]", "?", x)
     plain = re.fullmatch(r"[A-Z0-9_-]{1,8}", key)
-    out = (f"{key:<8}= {text}" if plain else f"HIERARCH {key} = {text.strip()}") + (f" / {comment}" if comment else "")
-    out = out.encode("ascii", "replace").decode()
-    if len(out) > 80 and text.startswith("'") and out.count("'") % 2 == 1 or len(out[:80]) < len(out) and out[:80].count("'") % 2 == 1:
-        out = out[:79] + "'"  # a value that is too long is cut inside its quotes
-    return f"{out[:80]:<80}"
+    head, comment = ascii_(f"{key:<8}= " if plain else f"HIERARCH {key} = "), ascii_(comment or "")
+    if isinstance(value, str):
+        return "".join(f"{c:<80}" for c in _string_cards(head, ascii_(value), comment))
+    text = ("T" if value else "F") if isinstance(value, bool) else f"{value:d}" if isinstance(value, int) else f"{value!r}".upper()
+    out = head + (f"{text:>20}" if plain else text) + (f" / {comment}" if comment else "")
+    # what is left of a number's comment follows in comment cards
+    rest = [f"COMMENT {out[i : i + 72]}" for i in range(80, len(out), 72)]
+    return "".join(f"{c:<80}" for c in (out[:80], *rest))
 
 
 def _padded(data: bytes, fill: bytes = b"\0") -> bytes:
@@ -110,7 +135,7 @@ def header(cards_: list[str]) -> bytes:
 
 def image_hdu(a: np.ndarray, kind: str, keys: list[str], first: bool) -> bytes:
     """An image unit: axes are (channels,) width, height, as stored."""
-    bits, zero, store = TYPES[kind]
+    bits, zero, _ = TYPES[kind]
     axes = [n for n in reversed(a.shape)]
     lines = [header_card("SIMPLE", True) if first else header_card("XTENSION", "IMAGE"), header_card("BITPIX", bits), header_card("NAXIS", len(axes))]
     lines += [header_card(f"NAXIS{i}", n) for i, n in enumerate(axes, 1)]
@@ -122,10 +147,23 @@ def image_hdu(a: np.ndarray, kind: str, keys: list[str], first: bool) -> bytes:
 
 def _stored(a: np.ndarray, kind: str) -> bytes:
     _, zero, store = TYPES[kind]
-    return (a.astype(np.int32) - zero).astype(store).tobytes() if zero else a.astype(store).tobytes()
+    a = np.ascontiguousarray(a, store)
+    if zero:
+        word = f"u{a.itemsize}"
+        a = a.view(word) ^ np.array(1 << (8 * a.itemsize - 1), word)
+    return a.astype(a.dtype.newbyteorder(">")).tobytes()
 
 
-def gzip_hdu(a: np.ndarray, kind: str) -> bytes:
+def _unstored(raw: bytes, kind: str) -> np.ndarray:
+    _, zero, store = TYPES[kind]
+    if not zero:
+        return np.frombuffer(raw, f">{store}").astype(store)
+    word = f"u{np.dtype(store).itemsize}"
+    a = np.frombuffer(raw, f">{word}").astype(word)
+    return (a ^ np.array(1 << (8 * a.itemsize - 1), word)).view(store)
+
+
+def gzip_hdu(a: np.ndarray, kind: str, keys: list[str]) -> bytes:
     """A tiled-image table: each row of pixels is a gzip stream in the heap."""
     bits, zero, _ = TYPES[kind]
     flat = a.reshape(a.shape[0], -1)
@@ -140,7 +178,7 @@ def gzip_hdu(a: np.ndarray, kind: str) -> bytes:
         lines += [header_card(f"ZNAXIS{i}", n), header_card(f"ZTILE{i}", n if i < len(axes) else 1)]
     if zero:
         lines += [header_card("BZERO", zero), header_card("BSCALE", 1)]
-    return header(lines) + _padded(table + b"".join(tiles))
+    return header(lines + keys) + _padded(table + b"".join(tiles))
 
 
 def metadata_cards(row: dict) -> list[str]:
@@ -167,7 +205,7 @@ def metadata_cards(row: dict) -> list[str]:
 
 
 def pixels_of(row: dict) -> np.ndarray:
-    kind = {"u8": "<u1", "u16": "<u2", "f32": "<f4"}[row["pixel_type"]]
+    kind = "<" + TYPES[row["pixel_type"]][2]
     shape = (row["height"], row["width"]) + ((row["channels"],) if row["channels"] > 1 else ())
     return np.frombuffer(row["data"], kind).reshape(shape)
 
@@ -179,7 +217,7 @@ def file_bytes(row: dict, compression: str = "none") -> bytes:
     if compression != "gzip":
         raise ValueError(f"Compression {compression} is not available; use none or gzip")
     empty = [header_card("SIMPLE", True), header_card("BITPIX", 8), header_card("NAXIS", 0), header_card("EXTEND", True)]
-    return header(empty + keys) + gzip_hdu(a, kind)
+    return header(empty + keys) + gzip_hdu(a, kind, keys)
 
 
 def open_fs(path: str):
@@ -218,19 +256,22 @@ class FitsWriter(DataSourceArrowWriter):
                     names.append((f"{task}/{name}", name))
                     stream = filesystem.open_output_stream(names[0][0], compression=None)
                     stream.write(header([header_card("SIMPLE", True), header_card("BITPIX", 8), header_card("NAXIS", 0), header_card("EXTEND", True)]))
-                stream.write(gzip_hdu(pixels_of(row), row["pixel_type"]) if self.compression == "gzip" else image_hdu(pixels_of(row), row["pixel_type"], metadata_cards(row), False))
+                unit = (pixels_of(row), row["pixel_type"], metadata_cards(row))
+                stream.write(gzip_hdu(*unit) if self.compression == "gzip" else image_hdu(*unit, False))
         if stream:
             stream.close()
         return Written(names)
 
     def commit(self, messages):
         filesystem, folder = open_fs(self.path)
+        if self.overwrite:  # files of other names belong to the table that is replaced
+            for x in filesystem.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                if x.path.endswith(".fits"):
+                    filesystem.delete_file(x.path)
         for source, name in (x for m in messages if m for x in m.names):
             there = filesystem.get_file_info(f"{folder}/{name}").type != fs.FileType.NotFound
-            if there and not self.overwrite:
-                raise FileExistsError(f"{name} exists; write with mode overwrite")
             if there:
-                filesystem.delete_file(f"{folder}/{name}")
+                raise FileExistsError(f"{name} exists; write with mode overwrite")
             filesystem.move(source, f"{folder}/{name}")
         self._clear()
 
@@ -243,45 +284,56 @@ class FitsWriter(DataSourceArrowWriter):
         filesystem.delete_dir(f"{folder}/_attempts")
 
 
-def read_units(data: bytes):
-    """(header as a dict, data start) of every unit of a file."""
-    at = 0
-    while at < len(data):
-        keys, done = {}, False
-        while not done:
-            for i in range(at, at + BLOCK, 80):
-                card = data[i : i + 80].decode("ascii")
-                if card.startswith("END"):
-                    done = True
-                    break
-                m = re.match(r"(?:HIERARCH )?([^=]+?)\s*= *('(?:[^']|'')*'|[^/ ]+)", card)
-                if m:
-                    v = m[2]
-                    keys[m[1].strip()] = v[1:-1].replace("''", "'").rstrip() if v[0] == "'" else v == "T" if v in "TF" else float(v) if re.search(r"[.EN]", v) else int(v)
-            at += BLOCK
-        size = abs(keys["BITPIX"]) // 8 * int(np.prod([keys[f"NAXIS{i}"] for i in range(1, keys["NAXIS"] + 1)] or [0])) + keys.get("PCOUNT", 0)
-        yield keys, at
-        at += size + -size % BLOCK
-
-
-def read_image(data: bytes, keys: dict, at: int) -> tuple[np.ndarray, str] | None:
+def _value(text: str):
+    if text[0] == "'":
+        return text[1:-1].replace("''", "'").rstrip()
+    return text == "T" if text in "TF" else float(text) if re.search(r"[.EN]", text) else int(text)
+
+
+def read_header(stream) -> dict | None:
+    """The next header's keys, up to its last block; None at the end of the file."""
+    keys, last, open_ = {}, None, False
+    while True:
+        block = stream.read(BLOCK)
+        if not block:
+            return None
+        for i in range(0, BLOCK, 80):
+            card = bytes(block[i : i + 80]).decode("ascii")
+            if card.startswith("END") and not card[3:].strip():
+                return keys
+            if card.startswith("CONTINUE"):
+                m = re.match(r"CONTINUE\s+('(?:[^']|'')*')", card)
+                if m and open_:
+                    more = _value(m[1])
+                    open_ = more.endswith("&")
+                    keys[last] += more[:-1] if open_ else more
+                continue
+            if open_:
+                keys[last] += "&"  # the value itself ends in one
+            m, open_ = re.match(r"(?:HIERARCH )?([^=]+?)\s*= *('(?:[^']|'')*'|[^/ ]+)", card), False
+            if m and not card.startswith("COMMENT"):
+                last = m[1].strip()
+                value = _value(m[2])
+                open_ = isinstance(value, str) and value.endswith("&")
+                keys[last] = value[:-1] if open_ else value
+
+
+def unit_bytes(keys: dict) -> int:
+    return abs(keys["BITPIX"]) // 8 * int(np.prod([keys[f"NAXIS{i}"] for i in range(1, keys["NAXIS"] + 1)] or [0])) + keys.get("PCOUNT", 0)
+
+
+def read_image(data: bytes, keys: dict) -> tuple[np.ndarray, str] | None:
     """The pixels and pixel type of a unit, if it is an image."""
     z = "Z" if keys.get("ZIMAGE") else ""
     if keys.get("XTENSION", "").strip() == "BINTABLE" and not z or not keys.get(f"{z}NAXIS"):
         return None
     shape = [keys[f"{z}NAXIS{i}"] for i in range(keys[f"{z}NAXIS"], 0, -1)]
-    bits, zero = keys[f"{z}BITPIX"], keys.get("BZERO", 0)
-    kind = next(k for k, (b, o, _) in TYPES.items() if (b, o) == (bits, zero))
+    kind = next(k for k, (b, o, _) in TYPES.items() if (b, o) == (keys[f"{z}BITPIX"], keys.get("BZERO", 0)))
     if z:
-        heap = at + 8 * shape[0]
-        raw = b""
-        for r in range(shape[0]):
-            size, offset = struct.unpack(">ii", data[at + 8 * r : at + 8 * r + 8])
-            raw += gzip.decompress(data[heap + offset : heap + offset + size])
-    else:
-        raw = data[at : at + abs(bits) // 8 * int(np.prod(shape))]
-    a = np.frombuffer(raw, TYPES[kind][2]).reshape(shape)
-    return ((a.astype(np.int32) + zero).astype(np.uint16) if zero else a.astype(a.dtype.newbyteorder("="))), kind
+        table = np.frombuffer(data, ">i4", 2 * shape[0]).reshape(-1, 2)
+        heap = 8 * shape[0]
+        data = b"".join(gzip.decompress(data[heap + offset : heap + offset + size]) for size, offset in table)
+    return _unstored(data, kind).reshape(shape), kind
 
 
 class Files(InputPartition):
@@ -291,23 +343,34 @@ class Files(InputPartition):
 
 class FitsReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.limit = options["path"], int(options.get("maxpartitionbytes", 1 << 26))
 
     def partitions(self):
         filesystem, folder = open_fs(self.path)
-        found = sorted(x.path for x in filesystem.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if x.path.endswith(".fits"))
-        return [Files(found[i : i + 64]) for i in range(0, len(found), 64)] or [Files([])]
+        found = [x for x in filesystem.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if x.path.endswith(".fits")]
+        out, own, size = [], [], 0
+        for f in sorted(found, key=lambda f: f.path):
+            if own and size + f.size > self.limit:
+                out.append(Files(own))
+                own, size = [], 0
+            own.append(f.path)
+            size += f.size
+        return [*out, Files(own)] if own or not out else out
 
     def read(self, partition):
+        """A unit at a time: no file is held whole."""
         filesystem, _ = open_fs(self.path)
         for path in partition.paths:
             with filesystem.open_input_stream(path, compression=None) as stream:
-                data = stream.read()
-            for n, (keys, at) in enumerate(read_units(data)):
-                image = read_image(data, keys, at)
-                if image:
-                    a, kind = image
-                    yield path, n, a.shape[1], a.shape[0], a.shape[2] if a.ndim > 2 else 1, kind, a.astype(a.dtype.newbyteorder("<")).tobytes(), str(keys.get("COLOR_SPACE", ""))
+                n = 0
+                while (keys := read_header(stream)) is not None:
+                    size = unit_bytes(keys)
+                    data = stream.read(size + -size % BLOCK)[:size]
+                    image = read_image(data, keys)
+                    if image:
+                        a, kind = image
+                        yield path, n, a.shape[1], a.shape[0], a.shape[2] if a.ndim > 2 else 1, kind, a.astype(a.dtype.newbyteorder("<")).tobytes(), str(keys.get("COLOR_SPACE", "")), {k: str(v) for k, v in keys.items()}
+                    n += 1
 
 
 class FitsSource(DataSource):
@@ -316,7 +379,7 @@ class FitsSource(DataSource):
         return "fits"
 
     def schema(self):
-        return "path string, unit int, width int, height int, channels int, pixel_type string, data binary, color_space string"
+        return "path string, unit int, width int, height int, channels int, pixel_type string, data binary, color_space string, keys map<string,string>"
 
     def reader(self, schema):
         return FitsReader({k.lower(): v for k, v in self.options.items()})

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import GRAY, IMAGE, RGB
+from ..schema import GRAY, IMAGE, RGB, image_rows
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -58,25 +58,33 @@ def png_pixels(data: bytes) -> np.ndarray:
     channels = 3 if colour == 2 else 1
     step = channels * depth // 8
     lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * step)
-    out = np.zeros((height + 1, width * step), np.int64)
-    for y in range(height):
-        kind, line = lines[y, 0], lines[y, 1:].astype(np.int64)
-        if kind in (0, 2):
-            out[y + 1] = line + (out[y] if kind == 2 else 0) & 255
-            continue
-        for k in range(len(line)):
-            left = out[y + 1, k - step] if k >= step else 0
-            up, corner = out[y, k], out[y, k - step] if k >= step else 0
-            if kind == 1:
-                guess = left
-            elif kind == 3:
-                guess = (left + up) // 2
-            else:
-                p = left + up - corner
-                guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-            out[y + 1, k] = (line[k] + guess) & 255
-    raw = out[1:].astype(np.uint8).tobytes()
-    return np.frombuffer(raw, ">u2" if depth == 16 else "u1").astype(np.uint16 if depth == 16 else np.uint8).reshape(height, width, channels)
+    out = _unfiltered(lines[:, 0], lines[:, 1:].reshape(height, width, step))
+    return np.frombuffer(out.tobytes(), ">u2" if depth == 16 else "u1").astype(np.uint16 if depth == 16 else np.uint8).reshape(height, width, channels)
+
+
+def _unfiltered(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """(height, width, bytes of a pixel) with the lines' filters undone.
+
+    A pixel needs its left, upper and upper left neighbours, so all pixels of one
+    x + y are worked out together."""
+    height, width, step = lines.shape
+    if not np.isin(kinds, (1, 3, 4)).any():
+        # lines of filter 0 are themselves, those of filter 2 add to the line above
+        out, above = np.empty_like(lines), np.zeros_like(lines[0])
+        for y in range(height):
+            above = out[y] = lines[y] + above if kinds[y] == 2 else lines[y]
+        return out
+    out = np.zeros((height + 1, width + 1, step), np.int16)
+    for d in range(width + height - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x, kind = d - y, kinds[y][:, None]
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        p = left + up - corner
+        a, b, c = abs(p - left), abs(p - up), abs(p - corner)
+        nearest = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) // 2, nearest], 0)
+        out[y + 1, x + 1] = (lines[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def to_png(images: DataFrame) -> DataFrame:
@@ -84,12 +92,9 @@ def to_png(images: DataFrame) -> DataFrame:
     error = F.coalesce(export_error(F.col("cspace"), F.col("channels"), F.col("pixel_type")), F.when(F.col("pixel_type") == "f32", "PNG holds no floating point pixels"))
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                a = None if row["error"] else np.frombuffer(row["data"], "<u2" if row["pixel_type"] == "u16" else "u1").reshape(row["height"], row["width"], row["channels"])
-                out.append(None if a is None else png_bytes(a))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(batch.column(batch.schema.get_field_index("error")))], names=["image_id", "png", "error"])
+        for row in image_rows(batches):
+            a = None if row["error"] else np.frombuffer(row["data"], "<u2" if row["pixel_type"] == "u16" else "u1").reshape(row["height"], row["width"], row["channels"])
+            yield pa.RecordBatch.from_arrays([pa.array([row["image_id"]], pa.int64()), pa.array([None if a is None else png_bytes(a)], pa.binary()), pa.array([row["error"]], pa.string())], names=["image_id", "png", "error"])
 
     cols = images.select("image_id", "width", "height", "channels", "pixel_type", "data", error.alias("error"))
     return cols.mapInArrow(run, "image_id bigint, png binary, error string")
@@ -99,17 +104,15 @@ def from_png(files: DataFrame) -> DataFrame:
     """Image rows of (image_id, png)."""
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                a = png_pixels(row["png"])
-                space = RGB if a.shape[2] == 3 else GRAY
-                rows.append({
-                    "image_id": row["image_id"], "width": a.shape[1], "height": a.shape[0], "channels": a.shape[2],
-                    "cspace": {"kind": space.kind, "pattern": None, "channels": space.channels, "name": None},
-                    "pixel_type": "u16" if a.dtype.itemsize == 2 else "u8", "data": a.astype("<u2" if a.dtype.itemsize == 2 else "u1").tobytes(),
-                })
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+        for row in image_rows(batches):
+            a = png_pixels(row["png"])
+            space = RGB if a.shape[2] == 3 else GRAY
+            out = {
+                "image_id": row["image_id"], "width": a.shape[1], "height": a.shape[0], "channels": a.shape[2],
+                "cspace": {"kind": space.kind, "pattern": None, "channels": space.channels, "name": None},
+                "pixel_type": "u16" if a.dtype.itemsize == 2 else "u8", "data": a.astype("<u2" if a.dtype.itemsize == 2 else "u1").tobytes(),
+            }
+            yield pa.RecordBatch.from_pylist([out], schema=_ARROW)
 
     return files.select("image_id", "png").mapInArrow(run, IMAGE)
 
