@@ -13,10 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .functions import cfa, kernels
 from .operators import exposure, metadata
-from .schema import DYNAMIC, IMAGE, METADATA, PIXEL_TYPES, RGB, ColorSpace, construct, cspace_text, image_rows
+from .schema import CSPACE, DYNAMIC, IMAGE, METADATA, PIXEL_TYPES, RGB, ColorSpace, construct, cspace_text, image_rows
 from .sources import fits, imageio, serde
 
 
@@ -65,7 +66,8 @@ class ImageFrame:
 
     def operate(self, f: Callable[[np.ndarray, dict], tuple[np.ndarray, str, ColorSpace]]) -> ImageFrame:
         """Apply f(pixels (height, width, channels), row) -> (pixels, pixel type, colour space) to every image; metadata is kept."""
-        schema = self.df.select([c for c in self.df.columns]).schema
+        # results may be null where this frame's expressions can't be
+        schema = StructType([StructField(x.name, CSPACE if x.name == "cspace" else x.dataType) for x in self.df.schema.fields])
 
         def run(batches):
             for batch in batches:

@@ -56,8 +56,19 @@ def item(kind: str, value, comment: str | None = None) -> Column:
     return F.struct(*[slots.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in META_VALUE.fields]).cast(META_VALUE)
 
 
-def new_metadata(timestamp_ns: Column) -> Column:
-    return F.create_map(F.lit(TIMESTAMP), item("systemtime", timestamp_ns, "Timestamp of the image")).cast(METADATA)
+def new_metadata(timestamp_ns: Column, keys: dict[str, Column] | None = None) -> Column:
+    """Metadata with a time stamp and ``keys``, in one map; of names that differ in case only, the last stays."""
+    entries = {}
+    for name, value in (keys or {}).items():
+        key = key_name(name)
+        if key == TIMESTAMP:
+            raise ValueError("Cannot re-insert timestamp key")
+        entries.pop(key, None)
+        entries[key] = value
+    pairs = [F.lit(TIMESTAMP), item("systemtime", timestamp_ns, "Timestamp of the image")]
+    for key, value in entries.items():
+        pairs += [F.lit(key), value]
+    return F.create_map(*pairs).cast(METADATA)
 
 
 def _put(meta: Column, key: str, value: Column) -> Column:

@@ -68,3 +68,29 @@ def neighbourhood(mosaic: DataFrame, reach: int) -> DataFrame:
     column = Window.partitionBy("image_id", "x").orderBy("y")
     out = mosaic.withColumn("raw", gather("v", "x", "w", line)).withColumn("line", pick(F.col("raw"), "x", "w")).drop("raw")
     return out.withColumn("raw", gather("line", "y", "h", column)).withColumn("near", pick(F.col("raw"), "y", "h")).drop("raw", "line")
+
+
+BORDERS = ("none", "mirror", "replicate")
+
+
+def bordered(mosaic: DataFrame, padding: int, how: str) -> DataFrame:
+    """Lines of a mosaic with ``padding`` more samples at both ends: x from -padding.
+
+    ``mirror`` reflects without repeating the edge, ``replicate`` repeats the two
+    samples at the edge, so both keep the mosaic's pattern; ``none`` adds nothing.
+    mosaic: image_id, y, x, v, w. Each sample emits its copies, so nothing is shuffled."""
+    if how not in BORDERS:
+        raise ValueError(f"Unknown border {how}")
+    if how == "none" or not padding:
+        return mosaic.select("image_id", "y", "x", "v")
+    x, last = F.col("x"), F.col("w") - 1
+    if how == "mirror":
+        # x is shown again at -x and, from the other end, at 2 * last - x
+        places = F.filter(F.array(-x, 2 * last - x), lambda j: ((j < 0) & (j >= -padding)) | ((j > last) & (j <= last + padding)))
+    else:
+        steps = F.sequence(F.lit(1), F.lit(padding))
+        before = F.when(x < 2, F.filter(F.transform(steps, lambda k: -k), lambda j: F.pmod(j, F.lit(2)) == x))
+        after = F.when(x > last - 2, F.filter(F.transform(steps, lambda k: last + k), lambda j: F.pmod(j - last - 1, F.lit(2)) == x - last + 1))
+        none = F.array().cast("array<int>")
+        places = F.concat(F.coalesce(before, none), F.coalesce(after, none))
+    return mosaic.select("image_id", "y", F.explode(F.concat(F.array(x), places)).alias("x"), "v")

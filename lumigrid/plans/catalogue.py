@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cfa, pointwise
-from ..operators import demosaic, exposure, luma, roi
+from ..images import ImageFrame
+from ..operators import demosaic, exposure, luma, pixels, roi
 from ..operators import metadata as M
 from ..schema import GRAY, PATTERNS, RGB, bayer, construction_error, cspace_text, custom
+from ..session import scratch
 from ..sources import fits, imageio, serde
 from . import fixtures as X
 
@@ -28,15 +30,19 @@ def query(sql: str | None = None):
 # properties and construction
 
 
+def _frames(spark, d):
+    """The 8-bit mosaics and RGB images of the tables, checked."""
+    return ImageFrame.new(X.mosaic8_images(spark, d).unionByName(X.rgb8_images(spark, d)))
+
+
+def _typed(spark, d):
+    return ImageFrame.new(X.mosaic8_images(spark, d).unionByName(X.mosaic16_images(spark, d)))
+
+
 @query(f"""SELECT image_id, 8 AS width, 8 AS height, 1 AS channels, any_value(pattern) AS color_space, 'u8' AS pixel_type, CAST(64 AS BIGINT) AS len, false AS is_empty FROM ({X.BAYER8}) GROUP BY image_id
-UNION ALL SELECT image_id, 4, 4, 3, 'RGB', 'u8', CAST(48 AS BIGINT), false FROM ({X.RGB8}) GROUP BY image_id""")
+UNION ALL SELECT image_id, 11, 2, 3, 'RGB', 'u8', CAST(66 AS BIGINT), false FROM ({X.RGB8}) GROUP BY image_id""")
 def image_props(spark, d):
-    one = X._read(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"))
-    pattern = F.expr(X.PATTERN_OF.format(id="image_id"))
-    mosaic = one.select("image_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("channels"), F.struct(F.lit("bayer").alias("kind"), pattern.alias("pattern"), F.lit(1).cast("smallint").alias("channels"), F.lit(None).cast("string").alias("name")).alias("cspace"))
-    rgb = one.select("image_id", F.lit(4).alias("width"), F.lit(4).alias("height"), F.lit(3).alias("channels"), RGB.column().alias("cspace"))
-    size = F.col("width").cast("bigint") * F.col("height") * F.col("channels")
-    return mosaic.unionByName(rgb).select("image_id", "width", "height", "channels", cspace_text(F.col("cspace")).alias("color_space"), F.lit("u8").alias("pixel_type"), size.alias("len"), (size == 0).alias("is_empty"))
+    return _frames(spark, d).props()
 
 
 @query("""SELECT image_id, CASE WHEN w > 65535 OR h > 65535 THEN 'Image too large.' WHEN n = 0 THEN 'Data is empty' WHEN w = 0 THEN 'Width is zero' WHEN h = 0 THEN 'Height is zero' WHEN w * h > n THEN 'Not enough data for image.' END AS error
@@ -48,19 +54,32 @@ def validate_images(spark, d):
 
 @query(f"SELECT image_id, y, x, v FROM ({X.BAYER8})")
 def raw_pixels(spark, d):
-    return X.bayer8(spark, d).select("image_id", "y", "x", "v")
+    return ImageFrame.new(X.mosaic8_images(spark, d)).pixels("u8").drop("c")
+
+
+@query(f"SELECT image_id, y, x, v FROM ({X.BAYER8}) WHERE y < 7")
+def from_raw_surplus(spark, d):
+    """Images of seven lines from the bytes of eight: the surplus is cut."""
+    return ImageFrame.new(X.mosaic8_images(spark, d, height=7)).pixels("u8").drop("c")
 
 
-@query(f"SELECT image_id, CASE WHEN pixel_type = 'u8' THEN v END AS v_u8, pixel_type FROM (SELECT image_id, v, 'u8' AS pixel_type FROM ({X.BAYER8}) UNION ALL SELECT image_id, v, 'u16' FROM ({X.BAYER16}))")
+@query(f"SELECT image_id, upper(string_agg(printf('%02x', v % 256) || printf('%02x', v // 256), '' ORDER BY y, x)) AS bytes FROM ({X.BAYER16}) GROUP BY image_id")
+def raw_bytes(spark, d):
+    """Little-endian bytes, as hex text."""
+    return ImageFrame.new(X.mosaic16_images(spark, d)).raw().select("image_id", F.hex("data").alias("bytes"))
+
+
+@query(f"SELECT image_id, v AS v_u8, 'u8' AS pixel_type FROM ({X.BAYER8}) UNION ALL SELECT image_id, NULL, 'u16' FROM ({X.BAYER16})")
 def typed_view(spark, d):
-    both = X.bayer8(spark, d).select("image_id", "v", F.lit("u8").alias("pixel_type")).unionByName(X.bayer16(spark, d).select("image_id", "v", F.lit("u16").alias("pixel_type")))
-    return both.select("image_id", F.when(F.col("pixel_type") == "u8", F.col("v")).alias("v_u8"), "pixel_type")
+    """Samples of the images that are of the type asked for; none of the others'."""
+    all_ = _typed(spark, d)
+    u8 = all_.pixels("u8").select("image_id", F.col("v").alias("v_u8"), F.lit("u8").alias("pixel_type"))
+    return u8.unionByName(all_.pixels("u16").select("image_id", F.lit(None).cast("int").alias("v_u8"), F.lit("u16").alias("pixel_type")))
 
 
 @query(f"SELECT image_id, count(*) AS n FROM ({X.BAYER8}) GROUP BY image_id")
 def dyn_filter_u8(spark, d):
-    both = X.bayer8(spark, d).select("image_id", F.lit("u8").alias("pixel_type")).unionByName(X.bayer16(spark, d).select("image_id", F.lit("u16").alias("pixel_type")))
-    return both.where("pixel_type = 'u8'").groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+    return _typed(spark, d).of_type("u8").pixels("u8").groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT kind, pattern, kind = 'bayer' AS is_bayer FROM (VALUES ('gray', NULL), ('rgb', NULL), ('custom', NULL), ('bayer', 'BGGR'), ('bayer', 'GBRG'), ('bayer', 'GRBG'), ('bayer', 'RGGB')) t(kind, pattern)")
@@ -112,9 +131,11 @@ def luma_custom_rgb(spark, d):
     return luma.to_luma(X.rgb8(spark, d), weights=(0.2126, 0.7152, 0.3)).drop("c")
 
 
-@query(f"SELECT image_id, sum(v) / 16.0::DOUBLE AS mean_luma FROM ({_luma_sql(X.RGB8)}) GROUP BY image_id")
+@query(f"SELECT image_id, sum(v) / 22.0::DOUBLE AS mean_luma FROM ({_luma_sql(X.RGB8)}) GROUP BY image_id")
 def luma_mean_per_image(spark, d):
-    return luma.to_luma(X.rgb8(spark, d)).groupBy("image_id").agg((F.sum("v") / 16.0).alias("mean_luma"))
+    """At image grain, where a pixel's channels are together: nothing is shuffled but one sum per image and task."""
+    gray = ImageFrame.new(X.rgb8_images(spark, d)).to_luma()
+    return gray.pixels("u8").groupBy("image_id").agg((F.sum("v") / 22.0).alias("mean_luma"))
 
 
 # demosaicing
@@ -218,10 +239,10 @@ def select_roi_clipped(spark, d):
     return roi.select_roi(px, X.dims(px, 8, 8, 1), 5, 6, 6, 4)
 
 
-@query(_roi_sql(X.RGB8, 1, 2, 3, 3, 3))
+@query(_roi_sql(X.RGB8, 9, 1, 3, 3, 3))
 def select_roi_rgb(spark, d):
     px = X.rgb8(spark, d)
-    return roi.select_roi(px, X.dims(px, 4, 4, 3), 1, 2, 3, 3)
+    return roi.select_roi(px, X.dims(px, X.RGB_WIDTH, X.RGB_HEIGHT, 3), 9, 1, 3, 3)
 
 
 @query(_roi_sql(_B8C, 9, 0, 3, 3, 1))
@@ -242,6 +263,63 @@ def crop_preview(spark, d):
     return roi.select_roi(px, X.dims(px, 8, 8, 1), 2, 2, 4, 4).select("image_id", "y", "x", pointwise.cast_u8(F.col("v"), "u16").alias("v"))
 
 
+# the same operations at image grain
+
+
+def _image_grain(name: str, sql: str, source, kind: str, f):
+    def run(spark, d):
+        return f(ImageFrame.new(source(spark, d))).pixels(kind)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_image_grain("img_cast_u8", f"SELECT image_id, y, x, 0 AS c, CAST((v + 128) // 257 AS INTEGER) AS v FROM ({X.BAYER16})", X.mosaic16_images, "u8", ImageFrame.cast_u8)
+_image_grain("img_floor_u8", f"SELECT image_id, y, x, 0 AS c, CAST(v // 257 AS INTEGER) AS v FROM ({X.BAYER16})", X.mosaic16_images, "u8", ImageFrame.floor_u8)
+_image_grain("img_luma", f"SELECT *, 0 AS c FROM ({_luma_sql(X.RGB8)})", X.rgb8_images, "u8", ImageFrame.to_luma)
+_image_grain("img_luma_of_gray", f"SELECT *, 0 AS c FROM ({_luma_sql(X.RGB8)})", X.rgb8_images, "u8", lambda f: f.to_luma().to_luma())
+for _m in demosaic.METHODS:
+    _image_grain(f"img_debayer_{_m}", debayer_sql(X.BAYER16, _m, 65535), X.mosaic16_images, "u16", lambda f, m=_m: f.debayer(m))
+_image_grain("img_select_roi", _roi_sql(X.RGB8, 9, 1, 3, 3, 3), X.rgb8_images, "u8", lambda f: f.select_roi(9, 1, 3, 3))
+_image_grain("img_copy_to", _roi_sql(_B8C, 3, 4, 10, 6, 1), X.mosaic8_images, "u8", lambda f: f.copy_to(10, 6, 3, 4))
+
+
+# borders of a mosaic's lines
+
+
+def _border_sql(how: str, padding: int) -> str:
+    at = {
+        "none": "j",
+        "mirror": "CASE WHEN abs(j) > 7 THEN 14 - abs(j) ELSE abs(j) END",
+        "replicate": "CASE WHEN j < 0 THEN j & 1 WHEN j > 7 THEN 6 + (j & 1) ELSE j END",
+    }[how]
+    reach = 0 if how == "none" else padding
+    return f"WITH px AS ({X.BAYER8}) SELECT px.image_id, px.y, CAST(j AS INTEGER) AS x, px.v FROM px JOIN (SELECT j, {at} AS src FROM range({-reach}, {8 + reach}) r(j)) ON px.x = src"
+
+
+def _border(how: str):
+    def run(spark, d):
+        return pixels.bordered(X.bayer8(spark, d), 3, how).select("image_id", "y", "x", "v")
+
+    run.__name__ = f"border_{how}"
+    query(_border_sql(how, 3))(run)
+
+
+for _h in pixels.BORDERS:
+    _border(_h)
+
+
+# samples in other types
+
+
+@query(f"SELECT image_id, y, x, CAST(trunc(least(255.0::DOUBLE, greatest(0.0::DOUBLE, CAST(v AS DOUBLE) * 300.0::DOUBLE - 20.0::DOUBLE))) AS INTEGER) AS v_u8, CAST(trunc(least(127.0::DOUBLE, greatest(-128.0::DOUBLE, CAST(v AS DOUBLE) * 300.0::DOUBLE - 200.0::DOUBLE))) AS INTEGER) AS v_i8, least(1.0::DOUBLE, greatest(0.0::DOUBLE, CAST(v AS DOUBLE) * 2.0::DOUBLE - 0.5::DOUBLE)) AS v_f64 FROM ({X.GRAY32})")
+def from_f64(spark, d):
+    x = pointwise.to_f64(F.col("v"))
+    return X.gray32(spark, d).select(
+        "image_id", "y", "x", pointwise.from_f64(x * 300.0 - 20.0, "u8").alias("v_u8"), pointwise.from_f64(x * 300.0 - 200.0, "i8").alias("v_i8"), pointwise.from_f64(x * 2.0 - 0.5, "f64").alias("v_f64")
+    )
+
+
 # exposure
 
 
@@ -354,26 +432,66 @@ def fits_header_cards(spark, d):
     return fits.cards(X.event_metadata(spark, d)).withColumn("ivalue", F.col("ivalue").cast("bigint"))
 
 
+#: a text and a line feed as an image: as many lines of at most 65,535 bytes as it takes, of one width, the last filled up with blanks
+_TEXT = "SELECT doc_id AS image_id, t, n, CAST(ceil(n / 65535.0) AS INTEGER) AS height FROM (SELECT doc_id, coalesce(text, '') || chr(10) AS t, octet_length(encode(coalesce(text, ''))) + 1 AS n FROM documents)"
+_FILLED_TEXT = f"SELECT image_id, height, CAST(ceil(n / CAST(height AS DOUBLE)) AS INTEGER) AS width, t || repeat(' ', CAST(ceil(n / CAST(height AS DOUBLE)) * height - n AS BIGINT)) AS t FROM ({_TEXT})"
+
+
 def _document_images(spark, d):
-    docs = X._read(spark, d, "documents").select(F.col("doc_id").alias("image_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
-    width = F.least(F.octet_length("data"), F.lit(65535))
-    return docs.select("image_id", width.alias("width"), F.lit(1).alias("height"), F.lit(1).alias("channels"), GRAY.column().alias("cspace"), F.lit("u8").alias("pixel_type"), F.expr("substring(data, 1, 65535)").alias("data"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))
+    docs = X._read(spark, d, "documents").select(F.col("doc_id").alias("image_id"), text.alias("t"), F.octet_length(F.encode(text, "utf-8")).alias("n"))
+    docs = docs.withColumn("height", F.ceil(F.col("n") / 65535).cast("int")).withColumn("width", F.ceil(F.col("n") / F.col("height")).cast("int"))
+    data = F.encode(F.concat("t", F.repeat(F.lit(" "), F.col("width") * F.col("height") - F.col("n"))), "utf-8")
+    return docs.select("image_id", "width", "height", F.lit(1).alias("channels"), GRAY.column().alias("cspace"), F.lit("u8").alias("pixel_type"), data.alias("data"))
 
 
-@query()
+@query(f"SELECT image_id, width, height, CASE WHEN image_id % 7 = 3 THEN 'Invalid data checksum' END AS error, CASE WHEN image_id % 7 <> 3 THEN sha1(t) END AS data_sha1 FROM ({_FILLED_TEXT})")
 def serde_crc(spark, d):
     rows = serde.serialize(_document_images(spark, d))
     broken = rows.withColumn("image", F.when(F.pmod("image_id", F.lit(7)) == 3, F.col("image").withField("crc", F.col("image.crc") + 1)).otherwise(F.col("image")))
-    return serde.deserialize(broken, strict=False).select("image_id", "width", "error", F.crc32("data").alias("crc"))
+    return serde.deserialize(broken, strict=False).select("image_id", "width", "height", "error", F.sha1("data").alias("data_sha1"))
 
 
-@query("SELECT doc_id AS image_id, CAST(least(octet_length(encode(coalesce(text, ''))), 65535) AS INTEGER) AS width, 1 AS height, 'GRAY' AS color_space, 'u8' AS pixel_type, true AS same FROM documents")
+@query(f"SELECT image_id, width, height, 'GRAY' AS color_space, 'u8' AS pixel_type, sha1(t) AS data_sha1 FROM ({_FILLED_TEXT})")
 def serde_json_roundtrip(spark, d):
-    images = _document_images(spark, d)
-    back = serde.from_json(serde.to_json(images), strict=False)
-    # both sides come from one pass: the JSON travels beside the data it was made from
-    pair = images.select("image_id", F.sha1("data").alias("was")).join(back, "image_id")
-    return pair.select("image_id", "width", "height", cspace_text(F.col("cspace")).alias("color_space"), "pixel_type", (F.sha1("data") == F.col("was")).alias("same"))
+    back = serde.from_json(serde.to_json(_document_images(spark, d)), strict=False)
+    return back.select("image_id", "width", "height", cspace_text(F.col("cspace")).alias("color_space"), "pixel_type", F.sha1("data").alias("data_sha1"))
+
+
+@query(_KEYS)
+def json_metadata_roundtrip(spark, d):
+    """Metadata of every kind through JSON, beside a one-pixel image."""
+    one = X.event_metadata(spark, d).select("image_id", F.lit(1).alias("width"), F.lit(1).alias("height"), F.lit(1).alias("channels"), "cspace", F.lit("u8").alias("pixel_type"), F.unhex(F.lit("2A")).alias("data"), "metadata")
+    return _exploded(serde.from_json(serde.to_json(one)))
+
+
+def _with_id(spark, d):
+    """The 16-bit mosaics with their number in the metadata, since appended units have no name of their own."""
+    images = ImageFrame.new(X.mosaic16_images(spark, d)).with_timestamp(F.lit(1_700_000_000_000_000_000))
+    return images.insert_key("NUMBER", M.item("i64", F.col("image_id")))
+
+
+def _through_fits(spark, d, compression):
+    path = scratch(spark, "fits")
+    _with_id(spark, d).write_fits(path, compression, append=True)
+    back = fits.read_fits(spark, path)
+    return ImageFrame(back.withColumn("image_id", F.expr("CAST(keys['NUMBER'] AS BIGINT)"))).pixels("u16").drop("c")
+
+
+@query(f"SELECT image_id, y, x, v FROM ({X.BAYER16})")
+def fits_roundtrip(spark, d):
+    return _through_fits(spark, d, "none")
+
+
+@query(f"SELECT image_id, y, x, v FROM ({X.BAYER16})")
+def fits_roundtrip_gzip(spark, d):
+    return _through_fits(spark, d, "gzip")
+
+
+@query(X.RGB8)
+def png_roundtrip(spark, d):
+    files = ImageFrame.new(X.rgb8_images(spark, d)).to_png()
+    return ImageFrame.from_png(files.where("error IS NULL")).pixels("u8")
 
 
 @query("""SELECT space, kind, CASE WHEN ch > 4 THEN 'Too many channels' WHEN space NOT IN ('GRAY', 'RGB') THEN 'Unsupported color space' WHEN space = 'GRAY' AND kind = 'f32' THEN 'Gray32F not supported' END AS error,

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from ..schema import ColorSpace, cspace_text
+from ..schema import META_VALUE, ColorSpace, cspace_text
 
 BLOCK = 2880
 #: names of compressions and their suffix in an extended file name
@@ -33,6 +33,8 @@ TYPES = {
     "i64": (64, 0, "i8"), "u64": (64, 9223372036854775808, "u8"), "f32": (-32, 0, "f4"), "f64": (-64, 0, "f8"),
 }
 NANOS = 1_000_000_000
+#: what a card shows of its entry
+DATE, SPACE, PLAIN, SECONDS, NANOSECONDS, WHOLE = range(6)
 
 
 def compression_suffix(name: str) -> str:
@@ -47,43 +49,47 @@ def _floor_div(a, n: int):
 
 def cards(images: DataFrame) -> DataFrame:
     """(image_id, key, kind, ivalue, fvalue, svalue, comment) of every header card
-    that an image's colour space and metadata give."""
-    each = images.select("image_id", cspace_text(F.col("cspace")).alias("space"), F.col("metadata.TIMESTAMP.ns").alias("stamp"), F.explode("metadata").alias("k", "m"))
-    m, k = F.col("m"), F.col("k")
-    has = m["comment"].isNotNull()
-    note = lambda unit, bare: F.when(has, F.concat(m["comment"], F.lit(f" ({unit})"))).otherwise(F.lit(bare))
-
-    def card(key, kind, i=None, f=None, s=None, comment=None, when=None):
-        value = F.struct(key.alias("key"), F.lit(kind).alias("kind"), (i if i is not None else F.lit(None)).cast("decimal(20,0)").alias("ivalue"), (f if f is not None else F.lit(None)).cast("double").alias("fvalue"), (s if s is not None else F.lit(None)).cast("string").alias("svalue"), (comment if comment is not None else F.lit(None)).cast("string").alias("comment"))
-        return value if when is None else F.when(when, value)
-
-    ns, kind = m["ns"], m["kind"]
-    seconds, rest = _floor_div(ns, NANOS), F.pmod(ns, F.lit(NANOS))
-    whole = seconds.cast("double") + rest.cast("double") / 1e9
-    span, moment = kind == "duration", kind == "systemtime"
-    epoch = lambda unit: note(f"{unit} from EPOCH", f"{unit} from EPOCH")
-    rows = F.array(
-        card(k, "int", i=F.coalesce(m["i"].cast("decimal(20,0)"), m["u"]), comment=m["comment"], when=kind.isin("u8", "u16", "u32", "u64", "i8", "i16", "i32", "i64")),
-        card(k, "float", f=m["f"], comment=m["comment"], when=kind.isin("f32", "f64")),
-        card(k, "str", s=m["s"], comment=m["comment"], when=kind.isin("string", "colorspace")),
-        card(F.concat(k, F.lit("_S")), "int", i=seconds, comment=note("s", "(s)"), when=span),
-        card(F.concat(k, F.lit("_NS")), "int", i=rest, comment=note("ns", "(ns)"), when=span),
-        card(k, "float", f=whole, comment=F.coalesce(m["comment"], F.lit("s")), when=span),
-        card(F.concat(k, F.lit("_S")), "int", i=seconds, comment=epoch("s"), when=moment),
-        card(F.concat(k, F.lit("_NS")), "int", i=rest, comment=epoch("ns"), when=moment),
-        # without a comment a moment also is a float card
-        card(k, "float", f=whole, comment=F.lit("s from EPOCH"), when=moment & ~has),
-    )
-    own = each.select("image_id", F.explode(F.array_compact(rows)).alias("r")).select("image_id", "r.*")
+    that an image's colour space and metadata give.
+
+    The metadata is read once: a list of (place, key, value) that says which cards
+    an entry has is exploded, and the card follows from its place."""
+    both = images.select("image_id", cspace_text(F.col("cspace")).alias("space"), "metadata").withColumn("stamp", F.col("metadata.TIMESTAMP.ns"))
+    none = F.lit(None).cast(META_VALUE)
+    entry = lambda place, k, m: F.struct(F.lit(place).alias("place"), k.alias("k"), m.alias("m"))
+    parts = lambda places: (lambda e: F.transform(F.array(*map(F.lit, places)), lambda p: F.struct(p.alias("place"), e["key"].alias("k"), e["value"].alias("m"))))
+
+    def of(e):
+        kind = e["value"]["kind"]
+        moment = F.when(e["value"]["comment"].isNull(), parts([SECONDS, NANOSECONDS, WHOLE])(e)).otherwise(parts([SECONDS, NANOSECONDS])(e))
+        return F.when(kind == "duration", parts([SECONDS, NANOSECONDS, WHOLE])(e)).when(kind == "systemtime", moment).otherwise(parts([PLAIN])(e))
+
+    fixed = F.array(entry(DATE, F.lit("DATE-OBS"), none), entry(SPACE, F.lit("COLOR_SPACE"), none))
+    listed = F.concat(fixed, F.flatten(F.transform(F.map_entries("metadata"), of)))
+    each = both.select("image_id", "space", "stamp", F.explode(listed).alias("x")).select("image_id", "space", "stamp", "x.*")
+    m, k, place = F.col("m"), F.col("k"), F.col("place")
+    kind, note, ns = m["kind"], m["comment"], m["ns"]
+    seconds, rest, moment = _floor_div(ns, NANOS), F.pmod(ns, F.lit(NANOS)), kind == "systemtime"
+
+    def unit(name):
+        with_note = F.concat(note, F.when(moment, f" ({name} from EPOCH)").otherwise(f" ({name})"))
+        return F.coalesce(with_note, F.when(moment, f"{name} from EPOCH").otherwise(f"({name})"))
+
     micros = _floor_div(F.col("stamp"), 1000)
     second = _floor_div(micros, 1_000_000)
     # the calendar of a count of seconds, without a session time zone
     day = F.date_add(F.lit("1970-01-01").cast("date"), _floor_div(second, 86400).cast("int"))
     clock = F.pmod(second, F.lit(86400))
     date = F.format_string("%sT%02d:%02d:%02d.%06d", day.cast("string"), _floor_div(clock, 3600), _floor_div(F.pmod(clock, F.lit(3600)), 60), F.pmod(clock, F.lit(60)), F.pmod(micros, F.lit(1_000_000)))
-    always = images.select("image_id", cspace_text(F.col("cspace")).alias("space"), F.col("metadata.TIMESTAMP.ns").alias("stamp"))
-    fixed = always.select("image_id", F.explode(F.array(card(F.lit("DATE-OBS"), "str", s=date), card(F.lit("COLOR_SPACE"), "str", s=F.col("space")))).alias("r")).select("image_id", "r.*")
-    return fixed.unionByName(own)
+    sort = F.when(kind.isin("string", "colorspace"), "str").when(kind.isin("f32", "f64"), "float").otherwise("int")
+    return each.select(
+        "image_id",
+        F.when(place == SECONDS, F.concat(k, F.lit("_S"))).when(place == NANOSECONDS, F.concat(k, F.lit("_NS"))).otherwise(k).alias("key"),
+        F.when(place.isin(DATE, SPACE), "str").when(place == WHOLE, "float").when(place == PLAIN, sort).otherwise("int").alias("kind"),
+        F.when(place == SECONDS, seconds.cast("decimal(20,0)")).when(place == NANOSECONDS, rest.cast("decimal(20,0)")).when(place == PLAIN, F.coalesce(m["i"].cast("decimal(20,0)"), m["u"])).alias("ivalue"),
+        F.when(place == WHOLE, seconds.cast("double") + rest.cast("double") / 1e9).when(place == PLAIN, m["f"]).alias("fvalue"),
+        F.when(place == DATE, date).when(place == SPACE, F.col("space")).when(place == PLAIN, m["s"]).alias("svalue"),
+        F.when(place == SECONDS, unit("s")).when(place == NANOSECONDS, unit("ns")).when(place == WHOLE, F.coalesce(note, F.when(moment, "s from EPOCH").otherwise("s"))).when(place == PLAIN, note).alias("comment"),
+    )
 
 
 def _string_cards(head: str, value: str, comment: str) -> list[str]:
