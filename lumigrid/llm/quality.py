@@ -26,7 +26,7 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class QualityRules:
-    buckets: int = 1 << 14
+    buckets: int = 1 << 13
     min_score: float = -0.2
     min_words: int = 10
     max_repeat_percent: int = 20
