@@ -50,3 +50,20 @@ def drop_table(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def with_row_ids(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a long column ``name`` that no two rows share: the doc_id where it is
+    one row's own, else a number above all ids.
+
+    Those other rows are written in the order of (doc_id, all columns), so their
+    numbers are the same whenever they are read, and rows in doubt are alike."""
+    number = F.col("doc_id").cast("long")
+    shared, n = cut_counting(docs.groupBy(number.alias("shared")).count().where("count > 1 or shared is null").select("shared"), "shared")
+    if not n:
+        return docs.withColumn(name, number)
+    top = docs.agg(F.coalesce(F.max(number), F.lit(0)).alias("top")).first().top
+    order = [F.col("doc_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])]
+    one = docs.where("doc_id is not null").join(shared, number == F.col("shared"), "left_anti").withColumn(name, number)
+    some = docs.join(shared, number.eqNullSafe(F.col("shared")), "left_semi").repartitionByRange(*order).sortWithinPartitions(*order)
+    return one.unionByName(cut(some.withColumn(name, F.lit(top + 1) + F.monotonically_increasing_id()), "repeated"))

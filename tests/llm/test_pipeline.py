@@ -58,7 +58,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert all(r.n_chars == len(r.text) for r in after)
     before, after = seen["copies"]
     comp = test_neardup.brute(before, corpus_pipeline.COPY_PERCENT)
-    assert sorted(r.doc_id for r in after) == sorted(i for i, c in comp.items() if i == c)
+    assert sorted(r.doc_id for r in after) == sorted(i for i, c in comp.items() if i == c) and len(comp) == len(before)
     before, after = seen["benchmark"]
     p = decontam.Decontam()
     leaks = {i for i, t in before if any(test_decontam.fit(test_decontam.tokens(x), test_decontam.tokens(t)) <= p.edits(len(test_decontam.tokens(x))) for x in items)}
@@ -69,6 +69,26 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(r.doc_id for r in whole.collect()) == sorted(r.doc_id for r in after)
 
 
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    """Copies and leaks go, and one of each group stays, also where ids are missing or shared."""
+    rnd = random.Random(2)
+    text = lambda n=60: " ".join(f"w{rnd.randrange(4000)}" for _ in range(n))
+    item, a, b, c = text(25), text(), text(), text()
+    leak = lambda: f"{text(20)} {item} {text(20)}"
+    rows = [(None, a, "n1"), (None, a, "n2"), (1, a, "one"), (2, b, "two"), (2, b, "two"), (2, b, "three"), (2, c, "four"), (None, text(), "own"), (None, None, "null"), (None, None, "null")]
+    rows += [(None, leak(), "leak"), (3, leak(), "leak"), (3, text(), "clean"), (4, leak(), "leak"), (5, "", "empty")]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id int, text string, gone string").repartition(3)
+    out = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()
+    kept = sorted((r.doc_id or 0, r.gone) for r in out)
+    assert [r.gone for r in out if r.text == a] == ["one"] and sum(r.text == b for r in out) == 1
+    assert len(kept) == len(rows) - 4 and sum(r.text is None for r in out) == 2
+    again = corpus_pipeline.near_dedup(spark, docs.repartition(5), str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.gone) for r in again) == kept
+    out = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.gone for r in out) == sorted(g for _, _, g in rows if g != "leak")
+
+
 def test_empty_tables(spark, tmp_path):
     folder = str(tmp_path)
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
