@@ -95,14 +95,18 @@ def judge_urls(urls: DataFrame, sites=SITES, patterns=PATTERNS) -> DataFrame:
         index = F.broadcast(index)
     target = F.when(F.col("is_site"), F.col("site")).otherwise(F.col("lowered"))
     hits = tokens.join(index, "token").where(F.rlike(target, F.col("regex"))).select("url", "name", "verdict", "is_site")
-    for r in loose:
-        text = F.col("site") if r.site else F.col("lowered")
-        hits = hits.unionByName(texts.where(text.rlike(r.regex)).select("url", F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.site).alias("is_site")))
+    if loose:
+        # rules without a token are tried on every url, all of them in one pass
+        tried = [F.when((F.col("site") if r.site else F.col("lowered")).rlike(r.regex), F.struct(*[F.lit(v).alias(n) for n, v in (("name", r.name), ("verdict", r.verdict), ("is_site", r.site))])) for r in loose]
+        hits = hits.unionByName(texts.select("url", F.explode(F.array_compact(F.array(*tried))).alias("hit")).select("url", "hit.*"))
     best = hits.groupBy(F.col("url").alias("hit_url")).agg(
         F.max(F.when(F.col("is_site"), F.struct(F.length("name").alias("size"), "name", "verdict"))).alias("top"),
         F.min(F.when(~F.col("is_site"), F.col("name"))).alias("pattern"),
     )
-    out = parts.join(best, parts.url == best.hit_url, "left")
+    # rows without a url have no rule to look up: in the join they would all meet in one task
+    out = parts.where("url is not null").join(best, parts.url == best.hit_url, "left").drop("hit_url")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in best.schema.fields if f.name != "hit_url"}
+    out = out.unionByName(parts.where("url is null").withColumns(none))
     verdict = F.coalesce(F.col("top.verdict"), F.when(F.col("pattern").isNotNull(), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("top.name").alias("rule"), verdict.alias("verdict"), "pattern")
 
