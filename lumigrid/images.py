@@ -36,6 +36,10 @@ class ImageFrame:
     def from_png(cls, files: DataFrame) -> ImageFrame:
         return cls(imageio.from_png(files))
 
+    @classmethod
+    def from_tiff(cls, files: DataFrame) -> ImageFrame:
+        return cls(imageio.from_tiff(files))
+
     @classmethod
     def from_json(cls, rows: DataFrame, strict: bool = True) -> ImageFrame:
         return cls(serde.from_json(rows, strict))
@@ -106,9 +110,7 @@ class ImageFrame:
     def debayer(self, method: str) -> ImageFrame:
         def one(a, r):
             space = ColorSpace.of(r["cspace"])
-            if not space.is_bayer:
-                raise ValueError("InvalidColorSpace")
-            return kernels.debayer(a[:, :, 0], r["pixel_type"], space.pattern, method), r["pixel_type"], RGB
+            return kernels.debayer(a[:, :, 0], r["pixel_type"], space.cfa(), method), r["pixel_type"], RGB
 
         return self.operate(one)
 
@@ -192,5 +194,8 @@ class ImageFrame:
     def to_png(self) -> DataFrame:
         return imageio.to_png(self.df)
 
+    def to_tiff(self) -> DataFrame:
+        return imageio.to_tiff(self.df)
+
 
 __all__ = ["DYNAMIC", "IMAGE", "METADATA", "ImageFrame"]

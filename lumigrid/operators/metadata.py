@@ -107,10 +107,14 @@ def get_key(meta: Column, name: str) -> Column:
     return F.try_element_at(meta, F.lit(name.upper()))
 
 
-def get_value(meta: Column, name: str, kind: str) -> Column:
-    """The value if it is of exactly this kind, else null."""
+def get_value(meta: Column, name: str, kind: str, strict: bool = False) -> Column:
+    """The value if it is of exactly this kind, else null; if ``strict``, a value of another kind raises."""
     found = get_key(meta, name)
-    return F.when(found["kind"] == kind, found[SLOTS[kind]])
+    own = F.when(found["kind"] == kind, found[SLOTS[kind]])
+    if not strict:
+        return own
+    slot = {f.name: f.dataType for f in META_VALUE.fields}[SLOTS[kind]]
+    return F.when(found["kind"] != kind, F.raise_error(F.concat(F.lit("Invalid type "), found["kind"])).cast(slot)).otherwise(own)
 
 
 def get_comment(meta: Column, name: str) -> Column:

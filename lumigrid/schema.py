@@ -45,6 +45,10 @@ PATTERNS = ("BGGR", "GBRG", "GRBG", "RGGB")
 MAX_SIDE = 65535
 
 
+#: fixed values: how the kinds without a pattern are called
+NO_CFA = {"gray": "Gray", "rgb": "RGB", "custom": "Custom"}
+
+
 @dataclass(frozen=True)
 class ColorSpace:
     kind: str
@@ -66,6 +70,12 @@ class ColorSpace:
     def of(row) -> ColorSpace:
         return ColorSpace(row["kind"], row["pattern"], row["channels"], row["name"])
 
+    def cfa(self) -> str:
+        """The mosaic's pattern; a colour space without one says so."""
+        if not self.is_bayer:
+            raise ValueError(f"{NO_CFA[self.kind]} color space not supported in Bayer images.")
+        return self.pattern
+
     def text(self) -> str:
         if self.kind == "custom":
             return f"C({self.channels}, {self.name})"

@@ -2,9 +2,9 @@
 
 Each image is a file ``<image_id>.fits`` (``append`` option: one file a task, an
 image extension each). Without compression the image is the primary HDU; with
-``gzip`` the image is a tiled-image table, a row of pixels a tile, and its header
-has the keys; so has the primary one of a file of its own. Other codecs live in
-native libraries and are refused. String values and comments over a card's end
+``gzip`` or ``rice`` the image is a tiled-image table, a row of pixels a tile, and
+its header has the keys; so has the primary one of a file of its own. Rice takes
+whole numbers of 8 to 32 bits. Other codecs live in native libraries and are refused. String values and comments over a card's end
 go on in CONTINUE cards; the format has ASCII only, other characters become "?".
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..functions import rice
 from ..schema import META_VALUE, ColorSpace, cspace_text
 
 BLOCK = 2880
@@ -169,19 +170,37 @@ def _unstored(raw: bytes, kind: str) -> np.ndarray:
     return (a ^ np.array(1 << (8 * a.itemsize - 1), word)).view(store)
 
 
-def gzip_hdu(a: np.ndarray, kind: str, keys: list[str]) -> bytes:
-    """A tiled-image table: each row of pixels is a gzip stream in the heap."""
+#: what a compression is called in the header
+ALGORITHMS = {"gzip": "GZIP_1", "rice": "RICE_1"}
+
+
+def _tile(row: np.ndarray, kind: str, compression: str) -> bytes:
+    raw = _stored(row, kind)
+    if compression == "gzip":
+        return gzip.compress(raw, mtime=0)
+    bits = TYPES[kind][0]
+    return rice.encode(np.frombuffer(raw, f">{'u' if bits == 8 else 'i'}{bits // 8}").astype(f"{'u' if bits == 8 else 'i'}{bits // 8}"))
+
+
+def tiled_hdu(a: np.ndarray, kind: str, keys: list[str], compression: str) -> bytes:
+    """A tiled-image table: each row of pixels is a compressed stream in the heap."""
     bits, zero, _ = TYPES[kind]
+    if compression == "rice" and bits not in (8, 16, 32):
+        raise ValueError(f"Compression rice takes no {kind} pixels; use none or gzip")
     flat = a.reshape(a.shape[0], -1)
-    tiles = [gzip.compress(_stored(row, kind), mtime=0) for row in flat]
+    tiles = [_tile(row, kind, compression) for row in flat]
     sizes = np.array([len(t) for t in tiles])
     offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     table = np.stack([sizes, offsets], axis=1).astype(">i4").tobytes()
     axes = [n for n in reversed(a.shape)]
     lines = [header_card("XTENSION", "BINTABLE"), header_card("BITPIX", 8), header_card("NAXIS", 2), header_card("NAXIS1", 8), header_card("NAXIS2", len(tiles)), header_card("PCOUNT", int(sizes.sum())), header_card("GCOUNT", 1), header_card("TFIELDS", 1)]
-    lines += [header_card("TTYPE1", "COMPRESSED_DATA"), header_card("TFORM1", f"1PB({sizes.max()})"), header_card("ZIMAGE", True), header_card("ZBITPIX", bits), header_card("ZNAXIS", len(axes)), header_card("ZCMPTYPE", "GZIP_1"), header_card("EXTNAME", "IMAGE")]
+    lines += [header_card("TTYPE1", "COMPRESSED_DATA"), header_card("TFORM1", f"1PB({sizes.max()})"), header_card("ZIMAGE", True), header_card("ZBITPIX", bits), header_card("ZNAXIS", len(axes)), header_card("ZCMPTYPE", ALGORITHMS[compression]), header_card("EXTNAME", "IMAGE")]
+    # a tile is a row of pixels with all their channels
+    whole = len(axes) - 1
     for i, n in enumerate(axes, 1):
-        lines += [header_card(f"ZNAXIS{i}", n), header_card(f"ZTILE{i}", n if i < len(axes) else 1)]
+        lines += [header_card(f"ZNAXIS{i}", n), header_card(f"ZTILE{i}", n if i <= whole else 1)]
+    if compression == "rice":
+        lines += [header_card("ZNAME1", "BLOCKSIZE"), header_card("ZVAL1", rice.BLOCK), header_card("ZNAME2", "BYTEPIX"), header_card("ZVAL2", bits // 8)]
     if zero:
         lines += [header_card("BZERO", zero), header_card("BSCALE", 1)]
     return header(lines + keys) + _padded(table + b"".join(tiles))
@@ -220,10 +239,10 @@ def file_bytes(row: dict, compression: str = "none") -> bytes:
     a, kind, keys = pixels_of(row), row["pixel_type"], metadata_cards(row)
     if compression == "none":
         return image_hdu(a, kind, keys, True)
-    if compression != "gzip":
-        raise ValueError(f"Compression {compression} is not available; use none or gzip")
+    if compression not in ALGORITHMS:
+        raise ValueError(f"Compression {compression} is not available; use none, gzip or rice")
     empty = [header_card("SIMPLE", True), header_card("BITPIX", 8), header_card("NAXIS", 0), header_card("EXTEND", True)]
-    return header(empty + keys) + gzip_hdu(a, kind, keys)
+    return header(empty + keys) + tiled_hdu(a, kind, keys, compression)
 
 
 def open_fs(path: str):
@@ -241,8 +260,8 @@ class FitsWriter(DataSourceArrowWriter):
         self.path, self.overwrite = options["path"], overwrite
         self.compression = options.get("compression", "none").lower()
         self.append = options.get("append", "false").lower() == "true"
-        if self.compression not in ("none", "gzip"):
-            raise ValueError(f"Compression {self.compression} is not available; use none or gzip")
+        if self.compression not in ("none", *ALGORITHMS):
+            raise ValueError(f"Compression {self.compression} is not available; use none, gzip or rice")
 
     def write(self, iterator):
         filesystem, folder = open_fs(self.path)
@@ -263,7 +282,7 @@ class FitsWriter(DataSourceArrowWriter):
                     stream = filesystem.open_output_stream(names[0][0], compression=None)
                     stream.write(header([header_card("SIMPLE", True), header_card("BITPIX", 8), header_card("NAXIS", 0), header_card("EXTEND", True)]))
                 unit = (pixels_of(row), row["pixel_type"], metadata_cards(row))
-                stream.write(gzip_hdu(*unit) if self.compression == "gzip" else image_hdu(*unit, False))
+                stream.write(image_hdu(*unit, False) if self.compression == "none" else tiled_hdu(*unit, self.compression))
         if stream:
             stream.close()
         return Written(names)
@@ -338,7 +357,13 @@ def read_image(data: bytes, keys: dict) -> tuple[np.ndarray, str] | None:
     if z:
         table = np.frombuffer(data, ">i4", 2 * shape[0]).reshape(-1, 2)
         heap = 8 * shape[0]
-        data = b"".join(gzip.decompress(data[heap + offset : heap + offset + size]) for size, offset in table)
+        tiles = [data[heap + offset : heap + offset + size] for size, offset in table]
+        if keys["ZCMPTYPE"].strip() == "RICE_1":
+            word = f"{'u' if keys['ZBITPIX'] == 8 else 'i'}{keys['ZBITPIX'] // 8}"
+            tiles = [rice.decode(t, int(np.prod(shape[1:])), word).astype(f">{word}").tobytes() for t in tiles]
+        else:
+            tiles = [gzip.decompress(t) for t in tiles]
+        data = b"".join(tiles)
     return _unstored(data, kind).reshape(shape), kind
 
 

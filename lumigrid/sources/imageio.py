@@ -1,4 +1,4 @@
-"""Exchange with common image files: which images have a file form, and PNG in and out."""
+"""Exchange with common image files: which images have a file form; PNG (whole numbers) and TIFF (floats too) in and out."""
 
 from __future__ import annotations
 
@@ -87,34 +87,102 @@ def _unfiltered(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
     return out[1:, 1:].astype(np.uint8)
 
 
-def to_png(images: DataFrame) -> DataFrame:
-    """image_id, png and error (for images without that form; floats have none)."""
-    error = F.coalesce(export_error(F.col("cspace"), F.col("channels"), F.col("pixel_type")), F.when(F.col("pixel_type") == "f32", "PNG holds no floating point pixels"))
+#: fixed values of TIFF: tags of a gray or RGB image in one strip
+_WIDTH, _HEIGHT, _BITS, _PACKED, _PHOTOMETRIC, _STRIP, _SAMPLES, _ROWS, _STRIP_BYTES, _PLANAR, _FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 339
+_TIFF_TYPES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
+
+
+def tiff_bytes(a: np.ndarray) -> bytes:
+    """(height, width, 1 or 3) of 8 or 16 bits or 32-bit floats, little-endian, not compressed."""
+    height, width, channels = a.shape
+    body = a.astype(a.dtype.newbyteorder("<")).tobytes()
+    size, real = a.dtype.itemsize, a.dtype.kind == "f"
+    lists = struct.pack(f"<{channels}H", *[8 * size] * channels) + struct.pack(f"<{channels}H", *[3 if real else 1] * channels)
+    at = 8 + 2 + 11 * 12 + 4
+    tags = [(_WIDTH, 4, 1, width), (_HEIGHT, 4, 1, height), (_BITS, 3, channels, at if channels > 2 else 8 * size), (_PACKED, 3, 1, 1), (_PHOTOMETRIC, 3, 1, 2 if channels == 3 else 1), (_STRIP, 4, 1, at + len(lists))]
+    tags += [(_SAMPLES, 3, 1, channels), (_ROWS, 4, 1, height), (_STRIP_BYTES, 4, 1, len(body)), (_PLANAR, 3, 1, 1), (_FORMAT, 3, channels, at + 2 * channels if channels > 2 else 3 if real else 1)]
+    return b"II*\0" + struct.pack("<IH", 8, len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0) + lists + body
+
+
+def tiff_pixels(data: bytes) -> np.ndarray:
+    """Pixels of a gray or RGB file of 8 or 16 bits or 32-bit floats, either byte order, in any number of strips; compressed ones are refused."""
+    order = {b"II*\0": "<", b"MM\0*": ">"}.get(data[:4])
+    if not order:
+        raise ValueError("not a TIFF file")
+    (at,) = struct.unpack_from(f"{order}I", data, 4)
+    (n,) = struct.unpack_from(f"{order}H", data, at)
+    tags = {}
+    for k in range(n):
+        place = at + 2 + 12 * k
+        tag, kind, count = struct.unpack_from(f"{order}HHI", data, place)
+        if kind in _TIFF_TYPES:
+            code, size = _TIFF_TYPES[kind]
+            if size * count > 4:
+                (place,) = struct.unpack_from(f"{order}I", data, place + 8)
+            else:
+                place += 8
+            tags[tag] = struct.unpack_from(f"{order}{count}{code}", data, place)
+    one = lambda tag, default: tags.get(tag, (default,))[0]
+    channels, bits, form = one(_SAMPLES, 1), one(_BITS, 1), one(_FORMAT, 1)
+    word = {(8, 1): "u1", (16, 1): "u2", (32, 3): "f4"}.get((bits, form))
+    if one(_PACKED, 1) != 1 or one(_PLANAR, 1) != 1 or not word or (channels, one(_PHOTOMETRIC, 1)) not in ((1, 1), (3, 2)):
+        raise ValueError("Unknown image type")
+    body = b"".join(data[s : s + size] for s, size in zip(tags[_STRIP], tags[_STRIP_BYTES], strict=True))
+    return np.frombuffer(body, order + word).astype(word).reshape(one(_HEIGHT, 0), one(_WIDTH, 0), channels)
+
+
+_STORAGE = {"u8": "<u1", "u16": "<u2", "f32": "<f4"}
+
+
+def _to_files(images: DataFrame, name: str, error: Column, encode) -> DataFrame:
+    """image_id, ``name`` and error, an image at a time."""
 
     def run(batches):
         for row in image_rows(batches):
-            a = None if row["error"] else np.frombuffer(row["data"], "<u2" if row["pixel_type"] == "u16" else "u1").reshape(row["height"], row["width"], row["channels"])
-            yield pa.RecordBatch.from_arrays([pa.array([row["image_id"]], pa.int64()), pa.array([None if a is None else png_bytes(a)], pa.binary()), pa.array([row["error"]], pa.string())], names=["image_id", "png", "error"])
+            a = None if row["error"] else np.frombuffer(row["data"], _STORAGE[row["pixel_type"]]).reshape(row["height"], row["width"], row["channels"])
+            yield pa.RecordBatch.from_arrays([pa.array([row["image_id"]], pa.int64()), pa.array([None if a is None else encode(a)], pa.binary()), pa.array([row["error"]], pa.string())], names=["image_id", name, "error"])
 
     cols = images.select("image_id", "width", "height", "channels", "pixel_type", "data", error.alias("error"))
-    return cols.mapInArrow(run, "image_id bigint, png binary, error string")
+    return cols.mapInArrow(run, f"image_id bigint, {name} binary, error string")
 
 
-def from_png(files: DataFrame) -> DataFrame:
-    """Image rows of (image_id, png)."""
-
+def _from_files(files: DataFrame, name: str, decode) -> DataFrame:
     def run(batches):
         for row in image_rows(batches):
-            a = png_pixels(row["png"])
+            a = decode(row[name])
             space = RGB if a.shape[2] == 3 else GRAY
+            kind = {"u1": "u8", "u2": "u16", "f4": "f32"}[a.dtype.str[1:]]
+            if space is GRAY and kind == "f32":
+                raise ValueError("Unknown image type")
             out = {
                 "image_id": row["image_id"], "width": a.shape[1], "height": a.shape[0], "channels": a.shape[2],
                 "cspace": {"kind": space.kind, "pattern": None, "channels": space.channels, "name": None},
-                "pixel_type": "u16" if a.dtype.itemsize == 2 else "u8", "data": a.astype("<u2" if a.dtype.itemsize == 2 else "u1").tobytes(),
+                "pixel_type": kind, "data": a.astype(_STORAGE[kind]).tobytes(),
             }
             yield pa.RecordBatch.from_pylist([out], schema=_ARROW)
 
-    return files.select("image_id", "png").mapInArrow(run, IMAGE)
+    return files.select("image_id", name).mapInArrow(run, IMAGE)
+
+
+def to_png(images: DataFrame) -> DataFrame:
+    """image_id, png and error (for images without that form; floats have none)."""
+    error = export_error(F.col("cspace"), F.col("channels"), F.col("pixel_type"))
+    return _to_files(images, "png", F.coalesce(error, F.when(F.col("pixel_type") == "f32", "PNG holds no floating point pixels")), png_bytes)
+
+
+def from_png(files: DataFrame) -> DataFrame:
+    """Image rows of (image_id, png)."""
+    return _from_files(files, "png", png_pixels)
+
+
+def to_tiff(images: DataFrame) -> DataFrame:
+    """image_id, tiff and error (for images without a form in common image files)."""
+    return _to_files(images, "tiff", export_error(F.col("cspace"), F.col("channels"), F.col("pixel_type")), tiff_bytes)
+
+
+def from_tiff(files: DataFrame) -> DataFrame:
+    """Image rows of (image_id, tiff)."""
+    return _from_files(files, "tiff", tiff_pixels)
 
 
 _ARROW = pa.schema([
