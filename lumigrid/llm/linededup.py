@@ -316,3 +316,23 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = dedup_lines(docs)
     return out.select("doc_id", "n_lines", "n_removed", "kept", F.length("text").cast("long").alias("chars_left"), F.sha1(F.encode("text", "utf-8")).alias("text_sha1"))
+
+
+#: the same by every deletion variant of every line; for small tables whose ids are unique
+SQL = """
+WITH y AS (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+z AS (SELECT *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS b, doc_id::HUGEINT * 4294967296 + k AS place FROM y),
+f AS (SELECT b, min(place) AS place FROM z WHERE b <> '' GROUP BY b),
+g AS (SELECT b, place, length(b) AS n FROM f WHERE length(b) >= 10),
+s AS (SELECT n, count(*) AS c FROM g GROUP BY n),
+c AS (SELECT g.* FROM g WHERE n IN (SELECT n FROM s WHERE c > 1) OR n + 1 IN (SELECT n FROM s) OR n - 1 IN (SELECT n FROM s)),
+v AS (SELECT b, place, p, hash(substr(b, 1, p) || substr(b, p + 2)) AS h FROM (SELECT b, place, unnest(range(n)) AS p FROM c)),
+w AS (SELECT b, place, hash(b) AS h FROM c),
+changed AS (SELECT v.b FROM v JOIN (SELECT h, p, min(place) AS m FROM v GROUP BY ALL) o ON v.h = o.h AND v.p = o.p WHERE v.place > o.m),
+longer AS (SELECT v.b FROM v JOIN w ON v.h = w.h WHERE v.place > w.place),
+shorter AS (SELECT w.b FROM w JOIN (SELECT h, min(place) AS m FROM v GROUP BY h) o ON w.h = o.h WHERE w.place > o.m),
+near AS (SELECT b FROM changed UNION SELECT b FROM longer UNION SELECT b FROM shorter),
+stay AS (SELECT z.*, z.b = '' OR (z.place = f.place AND near.b IS NULL) AS stays FROM z LEFT JOIN f ON z.b = f.b LEFT JOIN near ON z.b = near.b),
+t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed, bool_or(stays AND b <> '') AS worded, coalesce(string_agg(raw, chr(10) ORDER BY k) FILTER (stays), '') AS text FROM stay GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_removed = 0 OR worded, true) AS kept, length(t.text) AS chars_left, sha1(t.text) AS text_sha1
+FROM documents d LEFT JOIN t USING (doc_id)"""

@@ -22,4 +22,5 @@ ORACLES = {
     "op6_licenses": licenses.SQL,
     "op8_near_duplicates": neardup.SQL,
     "op9_url_filter": urlfilter.SQL,
+    "op10_line_dedup": linededup.SQL,
 }
