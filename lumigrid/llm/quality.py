@@ -56,10 +56,6 @@ def _ending(word: Column) -> Column:
     return F.xxhash64(F.lit("end"), F.substring(word, -3, 3))
 
 
-def _features() -> Column:
-    return F.concat("one", "two", F.transform("words", _ending))
-
-
 def feature_counts(docs: DataFrame, trusted: DataFrame, rules: QualityRules) -> DataFrame:
     """Per bucket: how often it occurs in all documents (raw) and in the trusted ones (target)."""
     ids = trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
@@ -67,7 +63,13 @@ def feature_counts(docs: DataFrame, trusted: DataFrame, rules: QualityRules) ->
         ids = F.broadcast(ids)
     docs = docs.select("doc_id", "text")
     marked = docs.join(ids, docs.doc_id == ids.trusted_id, "left").select("text", F.col("trusted_id").isNotNull().cast("long").alias("t"))
-    each = _hashed(marked).select("t", F.explode(_features()).alias("f")).select("t", F.pmod("f", F.lit(rules.buckets)).cast("int").alias("bucket"))
+    # words are exploded with their successors before they are hashed: rows are hashed in compiled code, array elements are not
+    words = marked.select("t", word_array(F.col("text")).alias("words"))
+    words = words.select("t", "words", F.slice("words", F.lit(2), F.size("words")).alias("next"))
+    words = words.select("t", F.explode(F.arrays_zip("words", "next")).alias("z")).select("t", "z.words", "z.next")
+    one = F.xxhash64("words")
+    features = F.array(one, F.when(F.col("next").isNotNull(), F.xxhash64(one, F.xxhash64("next"))), _ending(F.col("words")))
+    each = words.select("t", F.explode(features).alias("f")).where("f is not null").select("t", F.pmod("f", F.lit(rules.buckets)).cast("int").alias("bucket"))
     return each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
 
 
@@ -121,7 +123,7 @@ def judge(docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRule
     total = F.aggregate("words", F.lit(0.0), lambda s, x: s + weight(_ending(x)))
     for array in ("one", "two"):
         total = F.aggregate(array, total, lambda s, x: s + weight(x))
-    size = F.size("one") + F.size("two") + F.size("words")
+    size = 2 * F.size("words") + F.size("two")
     out = out.withColumn("score", F.when(size > 0, total / size).otherwise(0.0))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     # A filter on ``kept`` would be pushed below the projections above, and compute every
