@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import cfa, pointwise
@@ -141,20 +142,27 @@ def luma_mean_per_image(spark, d):
 # demosaicing
 
 
-def debayer_sql(source: str, method: str, high: int = 255) -> str:
+def debayer_sql(source: str, method: str, high: int = 255, real: bool = False) -> str:
     """Neighbours by joins on reflected coordinates; the cubic method's many by places in a list of the image's samples."""
     listed = method == "cubic"
     refl = lambda at, by, n: f"CASE WHEN abs({at} + {by}) > {n} - 1 THEN 2 * ({n} - 1) - abs({at} + {by}) ELSE abs({at} + {by}) END"
     used: dict[tuple, str] = {}
 
     def near(dy, dx):
+        return f"CAST({place(dy, dx)} AS DOUBLE)" if real else place(dy, dx)
+
+    def place(dy, dx):
         if listed:
             return f"s.p[CAST(({refl('s.y', dy, 's.h')}) * s.w + ({refl('s.x', dx, 's.w')}) + 1 AS BIGINT)]"
         return used.setdefault((dy, dx), f"n{len(used)}") + ".v"
 
-    mean = lambda taps: f"(({' + '.join(near(*t) for t in taps)}) // {len(taps)})"
+    def mean(taps):
+        total = " + ".join(near(*t) for t in taps)
+        return f"CAST(CAST(({total}) / {len(taps)}.0::DOUBLE AS FLOAT) AS DOUBLE)" if real else f"(({total}) // {len(taps)})"
 
     def quotient(top, below):
+        if real:
+            return f"(({top}) / {below}.0::DOUBLE)"
         x = f"trunc(({top}) / {below}.0::DOUBLE)"
         return f"CASE WHEN {x} < 0 OR {x} > {high} THEN {high} ELSE {x} END"
 
@@ -175,7 +183,7 @@ def debayer_sql(source: str, method: str, high: int = 255) -> str:
     own, side = letter("s.y", "s.x"), letter("s.y", "s.x + 1")
     value = f"CASE WHEN t.l = {own} THEN s.v WHEN t.l = 'G' THEN {cross} WHEN {own} <> 'G' THEN {diagonal} WHEN t.l = {side} THEN {beside} ELSE {above} END"
     rows = "(SELECT px.*, i.p FROM px JOIN (SELECT image_id, list(v ORDER BY y, x) AS p FROM px GROUP BY image_id) i USING (image_id))" if listed else "px"
-    return f"WITH px AS ({source}) SELECT s.image_id, s.y, s.x, t.c, CAST({value} AS INTEGER) AS v FROM {rows} s CROSS JOIN (VALUES (0, 'R'), (1, 'G'), (2, 'B')) t(c, l) {joins}"
+    return f"WITH px AS ({source}) SELECT s.image_id, s.y, s.x, t.c, CAST({value} AS {'FLOAT' if real else 'INTEGER'}) AS v FROM {rows} s CROSS JOIN (VALUES (0, 'R'), (1, 'G'), (2, 'B')) t(c, l) {joins}"
 
 
 def _debayer(name: str, source, sql: str, method: str, kind: str, high: int):
@@ -183,13 +191,15 @@ def _debayer(name: str, source, sql: str, method: str, kind: str, high: int):
         return demosaic.debayer(source(spark, d), method, kind)
 
     run.__name__ = name
-    query(debayer_sql(sql, method, high))(run)
+    query(debayer_sql(sql, method, high, kind == "f32"))(run)
 
 
 for _m in demosaic.METHODS:
     _debayer(f"debayer_{_m}", X.bayer8, X.BAYER8, _m, "u8", 255)
 for _m in ("nearest", "linear", "cubic"):
     _debayer(f"debayer_{_m}_u16", X.bayer16, X.BAYER16, _m, "u16", 65535)
+for _m in demosaic.METHODS:
+    _debayer(f"debayer_{_m}_f32", X.gray32, X.GRAY32, _m, "f32", 1)
 _debayer("debayer_linear_frame", X.frame16, X.FRAME16, "linear", "u16", 65535)
 
 
@@ -324,8 +334,6 @@ def from_f64(spark, d):
 
 
 def _exposure_sql(source: str, key: str, cfg: exposure.OptimumExposure, ns: int, bin_: int) -> str:
-    import numpy as np
-
     tgt, unc = np.float32(cfg.pixel_tgt) * np.float32(65535), np.float32(cfg.pixel_uncertainty) * np.float32(65535)
     e, b = "w", f"CAST({bin_} AS INTEGER)"
     most = max(1, cfg.max_allowed_bin)
@@ -359,6 +367,35 @@ def opt_exposure_frame(spark, d):
     return exposure.optimum_exposure(X.frame16(spark, d), F.lit(40_000_000), F.lit(8), "u16", BINNED)
 
 
+#: settings that the builder takes or refuses, and what it says
+_SETTINGS = {
+    "plain": ({}, None),
+    "target": ({"pixel_tgt": 1.5}, "Target pixel value must be between 1.6e-5 and 1"),
+    "low target": ({"pixel_tgt": 0.0}, "Target pixel value must be between 1.6e-5 and 1"),
+    "uncertainty": ({"pixel_uncertainty": 2.0}, "Pixel uncertainty must be between 1.6e-5 and 1"),
+    "percentile": ({"percentile_pix": 1.01}, "Percentile must be between 0 and 1."),
+    "exposures": ({"min_allowed_exp": 5, "max_allowed_exp": 5}, "Minimum allowed exposure must be less than maximum allowed exposure"),
+    "exclusion": ({"pixel_exclusion": 65537}, "Pixel exclusion must be less than 65536"),
+    "binning": ({"max_allowed_bin": 33}, "Maximum allowed binning must be less than 32"),
+    "edges": ({"percentile_pix": 1.0, "pixel_exclusion": 65536, "max_allowed_bin": 32}, None),
+}
+
+
+def _built(settings: dict) -> str | None:
+    builder = exposure.OptimumExposure().builder()
+    for name, value in settings.items():
+        builder = getattr(builder, name)(value)
+    try:
+        builder.build()
+    except ValueError as e:
+        return str(e)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{name}', {'CAST(NULL AS VARCHAR)' if error is None else repr(error)})" for name, (_, error) in _SETTINGS.items()) + ") t(setting, error)")
+def exposure_settings(spark, d):
+    return spark.createDataFrame([(name, _built(settings)) for name, (settings, _) in _SETTINGS.items()], "setting string, error string")
+
+
 # metadata
 
 _KEYS = """SELECT image_id, 'TIMESTAMP' AS key, 'systemtime' AS kind, CAST(NULL AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS f, CAST(NULL AS VARCHAR) AS s, us * 1000 AS ns, 'Timestamp of the image' AS comment FROM ({e})
@@ -404,6 +441,24 @@ def meta_get_typed(spark, d):
     )
 
 
+@query(f"""SELECT image_id, image_id * 4294967296 AS big_u64, CAST(NULL AS BIGINT) AS big_i64, -image_id AS long_i64, CAST(CAST(value AS FLOAT) AS DOUBLE) AS single_f32, CAST(NULL AS DOUBLE) AS single_f64,
+us * 10 AS span_ns, CAST(NULL AS BIGINT) AS span_moment, us * 1000 AS moment_ns, 'RGGB' AS space, image_id % 200 - 100 AS small_i8, image_id % 65536 AS word_u16 FROM ({X.EVENTS})""")
+def meta_get_types(spark, d):
+    """Each kind is found by its own type only."""
+    e = X._read(spark, d, "events").select(F.col("event_id").alias("image_id"), F.expr(X.MICROS).alias("us"), "value")
+    keys = {
+        "big": M.item("u64", F.col("image_id").cast("decimal(20,0)") * 4294967296), "long": M.item("i64", -F.col("image_id")), "single": M.item("f32", F.col("value")), "span": M.item("duration", F.col("us") * 10),
+        "moment": M.item("systemtime", F.col("us") * 1000), "space": M.item("colorspace", bayer("RGGB")), "small": M.item("i8", F.pmod("image_id", F.lit(200)) - 100), "word": M.item("u16", F.pmod("image_id", F.lit(65536))),
+    }
+    m = F.col("metadata")
+    get = lambda name, kind: M.get_value(m, name, kind)
+    return e.select("image_id", M.new_metadata(F.col("us") * 1000, keys).alias("metadata")).select(
+        "image_id", get("BIG", "u64").cast("bigint").alias("big_u64"), get("big", "i64").alias("big_i64"), get("long", "i64").alias("long_i64"), get("single", "f32").alias("single_f32"),
+        get("single", "f64").alias("single_f64"), get("span", "duration").alias("span_ns"), get("span", "systemtime").alias("span_moment"), get("moment", "systemtime").alias("moment_ns"),
+        get("space", "colorspace").alias("space"), get("small", "i8").alias("small_i8"), get("word", "u16").alias("word_u16"),
+    )
+
+
 @query(f"SELECT image_id, us * 1000 AS timestamp_ns FROM ({X.EVENTS})")
 def timestamp_key(spark, d):
     return X.event_metadata(spark, d).select("image_id", M.get_timestamp(F.col("metadata")).alias("timestamp_ns"))
@@ -488,6 +543,18 @@ def fits_roundtrip_gzip(spark, d):
     return _through_fits(spark, d, "gzip")
 
 
+@query(f"SELECT image_id, y, x, v FROM ({X.BAYER16})")
+def fits_roundtrip_rice(spark, d):
+    return _through_fits(spark, d, "rice")
+
+
+@query(f"SELECT image_id, y, x, c, CAST(v AS FLOAT) / 255.0::FLOAT AS v FROM ({X.RGB8})")
+def tiff_roundtrip_f32(spark, d):
+    """Floating point pixels, which PNG has no form for."""
+    floats = ImageFrame.new(X.rgb8_images(spark, d)).operate(lambda a, r: (a.astype("f4") / np.float32(255), "f32", RGB))
+    return ImageFrame.from_tiff(floats.to_tiff().where("error IS NULL")).pixels("f32")
+
+
 @query(X.RGB8)
 def png_roundtrip(spark, d):
     files = ImageFrame.new(X.rgb8_images(spark, d)).to_png()
