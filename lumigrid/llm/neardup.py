@@ -102,20 +102,22 @@ class Sketcher:
         """values: the sets one after another, none empty. The value is monotone in
         the hash, so it is taken of each register's minimum only."""
         p = self.p
-        out = np.empty((len(bounds) - 1, p.registers), np.uint8)
         top = (values >> U(32)).astype(np.uint32)
         low = values.astype(np.uint32) | np.uint32(1)
+        h, rest = np.empty_like(top), np.empty_like(top)
+        least = np.empty((p.registers, len(bounds) - 1), np.uint32)
         for j in range(p.registers):
             s = np.uint32(int(self.steps[j]) & 0xFFFFFFFF)
             t = np.uint32(int(self.steps[j]) >> 33)
-            h = (top ^ t) * s + low * np.uint32((int(s) * 0x85EBCA6B | 1) & 0xFFFFFFFF)
-            h ^= h >> np.uint32(15)
-            h *= np.uint32(0x2C1B3C6D)
-            h ^= h >> np.uint32(13)
-            least = np.minimum.reduceat(h, bounds[:-1])
-            x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / p.rate
-            out[:, j] = np.clip(np.floor(1 - np.log(x) / self.log_base), 0, p.limit + 1)
-        return out
+            # in place: the buffers stay in the cache
+            np.multiply(np.bitwise_xor(top, t, out=h), s, out=h)
+            np.add(h, np.multiply(low, np.uint32((int(s) * 0x85EBCA6B | 1) & 0xFFFFFFFF), out=rest), out=h)
+            np.bitwise_xor(h, np.right_shift(h, np.uint32(15), out=rest), out=h)
+            np.multiply(h, np.uint32(0x2C1B3C6D), out=h)
+            np.bitwise_xor(h, np.right_shift(h, np.uint32(13), out=rest), out=h)
+            np.minimum.reduceat(h, bounds[:-1], out=least[j])
+        x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / p.rate
+        return np.ascontiguousarray(np.clip(np.floor(1 - np.log(x) / self.log_base), 0, p.limit + 1).astype(np.uint8).T)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, p: NearDup) -> np.ndarray:
@@ -165,7 +167,7 @@ def fingerprints(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
 def sketches(docs: DataFrame, p: NearDup) -> DataFrame:
     def run(batches):
         maker = Sketcher(p)
-        for rows, data, offsets in T.pieces(batches, "text", 1 << 20):
+        for rows, data, offsets in T.pieces(batches, "text", 1 << 19):
             values, bounds = sets_of(data, offsets, p)
             n = np.diff(bounds)
             full = np.flatnonzero(n)
