@@ -234,6 +234,8 @@ def _split(rows: DataFrame, p: NearDup) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+#: hubs whose numbers of shares are broadcast (12 bytes each); beyond this they are joined by shuffle
+BROADCAST_HUBS = 500_000
 MEMBER = ["key", "band", "node", "comp", "sketch", "n_shingles", "skip", "mine", "left", "right"]
 
 
@@ -329,9 +331,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, p: NearDup) -
     # a doc_id may have rows of several sets: only those of a wanted node stay
     known = texts.select("text").mapInArrow(sets, "fp1 long, fp2 long, n_shingles long, items binary").selectExpr(f"{NODE} AS node", "items")
     known = cut(known.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / p.share).cast("int").alias("parts"))
+    parts, n_hubs = cut_counting(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / p.share).cast("int").alias("parts")), "parts")
     salt = F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("salt")
-    partners = pairs.join(parts, "hub").select("hub", salt, "other").join(known.withColumnRenamed("node", "other"), "other").select("hub", "salt", "other", "items")
+    # a hub's pairs would meet in one task if they were dealt by hub
+    partners = pairs.join(F.broadcast(parts) if n_hubs <= BROADCAST_HUBS else parts, "hub").select("hub", salt, "other").join(known.withColumnRenamed("node", "other"), "other").select("hub", "salt", "other", "items")
     hubs = parts.join(known.withColumnRenamed("node", "hub"), "hub")
     hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("other"), "items")
 
