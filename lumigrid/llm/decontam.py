@@ -15,8 +15,7 @@ passage leaks an item of n words when it is within k = floor(max_edit * n) edits
 3. Bit-sampling LSH over the embeddings filters the windows: ``walks`` x
    ``tables`` samples of ``bits`` positions; a window is compared with items
    that share a sample. One window of a passage at the edit limit passes with a
-   probability of 0.97 to 1 (5 to 150 words; tests/llm/test_decontam.py), and a
-   passage has several.
+   probability of 0.96 (150 words) to 1 (5 words), and a passage has several.
 4. Candidates are verified by exact edit distance, the item against the best
    stretch of the document around the window.
 
