@@ -10,9 +10,18 @@ included, share the last one. A token's probability:
 
 The first two are softmaxes over hashed features of the history: the previous
 word, the word before it (a skip) and, for classes, the two together.
-P(word | last) is the smoothed frequency (c + 1) / (N + V + 1) among the other
-words of the class, which leaves one share for unknown words. All factors sum to
-one.
+P(word | last) starts from the smoothed frequency (c + 1) / (N + V + 1) among the
+other words of the class, which leaves one share for unknown words. All factors
+sum to one.
+
+With ``slots`` the history tells those other words apart too, however many they
+are. They are the leaves of a binary tree over their places by falling count, one
+tree a class; each inner node is a maximum-entropy decision between its halves
+that starts from their frequencies (exact: runs of equal counts give the sum over
+any places) and has hashed features of the previous word and the skip. A known
+word's frequency is multiplied by the odds its path gained. Words of the head take
+their places from a table that every task has, all others from a join, in training
+and in scoring alike. Without ``slots`` they differ by frequency alone.
 
 Training starts from the words' frequencies (the weights of the bias features)
 and is distributed: in each of ``rounds`` rounds, over documents of its own, every
@@ -66,6 +75,8 @@ class Lm:
     #: added to observed and expected counts
     prior: float = 2.0
     head: int = 1 << 18
+    #: most weights of the decisions among a class's other words, a power of two (they follow the tokens as rows do); 0: by frequency alone
+    slots: int = 0
     block: int = 128
     #: tasks whose sums are added first, so that no task reads those of all
     lot: int = 64
@@ -75,13 +86,15 @@ class Lm:
     def __post_init__(self):
         if self.members != self.classes:
             raise ValueError("both softmaxes have one width: members must equal classes")
+        if self.slots & (self.slots - 1):
+            raise ValueError("slots must be a power of two")
 
     def sized(self, tokens: int) -> Lm:
         """With rows for this many training tokens."""
         fit = lambda most: max(4 * self.classes, min(most, 1 << (max(1, tokens // self.row_tokens) - 1).bit_length()))
         rows = max(self.block, fit(self.rows))
         member_rows = max(self.block, fit(self.member_rows))
-        return replace(self, rows=-(-rows // self.block) * self.block, member_rows=-(-member_rows // self.block) * self.block)
+        return replace(self, rows=-(-rows // self.block) * self.block, member_rows=-(-member_rows // self.block) * self.block, slots=min(self.slots, max(256, 1 << (max(1, tokens // self.row_tokens) - 1).bit_length())))
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -122,6 +135,14 @@ def history(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.stack([T.mix(one * U(3) + U(1)), T.mix(two * U(7) + U(3)), T.mix(one * U(5) + T.mix(two))], axis=1)
 
 
+def history_at(h: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first two columns of ``history``, of some tokens."""
+    place = at - bounds[np.searchsorted(bounds, at, side="right") - 1]
+    one = np.where(place >= 1, h[at - 1], U(1))
+    two = np.where(place >= 2, h[at - 2], U(2))
+    return np.stack([T.mix(one * U(3) + U(1)), T.mix(two * U(7) + U(3))], axis=1)
+
+
 def rows_of(features: np.ndarray, kind: np.ndarray, p: Lm) -> tuple[np.ndarray, np.ndarray]:
     """Weight rows of the class softmax, and of the member softmax given the class. The
     bias features' rows stand first: one for the classes, one of each class for its members."""
@@ -133,16 +154,31 @@ def rows_of(features: np.ndarray, kind: np.ndarray, p: Lm) -> tuple[np.ndarray,
     return upper, lower
 
 
-def softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _powers(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     z = np.take(weights, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
         z += np.take(weights, rows[:, k], axis=0)
-    z -= z.max(1, keepdims=True)
+    most = z
+    while most.shape[1] > 1:  # by halves: a fraction of the time of max(1)
+        half = (most.shape[1] + 1) // 2
+        most = np.maximum(most[:, :half], most[:, -half:])
+    z -= most
     np.exp(z, out=z)
+    return z
+
+
+def softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = _powers(weights, rows)
     z /= z.sum(1, keepdims=True)
     return z
 
 
+def softmax_at(weights: np.ndarray, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Each token's entry of the softmax for its label."""
+    z = _powers(weights, rows)
+    return z[np.arange(len(z)), label] / z.sum(1)
+
+
 def add_counts(observed: np.ndarray, expected: np.ndarray, weights: np.ndarray, rows: np.ndarray, label: np.ndarray) -> None:
     """Add the counts of a batch: each feature row with its token's label, and with the label's probabilities.
 
@@ -231,24 +267,202 @@ class Members:
         return self.member[at], self.n[at]
 
 
+def placed(counts: DataFrame) -> DataFrame:
+    """With ``place``: each word's place in its class, the most frequent first."""
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "h")).cast("long") - 1)
+
+
 def chosen_members(counts: DataFrame, p: Lm) -> Members:
     """The most frequent words of every class: at most classes x (members - 1) rows are gathered."""
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "h"))
-    top = counts.withColumn("member", rank - 1).where(F.col("member") < p.members - 1).select("h", "kind", "member", "n").orderBy("h").toArrow()
+    top = counts.where(F.col("place") < p.members - 1).select("h", "kind", F.col("place").alias("member"), "n").orderBy("h").toArrow()
     col = lambda n: top.column(n).to_numpy()
     return Members(col("h").astype(np.int64).view(U), col("kind"), col("member"), col("n"), p)
 
 
+class Rest:
+    """The words without a member of their own, as leaves of one binary tree a class.
+
+    ``runs``: kind, n and how many of the class's other words occur n times, by kind and falling n.
+    Words stand one class after the other by falling n, so the sum of (n + 1) up to any of them is
+    linear within a run; a class has no more runs than the root of twice its tokens."""
+
+    def __init__(self, kind: np.ndarray, n: np.ndarray, words: np.ndarray, p: Lm):
+        self.size = np.zeros(p.classes, np.int64)
+        np.add.at(self.size, kind, words)
+        self.base = np.cumsum(self.size) - self.size
+        self.edge, self.mass = (np.concatenate([[0], np.cumsum(x)]).astype(np.float64) for x in (words, words * (n + 1)))
+
+    def share(self, kind: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Each word's part of (n + 1) over its tree."""
+        at, upto = self.base[kind], lambda x: np.interp(x, self.edge, self.mass)
+        return (upto(at + place + 1) - upto(at + place)) / np.maximum(upto(at + self.size[kind]) - upto(at), 1.0)
+
+    def paths(self, kind: np.ndarray, place: np.ndarray) -> Paths:
+        """The decisions on the way to each word (its place counted from the first without a member): a node is cut
+        where the sum of (n + 1) is next to its half."""
+        word = np.argsort(self.base[kind] + place, kind="stable")  # interp is quicker in order
+        lo, steps = self.base[kind[word]], []
+        goal, hi = lo + place[word], lo + self.size[kind[word]]
+        upto = lambda x: np.interp(x, self.edge, self.mass)
+        below, above = upto(lo), upto(hi)
+        while True:
+            more = np.flatnonzero(hi - lo > 1)
+            if not len(more):
+                break
+            word, goal, lo, hi, below, above = (x[more] for x in (word, goal, lo, hi, below, above))
+            # no count gives a fraction of 1 - 0.4142..., so that rounding decides nothing
+            middle = np.floor(np.interp((below + above) / 2, self.mass, self.edge) + (2**0.5 - 1)).astype(np.int64)
+            middle = np.clip(middle, lo + 1, hi - 1)
+            at, right = upto(middle), goal >= middle
+            # a node is named by the word its right half begins with: no other node's does
+            steps.append((word, (T.mix(middle.astype(U) + U(1)) >> U(32)).astype(np.uint32), np.log((above - at) / (at - below)).astype(np.float32), right))
+            lo, below, hi, above = np.where(right, middle, lo), np.where(right, at, below), np.where(right, hi, middle), np.where(right, above, at)
+        n = np.zeros(len(kind), np.int64)
+        for own, *_ in steps:
+            n[own] += 1
+        bounds = np.append(0, np.cumsum(n))
+        node, start, right = (np.zeros(bounds[-1], t) for t in (np.uint32, np.float32, bool))
+        for k, (own, *step) in enumerate(steps):
+            at = bounds[own] + k
+            node[at], start[at], right[at] = step
+        return Paths(node, start, right, bounds, self.share(kind, place))
+
+    def paths_of(self, kind: np.ndarray, place: np.ndarray, p: Lm) -> tuple[Paths, np.ndarray]:
+        """Paths of the distinct words among tokens given by class and place in it, and each token's word."""
+        place = place - (p.members - 1)
+        _, first, word = np.unique(self.base[kind] + place, return_index=True, return_inverse=True)
+        return self.paths(kind[first], place[first]), word
+
+
+@dataclass
+class Paths:
+    """Of each decision its node, log odds of the right half by frequency, and which half it is; each
+    word's bounds in them, and its part of (n + 1) over its tree."""
+
+    node: np.ndarray
+    start: np.ndarray
+    right: np.ndarray
+    bounds: np.ndarray
+    share: np.ndarray
+
+
+def packed(features: np.ndarray) -> np.ndarray:
+    """The features of a token's decisions in one number: 32 bits of the previous word's hash, and of the skip's."""
+    return (features[:, 0] & U(0xFFFFFFFF00000000)) | (features[:, 1] >> U(32))
+
+
+def slots_of(node: np.ndarray, feature: np.ndarray, p: Lm) -> np.ndarray:
+    """Weights of a feature (32 bits) in a decision."""
+    return (((feature ^ node) * np.uint32(0x9E3779B1)) >> np.uint32(32 - (p.slots.bit_length() - 1))).astype(np.int64)
+
+
+def decisions(word: np.ndarray, before: np.ndarray, odds: np.ndarray, paths: Paths, p: Lm):
+    """Of some tokens at a time: their slice, and for each decision its two slots, the log odds of the
+    right half, which half it is, and the tokens' bounds in the decisions. ``word``: the tokens' places in ``paths``."""
+    one, two = (before >> U(32)).astype(np.uint32), before.astype(np.uint32)
+    for lo in range(0, len(word), p.batch):
+        part = slice(lo, lo + p.batch)
+        first = paths.bounds[word[part]]
+        n = paths.bounds[word[part] + 1] - first
+        ends = np.cumsum(n)
+        at = np.repeat(first - (ends - n), n) + np.arange(ends[-1])
+        node = paths.node[at]
+        one_at, two_at = (slots_of(node, np.repeat(x[part], n), p) for x in (one, two))
+        yield part, one_at, two_at, paths.start[at] + odds[one_at] + odds[two_at], paths.right[at], np.append(0, ends)
+
+
+def gained(word: np.ndarray, before: np.ndarray, odds: np.ndarray, paths: Paths, p: Lm) -> np.ndarray:
+    """log10 of what the history multiplies each token's frequency among its class's other words by."""
+    out = -np.log(paths.share[word])
+    for part, _, _, z, right, bounds in decisions(word, before, odds, paths, p):
+        logs = np.append(0.0, np.cumsum(np.log(1 + np.exp(np.where(right, -z, z))), dtype=np.float64))
+        out[part] -= np.diff(logs[bounds])
+    return out / np.log(10)
+
+
+def add_decisions(sums: np.ndarray, word: np.ndarray, before: np.ndarray, odds: np.ndarray, paths: Paths, p: Lm) -> None:
+    """Add to ``sums`` (3, slots): decisions for the right half, those expected, and all decisions, by slot."""
+    held: list[tuple] = []
+
+    def flush():
+        slot, seen, expected = (np.concatenate(x) for x in zip(*held, strict=True))
+        for k, x in enumerate((seen, expected, None)):
+            sums[k] += np.bincount(slot, x, p.slots)
+        held.clear()
+
+    for _, one, two, z, right, _ in decisions(word, before, odds, paths, p):
+        expected = 1 / (1 + np.exp(-z))
+        held += [(one, right, expected), (two, right, expected)]
+        if len(held) >= 32:
+            flush()
+    if held:
+        flush()
+
+
+def moved_odds(odds: np.ndarray, sums: np.ndarray, p: Lm) -> np.ndarray:
+    seen, expected, n = sums
+    return odds + np.float32(p.rate) * (np.log((seen + p.prior) / (expected + p.prior)) - np.log((n - seen + p.prior) / (n - expected + p.prior))).astype(np.float32)
+
+
+#: slots to a row of sums
+SLOT_BLOCK = 1 << 13
+
+
+def _slot_batch(sums: np.ndarray, lot: int) -> pa.RecordBatch:
+    """Sums by slot as rows of ``SUMS``; their blocks are numbered downwards from -1."""
+    used = [b for b in range(-(-sums.shape[1] // SLOT_BLOCK)) if sums[2, b * SLOT_BLOCK : (b + 1) * SLOT_BLOCK].any()]
+    rows = [sums[:, b * SLOT_BLOCK : (b + 1) * SLOT_BLOCK].astype(np.float32).tobytes() for b in used]
+    return pa.RecordBatch.from_arrays([pa.array([-1 - b for b in used], pa.int32()), pa.array(rows, pa.binary()), pa.array([lot] * len(used), pa.int32())], names=["block", "sums", "lot"])
+
+
+TAIL = "h long, before long"
+
+
+def _tail_tokens(docs: DataFrame, sent, p: Lm) -> DataFrame:
+    """(h, before) of the tokens whose words are neither members nor in the head."""
+
+    def run(batches):
+        members, head = sent.value[1:3]
+        for _, data, offsets in T.pieces(batches, "text", 1 << 20):
+            h, _, bounds = tokens(data, offsets)
+            at = np.flatnonzero(head.find(h)[0] == 0)
+            at = at[members.find(h[at])[0] == p.members - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h[at], packed(history_at(h, bounds, at)))], names=["h", "before"])
+
+    return docs.mapInArrow(run, TAIL)
+
+
+def _tail_round(tail: DataFrame, sent, p: Lm) -> DataFrame:
+    """Sums by slot of (kind, place, before) rows."""
+
+    def run(batches):
+        rest, odds = sent.value[3:]
+        sums = np.zeros((3, p.slots))
+        for batch in batches:
+            paths, word = rest.paths_of(*(batch.column(k).to_numpy() for k in range(2)), p)
+            add_decisions(sums, word, batch.column(2).to_numpy().view(U), odds, paths, p)
+        yield _slot_batch(sums, TaskContext.get().partitionId() // p.lot)
+
+    return tail.mapInArrow(run, SUMS)
+
+
 def _round(docs: DataFrame, sent, p: Lm) -> DataFrame:
-    """(block, lot, sums) of each task: observed and expected counts in blocks of weight rows; a lot is ``p.lot`` tasks."""
+    """(block, lot, sums) of each task: observed and expected counts in blocks of weight rows; a lot is ``p.lot`` tasks.
+    With slots, theirs of the head's words too."""
 
     def run(batches):
-        weights, members = sent.value
+        weights, members, head, rest, odds = sent.value
+        slot_sums = np.zeros((3, p.slots))
         observed, expected = np.zeros(p.shape, np.float32), np.zeros(p.shape, np.float32)
         for _, data, offsets in T.pieces(batches, "text", 1 << 20):
             h, ending, bounds = tokens(data, offsets)
             kind, (member, _) = classes_of(ending, p), members.find(h)
-            upper, lower = rows_of(history(h, bounds), kind, p)
+            before = history(h, bounds)
+            upper, lower = rows_of(before, kind, p)
+            if p.slots:
+                n, word = head.find(h)
+                at = np.flatnonzero((member == p.members - 1) & (n > 0))
+                add_decisions(slot_sums, word[at], packed(before[at]), odds, head.paths(rest, p), p)
             for lo in range(0, len(h), p.batch):
                 part = slice(lo, lo + p.batch)
                 add_counts(observed, expected, weights, upper[part], kind[part])
@@ -257,6 +471,8 @@ def _round(docs: DataFrame, sent, p: Lm) -> DataFrame:
         used, lot = np.flatnonzero(sums.any((1, 2))), TaskContext.get().partitionId() // p.lot
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([sums[b].tobytes() for b in used], pa.binary()), pa.array(np.full(len(used), lot, np.int32))], names=["block", "sums", "lot"])
+        if p.slots:
+            yield _slot_batch(slot_sums, lot)
 
     return docs.mapInArrow(run, SUMS)
 
@@ -297,42 +513,63 @@ def moved(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray, p: Lm
     return weights + np.float32(p.rate) * np.log((observed + p.prior) / (expected + p.prior)).astype(np.float32)
 
 
-def train(docs: DataFrame, members: Members, sizes: np.ndarray, p: Lm) -> np.ndarray:
-    """Weights after one pass over ``docs`` (training rows only), each round over documents of its own."""
-    weights, spark = frequency_start(sizes, p), docs.sparkSession
+def train(docs: DataFrame, counts: DataFrame, members: Members, head: Head, rest: Rest, sizes: np.ndarray, p: Lm) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, and those of the slots, after one pass over ``docs`` (training rows only), each round over documents of its own."""
+    weights, odds, spark = frequency_start(sizes, p), np.zeros(p.slots, np.float32), docs.sparkSession
     partitions = int(max(1, sizes.sum() // p.task_tokens))
     for r in range(p.rounds):
         mine = docs.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(p.rounds)) == r)
-        sent = spark.sparkContext.broadcast((weights, members))
-        rows = _added(_round(mine.coalesce(partitions), sent, p), partitions).collect()  # twice the size of the weights
-        sums = np.zeros((p.shape[0] // p.block, 2, p.block * p.classes), np.float32)
+        sent = spark.sparkContext.broadcast((weights, members, head, rest, odds))
+        own = _round(mine.coalesce(partitions), sent, p)
+        if p.slots:
+            tail = _tail_tokens(mine.coalesce(partitions), sent, p).join(counts, "h").select("kind", "place", "before")
+            own = own.unionByName(_tail_round(tail.coalesce(partitions), sent, p))
+        rows = _added(own, partitions).collect()  # twice the size of the weights, and three times that of the slots
+        sums, slot_sums = np.zeros((p.shape[0] // p.block, 2, p.block * p.classes), np.float32), np.zeros((3, p.slots))
         for row in rows:
-            sums[row.block] = np.frombuffer(row.sums, np.float32).reshape(2, -1)
-        weights = moved(weights, sums[:, 0].reshape(p.shape), sums[:, 1].reshape(p.shape), p)
+            if row.block >= 0:
+                sums[row.block] = np.frombuffer(row.sums, np.float32).reshape(2, -1)
+            else:
+                at = (-1 - row.block) * SLOT_BLOCK
+                slot_sums[:, at : at + SLOT_BLOCK] = np.frombuffer(row.sums, np.float32).reshape(3, -1)
+        weights, odds = moved(weights, sums[:, 0].reshape(p.shape), sums[:, 1].reshape(p.shape), p), moved_odds(odds, slot_sums, p)
         sent.destroy()
-    return weights
+    return weights, odds
 
 
 class Head:
-    """The counts of the most frequent words, found by one probe. Of words that share a slot the most frequent stays."""
+    """Counts of the most frequent words, found by one probe, and the paths of those without a member of
+    their own. Of words that share a slot the most frequent stays."""
 
-    def __init__(self, h: np.ndarray, n: np.ndarray):
+    def __init__(self, h: np.ndarray, n: np.ndarray, kind: np.ndarray, place: np.ndarray):
+        self.words = h, n, kind, place
         self.bits = max(10, int(len(h)).bit_length() + 2)
-        self.keys, self.counts = np.zeros(1 << self.bits, U), np.zeros(1 << self.bits, np.int64)
+        self.keys, self.counts, self.at = np.zeros(1 << self.bits, U), np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int32)
         order = np.argsort(n, kind="stable")
         slot = self.slot(h[order])
-        self.keys[slot], self.counts[slot] = h[order], n[order]
+        self.keys[slot], self.counts[slot], self.at[slot] = h[order], n[order], order
+        self.held = None
+
+    def __reduce__(self):
+        return Head, self.words  # a quarter of the table
 
     def slot(self, h: np.ndarray) -> np.ndarray:
         return (h >> U(64 - self.bits)).astype(np.int64)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Counts, 0 where the word is not in the table."""
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts, 0 where the word is not in the table, and which of its words it is."""
         slot = self.slot(h)
-        return np.where(self.keys[slot] == h, self.counts[slot], 0)
+        return np.where(self.keys[slot] == h, self.counts[slot], 0), self.at[slot]
+
+    def paths(self, rest: Rest, p: Lm) -> Paths:
+        """Of all words of the table, made once; a member's is that of the first word without one."""
+        if self.held is None:
+            _, _, kind, place = self.words
+            self.held = rest.paths(kind, np.maximum(place - (p.members - 1), 0))
+        return self.held
 
 
-PART = "row_id long, doc_id long, held_out boolean, n_tokens long, n_head long, log_counts double, log_model double, tail array<long>"
+PART = "row_id long, doc_id long, held_out boolean, n_tokens long, n_head long, log_counts double, log_model double, tail array<long>, before array<long>"
 
 
 def score_documents(docs: DataFrame, p: Lm = Lm(), row_filter=training) -> DataFrame:
@@ -340,13 +577,15 @@ def score_documents(docs: DataFrame, p: Lm = Lm(), row_filter=training) -> DataF
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     learn = docs.where(row_filter(F.col("doc_id")))
-    counts = cut(word_counts(learn, p), "counts")
+    counts = cut(placed(word_counts(learn, p)), "counts")
     by_class = {r.kind: (r.n, r.v) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     total, distinct = sum(n for n, _ in by_class.values()), sum(v for _, v in by_class.values())
     p = p.sized(total)
     members = chosen_members(counts, p)
-    top = counts.orderBy(F.desc("n"), "h").limit(p.head).select("h", "n").toArrow()
-    head = Head(top.column(0).to_numpy().astype(np.int64).view(U), top.column(1).to_numpy())
+    top = counts.orderBy(F.desc("n"), "h").limit(p.head).select("h", "n", "kind", "place").toArrow()
+    head = Head(top.column(0).to_numpy().astype(np.int64).view(U), *(top.column(k).to_numpy() for k in (1, 2, 3)))
+    runs = counts.where(F.col("place") >= p.members - 1).groupBy("kind", "n").agg(F.count(F.lit(1)).alias("words")).orderBy("kind", F.desc("n")).toArrow()
+    rest = Rest(*(runs.column(c).to_numpy().astype(np.int64) for c in ("kind", "n", "words")), p)
     # tokens of each member; the last one has what is left of its class
     sizes, kinds = np.zeros((p.classes, p.members)), np.zeros(p.classes)
     np.add.at(sizes, (members.kind, members.member[:-1]), members.n[:-1])
@@ -354,19 +593,21 @@ def score_documents(docs: DataFrame, p: Lm = Lm(), row_filter=training) -> DataF
     for kind, (n, v) in by_class.items():
         sizes[kind, -1] += n - sizes[kind, :-1].sum()
         kinds[kind] = v - kinds[kind]
-    weights = train(learn, members, sizes, p)
+    weights, odds = train(learn, counts, members, head, rest, sizes, p)
     in_rest = -np.log10(sizes[:, -1] + kinds + 1)
-    sent = spark.sparkContext.broadcast((weights, members, head, in_rest))
+    sent = spark.sparkContext.broadcast((weights, members, head, in_rest, rest, odds))
     marked = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", (~row_filter(F.col("doc_id"))).alias("held_out"), "text")
     parts = cut(marked.mapInArrow(_scorer(sent, p), PART), "scores")
-    tail = parts.where(F.size("tail") > 0).select("row_id", F.explode("tail").alias("h"))
-    known = tail.join(counts.select("h", "n"), "h").groupBy("row_id").agg(F.count(F.lit(1)).alias("n_tail"), F.sum(F.log10(F.col("n") + 1.0)).alias("tail_logs"))
-    out = parts.drop("tail").join(known, "row_id", "left")
+    tail = parts.where(F.size("tail") > 0).select("row_id", F.explode(F.arrays_zip("tail", "before")).alias("t")).select("row_id", F.col("t.tail").alias("h"), F.col("t.before").alias("before"))
+    known = tail.join(counts, "h")
+    known = known.select("row_id", "n", "kind", "place", "before").mapInArrow(_tail_scorer(sent, p), TAIL_PART) if p.slots else known.withColumn("gain", F.lit(0.0))
+    known = known.groupBy("row_id").agg(F.count(F.lit(1)).alias("n_tail"), F.sum(F.log10(F.col("n") + 1.0)).alias("tail_logs"), F.sum("gain").alias("gain"))
+    out = parts.drop("tail", "before").join(known, "row_id", "left")
     tail_logs = F.coalesce("tail_logs", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("log_counts") + tail_logs - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))).alias("base_score"),
-        (F.col("log_model") + tail_logs).alias("score"),
+        (F.col("log_model") + tail_logs + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
 
 
@@ -379,34 +620,56 @@ def token_logs(h: np.ndarray, ending: np.ndarray, bounds: np.ndarray, weights: n
     each = np.where(rest, in_rest[kind], 0.0)
     for lo in range(0, len(h), p.batch):
         part = slice(lo, lo + p.batch)
-        at = np.arange(len(kind[part]))
-        own = softmax(weights, upper[part])[at, kind[part]].astype(np.float64) * softmax(weights, lower[part])[at, member[part]]
+        own = softmax_at(weights, upper[part], kind[part]).astype(np.float64) * softmax_at(weights, lower[part], member[part])
         each[part] += np.log10(np.maximum(own, 1e-300))
     return each, rest, n
 
 
 def _scorer(sent, p: Lm):
     def run(batches):
-        weights, members, head, in_rest = sent.value
+        weights, members, head, in_rest, rest_words, odds = sent.value
         for rows, data, offsets in T.pieces(batches, "text", 1 << 20):
             h, ending, bounds = tokens(data, offsets)
             each, rest, n = token_logs(h, ending, bounds, weights, members, in_rest, p)
-            count = np.where(rest, head.find(h), n)
+            in_head, word = head.find(h)
+            count = np.where(rest, in_head, n)
             found = count > 0
+            before = np.zeros(len(h), U)
+            if p.slots:
+                before = packed(history(h, bounds))
+                told = np.flatnonzero(rest & found)
+                each[told] += gained(word[told], before[told], odds, head.paths(rest_words, p), p)
             logs = np.log10(count + 1.0)
             at = bounds[:-1]
             add = lambda x: np.add.reduceat(x, at)
             n_rest = add((~found).astype(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rest)]).astype(np.int32)), pa.array(h[~found].view(np.int64)))
+            ends = pa.array(np.concatenate([[0], np.cumsum(n_rest)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[~found].view(np.int64))) for x in (h, before)]
             col = lambda n: rows.column(rows.schema.get_field_index(n))
             model = add(each + np.where(rest, logs, 0.0))
             yield pa.RecordBatch.from_arrays(
-                [col("row_id"), col("doc_id"), col("held_out"), pa.array(np.diff(bounds)), pa.array(add(found.astype(np.int64))), pa.array(add(logs)), pa.array(model), lists],
-                names=["row_id", "doc_id", "held_out", "n_tokens", "n_head", "log_counts", "log_model", "tail"],
+                [col("row_id"), col("doc_id"), col("held_out"), pa.array(np.diff(bounds)), pa.array(add(found.astype(np.int64))), pa.array(add(logs)), pa.array(model), *lists],
+                names=["row_id", "doc_id", "held_out", "n_tokens", "n_head", "log_counts", "log_model", "tail", "before"],
             )
 
     return run
 
 
+TAIL_PART = "row_id long, n long, gain double"
+
+
+def _tail_scorer(sent, p: Lm):
+    """(row_id, n, gain) of (row_id, n, kind, place, before) rows."""
+
+    def run(batches):
+        rest, odds = sent.value[4:]
+        for batch in batches:
+            paths, word = rest.paths_of(*(batch.column(k).to_numpy() for k in (2, 3)), p)
+            gain = gained(word, batch.column(4).to_numpy().view(U), odds, paths, p)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gain)], names=["row_id", "n", "gain"])
+
+    return run
+
+
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:
-    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), Lm(slots=1 << 17))

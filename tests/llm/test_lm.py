@@ -187,3 +187,122 @@ def test_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+DEEP = lm.replace(SMALL, slots=1 << 10)
+
+
+def told_apart(rows, p, held):
+    """What the history adds to each row's score for words without a member of their own: trees, decisions and
+    rounds by plain loops over tokens and words."""
+    u64 = lambda x: np.array([x % 2**64], np.uint64)
+    mix = lambda x: int(lm.T.mix(u64(x))[0])
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    texts, count, kind = [], Counter(), {}
+    for i, text in rows:
+        raw = (text or "").encode()
+        h, ending, _ = lm.tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        texts.append([int(x) for x in h])
+        kind |= dict(zip(texts[-1], (int(x) % p.classes for x in ending)))
+        if not held(i):
+            count.update(texts[-1])
+    p = p.sized(sum(count.values()))
+    trees = [sorted((w for w in count if kind[w] == c), key=lambda w: (-count[w], signed(w)))[p.members - 1 :] for c in range(p.classes)]
+    first = np.cumsum([0, *map(len, trees)])
+
+    def path(w, h, at):
+        """(slots, share of the right half, whether w is in it) of every decision."""
+        tree = trees[kind[w]]
+        lo, hi, place = 0, len(tree), tree.index(w)
+        before = mix((h[at - 1] if at >= 1 else 1) * 3 + 1), mix((h[at - 2] if at >= 2 else 2) * 7 + 3)
+        while hi - lo > 1:
+            left, half = 0, sum(count[x] + 1 for x in tree[lo:hi]) / 2
+            for middle in range(lo, hi):  # the half is in this word, or ends with it
+                if left + count[tree[middle]] + 1 >= half:
+                    break
+                left += count[tree[middle]] + 1
+            middle += (half - left) / (count[tree[middle]] + 1) >= 2 - 2**0.5
+            middle = min(max(middle, lo + 1), hi - 1)
+            right = sum(count[x] + 1 for x in tree[middle:hi])
+            node = mix(int(first[kind[w]]) + middle + 1) >> 32
+            yield [((f >> 32 ^ node) * 0x9E3779B1 % 2**32) >> (32 - (p.slots.bit_length() - 1)) for f in before], right / half / 2, place >= middle
+            lo, hi = (middle, hi) if place >= middle else (lo, middle)
+
+    odds = np.zeros(p.slots)
+    after = lambda slots, share: 1 / (1 + (1 - share) / share * math.exp(-odds[slots].sum()))
+    part = lambda i: signed(int(xxhash.xxh64(struct.pack("<q", i or 0), seed=42).intdigest()))
+    other = lambda w: count[w] and w in trees[kind[w]]
+    for r in range(p.rounds):
+        seen, expected, n = np.zeros((3, p.slots))
+        for (i, _), h in zip(rows, texts):
+            for at, w in enumerate(h if not held(i) and part(i) % p.rounds == r else []):
+                for slots, share, right in path(w, h, at) if other(w) else []:
+                    for own in slots:
+                        seen[own], expected[own], n[own] = seen[own] + right, expected[own] + after(slots, share), n[own] + 1
+        odds = odds + p.rate * (np.log((seen + p.prior) / (expected + p.prior)) - np.log((n - seen + p.prior) / (n - expected + p.prior)))
+    gain = lambda slots, share, right: math.log10(after(slots, share) / share if right else (1 - after(slots, share)) / (1 - share))
+    return [sum(gain(*d) for at, w in enumerate(h) if other(w) for d in path(w, h, at)) for h in texts]
+
+
+@pytest.mark.parametrize("head", [1, 40, 1000])
+def test_words_without_a_member_against_plain_loops(spark, head):
+    rnd = random.Random(3)
+    words = [f"{rnd.choice('abcdef')}{k}{rnd.choice(['ing', 'es', 'x'])}" for k in range(150)]
+    rows = [(k, " ".join(rnd.choice(words[: 20 + 130 * (k % 2)]) for _ in range(rnd.randint(0, 25)))) for k in range(70)] + [(80, None), (None, "New Words here"), (4, words[0])]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    more = told_apart(rows, DEEP, held)
+    want = sorted(((i if i is not None else -1, a + b) for (i, _), a, b in zip(rows, brute(rows, SMALL, held), more)))
+    assert max(map(abs, more)) > 0.1
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted((r.doc_id if r.doc_id is not None else -1, r.score) for r in lm.score_documents(docs, lm.replace(DEEP, head=head)).collect())
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-4)
+
+
+def test_the_query_tells_rare_words_apart_by_their_history(spark, tmp_path):
+    """Each rare word follows one word only. Both are of one class, whose 63 members are more frequent words: by
+    frequency alone exchanging them costs nothing more."""
+    often = " ".join(f"w{k:03d}zzz" for k in range(63))
+    pairs = [(f"left{k}", f"rare{k}zzz") for k in range(2)]
+    rows = [(k, " ".join([often] * 20 + [f"{a} {b}" for a, b in pairs] * 9)) for k in range(120)]
+    held = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
+    rows += [(held[0], " ".join(f"{a} {b}" for a, b in pairs)), (held[1], " ".join(f"{a} {b}" for (a, _), (_, b) in zip(pairs, pairs[::-1])))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    score = {r.doc_id: r.score for r in lm.op2_lm_score(spark, str(tmp_path)).collect()}
+    plain = {r.doc_id: r.score for r in lm.score_documents(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    assert score[held[0]] - score[held[1]] > plain[held[0]] - plain[held[1]] + 0.3
+
+
+def test_probabilities_of_words_without_a_member_sum_to_one():
+    rnd = np.random.default_rng(5)
+    words = [1, 2, 3, 7, 64, 100, 0, 1]  # of each class
+    kind = np.repeat(np.arange(8), words)
+    n = np.concatenate([np.sort(rnd.integers(1, 9, k))[::-1] for k in words])
+    place = np.concatenate([np.arange(k) for k in words])
+    order = np.lexsort((-n, kind))
+    rest = lm.Rest(kind[order], n[order], np.ones(len(n), int), SMALL)
+    p, odds = DEEP, rnd.normal(size=DEEP.slots).astype(np.float32)
+    paths = rest.paths(kind, place)
+    share = np.array([(n[k] + 1) / (n[kind == kind[k]] + 1).sum() for k in range(len(n))])
+    assert paths.share == pytest.approx(share)
+    before = np.full(len(n), 0x123456789ABCDEF1, np.uint64)
+    assert lm.gained(np.arange(len(n)), before, odds * 0, paths, p) == pytest.approx(np.zeros(len(n)), abs=1e-5)
+    for batch in (4096, 16):
+        after = share * 10 ** lm.gained(np.arange(len(n)), before, odds, paths, lm.replace(p, batch=batch))
+        assert np.bincount(kind, after)[np.unique(kind)] == pytest.approx(1, abs=1e-5)
+    assert abs(after - share)[kind == 5].max() > 1e-3
+
+
+def test_slots_follow_the_tokens():
+    p = lm.Lm(slots=1 << 17)
+    assert [p.sized(n).slots for n in (0, 10**6, 10**9)] == [256, 4096, 1 << 17] and lm.Lm().sized(10**6).slots == 0
+    with pytest.raises(ValueError):
+        lm.Lm(slots=1000)
+
+
+def test_slots_with_no_training_and_empty_tables(spark):
+    held = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 7 == 2)
+    only = lm.score_documents(spark.createDataFrame([(held, "a b"), (held, None)], "doc_id long, text string"), DEEP).collect()
+    assert len(only) == 2 and all(math.isfinite(r.score) and not r.train_tokens for r in only)
+    assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string"), DEEP).count() == 0
