@@ -154,49 +154,64 @@ def rows_of(features: np.ndarray, kind: np.ndarray, p: Lm) -> tuple[np.ndarray,
     return upper, lower
 
 
-def _powers(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _powers(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the sums of the rows' weights, and their sums (a column). A row of small or large ones is scaled by its largest."""
     z = np.take(weights, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
         z += np.take(weights, rows[:, k], axis=0)
-    most = z
-    while most.shape[1] > 1:  # by halves: a fraction of the time of max(1)
-        half = (most.shape[1] + 1) // 2
-        most = np.maximum(most[:, :half], most[:, -half:])
-    z -= most
-    np.exp(z, out=z)
-    return z
+    with np.errstate(over="ignore", under="ignore"):
+        out = np.exp(z)
+        total = out.sum(1, keepdims=True)  # not a product: that depends on a row's place
+    # weights start as logarithms of shares, so few rows, if any, leave these bounds
+    far = np.flatnonzero(~((total > 1e-4) & (total < 1e30)))
+    if len(far):
+        out[far] = np.exp(z[far] - z[far].max(1, keepdims=True))
+        total[far] = out[far].sum(1, keepdims=True)
+    return out, total
 
 
 def softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = _powers(weights, rows)
-    z /= z.sum(1, keepdims=True)
+    z, total = _powers(weights, rows)
+    z /= total
     return z
 
 
 def softmax_at(weights: np.ndarray, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Each token's entry of the softmax for its label."""
-    z = _powers(weights, rows)
-    return z[np.arange(len(z)), label] / z.sum(1)
+    z, total = _powers(weights, rows)
+    return z[np.arange(len(z)), label] / total[:, 0]
 
 
 def add_counts(observed: np.ndarray, expected: np.ndarray, weights: np.ndarray, rows: np.ndarray, label: np.ndarray) -> None:
     """Add the counts of a batch: each feature row with its token's label, and with the label's probabilities.
 
-    Most rows occur once or twice in a batch: those are added place by place, the
-    few others by a sum of their own."""
+    The first feature is added run by run, so tokens with the same one should stand
+    together. Most of the other rows occur once or twice in a batch: those are added
+    place by place, the few others by a sum of their own."""
     g = softmax(weights, rows)
     flat = rows.T.ravel()
     np.add.at(observed.reshape(-1), flat * g.shape[1] + np.tile(label, rows.shape[1]), np.float32(1))
+    cuts, ones = np.flatnonzero(np.diff(flat[: len(g)], prepend=-1, append=-1)), np.ones(len(g), g.dtype)
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        expected[flat[lo]] += ones[: hi - lo] @ g[lo:hi]
+    flat = flat[len(g) :]
+    if not len(flat):
+        return
     # 16-bit keys are sorted by radix
     order = np.argsort(flat.astype(np.uint16) if len(weights) <= 1 << 16 else flat, kind="stable")
     ordered, source = flat[order], order % len(g)
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    size, live = np.diff(np.append(first, len(ordered))), np.arange(len(first))
-    for k in range(6):
-        expected[ordered[first[live]]] += g[source[first[live] + k]]
-        live = live[size[live] > k + 1]
-    for i in live:
-        expected[ordered[first[i]]] += g[source[first[i] + 6 : first[i] + size[i]]].sum(0)
+    size = np.diff(np.append(first, len(ordered)))
+    longest = np.argsort(-np.minimum(size, 7).astype(np.int8), kind="stable")  # so that the runs with a k-th place are a slice
+    first, size = first[longest], size[longest]
+    row, n = ordered[first], len(size) - np.cumsum(np.bincount(np.minimum(size, 7), minlength=8))
+    sums = np.take(g, source[first], axis=0)
+    for k in range(1, 6):
+        sums[: n[k]] += np.take(g, source[first[: n[k]] + k], axis=0)
+    for i in range(n[6]):
+        sums[i] += ones[: size[i] - 6] @ np.take(g, source[first[i] + 6 : first[i] + size[i]], axis=0)
+    sums += np.take(expected, row, axis=0)
+    expected[row] = sums
 
 
 def training(doc_id: Column) -> Column:
@@ -204,6 +219,9 @@ def training(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) != 2, F.lit(True))
 
 
+#: bytes of text that a task works through at a time
+PIECE = 1 << 19
+
 COUNT = "h long, kind int, n long"
 
 
@@ -215,16 +233,19 @@ def word_counts(docs: DataFrame, p: Lm) -> DataFrame:
 
         def flush():
             h, kind, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(h, kind="stable")
+            held.clear()
+            order = np.argsort(h)
             h, kind, n = h[order], kind[order], n[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             return h[first], kind[first], np.add.reduceat(n, first)
 
-        for _, data, offsets in T.pieces(batches, "text"):
+        for _, data, offsets in T.pieces(batches, "text", PIECE):
             h, kind, _ = tokens(data, offsets)
-            own, at, n = np.unique(h, return_index=True, return_counts=True)
-            held.append((own, classes_of(kind[at], p), n))
-            size += len(own)
+            order = np.argsort(h)  # any of equal ones: a fraction of the time of np.unique's
+            ordered = h[order]
+            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            held.append((ordered[first], classes_of(kind[order[first]], p).astype(np.int32), np.diff(np.append(first, len(h)))))
+            size += len(first)
             if size > 1 << 20:
                 held = [flush()]
                 size = len(held[0][0])
@@ -279,6 +300,10 @@ def chosen_members(counts: DataFrame, p: Lm) -> Members:
     return Members(col("h").astype(np.int64).view(U), col("kind"), col("member"), col("n"), p)
 
 
+#: words whose paths are found at a time
+WORDS = 1 << 14
+
+
 class Rest:
     """The words without a member of their own, as leaves of one binary tree a class.
 
@@ -298,8 +323,14 @@ class Rest:
         return (upto(at + place + 1) - upto(at + place)) / np.maximum(upto(at + self.size[kind]) - upto(at), 1.0)
 
     def paths(self, kind: np.ndarray, place: np.ndarray) -> Paths:
-        """The decisions on the way to each word (its place counted from the first without a member): a node is cut
-        where the sum of (n + 1) is next to its half."""
+        """The decisions on the way to each word (its place counted from the first without a member). Some words at a
+        time, since what finds them takes several times their room."""
+        columns = list(zip(*(self._paths(kind[lo : lo + WORDS], place[lo : lo + WORDS]) for lo in range(0, max(1, len(kind)), WORDS)), strict=True))
+        node, start, right, n, share = (np.concatenate(columns.pop(0)) for _ in range(5))
+        return Paths(node, start, right, np.append(0, np.cumsum(n)), share)
+
+    def _paths(self, kind: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Columns of ``Paths``, with how many decisions each word has. A node is cut where the sum of (n + 1) is next to its half."""
         word = np.argsort(self.base[kind] + place, kind="stable")  # interp is quicker in order
         lo, steps = self.base[kind[word]], []
         goal, hi = lo + place[word], lo + self.size[kind[word]]
@@ -325,7 +356,7 @@ class Rest:
         for k, (own, *step) in enumerate(steps):
             at = bounds[own] + k
             node[at], start[at], right[at] = step
-        return Paths(node, start, right, bounds, self.share(kind, place))
+        return node, start, right, n, self.share(kind, place)
 
     def paths_of(self, kind: np.ndarray, place: np.ndarray, p: Lm) -> tuple[Paths, np.ndarray]:
         """Paths of the distinct words among tokens given by class and place in it, and each token's word."""
@@ -393,7 +424,7 @@ def add_decisions(sums: np.ndarray, word: np.ndarray, before: np.ndarray, odds:
     for _, one, two, z, right, _ in decisions(word, before, odds, paths, p):
         expected = 1 / (1 + np.exp(-z))
         held += [(one, right, expected), (two, right, expected)]
-        if len(held) >= 32:
+        if len(held) >= 16:
             flush()
     if held:
         flush()
@@ -423,7 +454,7 @@ def _tail_tokens(docs: DataFrame, sent, p: Lm) -> DataFrame:
 
     def run(batches):
         members, head = sent.value[1:3]
-        for _, data, offsets in T.pieces(batches, "text", 1 << 20):
+        for _, data, offsets in T.pieces(batches, "text", PIECE):
             h, _, bounds = tokens(data, offsets)
             at = np.flatnonzero(head.find(h)[0] == 0)
             at = at[members.find(h[at])[0] == p.members - 1]
@@ -454,7 +485,7 @@ def _round(docs: DataFrame, sent, p: Lm) -> DataFrame:
         weights, members, head, rest, odds = sent.value
         slot_sums = np.zeros((3, p.slots))
         observed, expected = np.zeros(p.shape, np.float32), np.zeros(p.shape, np.float32)
-        for _, data, offsets in T.pieces(batches, "text", 1 << 20):
+        for _, data, offsets in T.pieces(batches, "text", PIECE):
             h, ending, bounds = tokens(data, offsets)
             kind, (member, _) = classes_of(ending, p), members.find(h)
             before = history(h, bounds)
@@ -463,14 +494,17 @@ def _round(docs: DataFrame, sent, p: Lm) -> DataFrame:
                 n, word = head.find(h)
                 at = np.flatnonzero((member == p.members - 1) & (n > 0))
                 add_decisions(slot_sums, word[at], packed(before[at]), odds, head.paths(rest, p), p)
+            order = np.argsort(kind.astype(np.int16), kind="stable")  # sums need no order, and equal bias features are next to each other
+            upper, lower, kind, member = upper[order], lower[order], kind[order], member[order]
             for lo in range(0, len(h), p.batch):
                 part = slice(lo, lo + p.batch)
                 add_counts(observed, expected, weights, upper[part], kind[part])
                 add_counts(observed, expected, weights, lower[part], member[part])
-        sums = np.stack([x.reshape(-1, p.block * p.classes) for x in (observed, expected)], axis=1)
-        used, lot = np.flatnonzero(sums.any((1, 2))), TaskContext.get().partitionId() // p.lot
-        if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([sums[b].tobytes() for b in used], pa.binary()), pa.array(np.full(len(used), lot, np.int32))], names=["block", "sums", "lot"])
+        blocks, lot = [x.reshape(-1, p.block * p.classes) for x in (observed, expected)], TaskContext.get().partitionId() // p.lot
+        used = np.flatnonzero(blocks[0].any(1) | blocks[1].any(1))
+        for lo in range(0, len(used), SENT):
+            own = used[lo : lo + SENT]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([b"".join(x[b].tobytes() for x in blocks) for b in own], pa.binary()), pa.array(np.full(len(own), lot, np.int32))], names=["block", "sums", "lot"])
         if p.slots:
             yield _slot_batch(slot_sums, lot)
 
@@ -478,6 +512,8 @@ def _round(docs: DataFrame, sent, p: Lm) -> DataFrame:
 
 
 SUMS = "block int, sums binary, lot int"
+#: blocks of sums that are sent at a time
+SENT = 32
 
 
 def _added(sums: DataFrame, partitions: int) -> DataFrame:
@@ -493,11 +529,13 @@ def _added(sums: DataFrame, partitions: int) -> DataFrame:
                     held[key] += own
                 else:
                     held[key] = own.astype(np.float32)
-        if held:
-            blocks, lots = zip(*held, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary()), pa.array(lots, pa.int32())], names=["block", "sums", "lot"])
+        keys = list(held)
+        for lo in range(0, len(keys), SENT):
+            blocks, lots = zip(*keys[lo : lo + SENT], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([held.pop(k).tobytes() for k in keys[lo : lo + SENT]], pa.binary()), pa.array(lots, pa.int32())], names=["block", "sums", "lot"])
 
-    lots = sums.repartition(partitions, "block", "lot").mapInArrow(run, SUMS)
+    # what a task reads is one batch, in the JVM and in Python: it should stay small
+    lots = sums.repartition(4 * partitions, "block", "lot").mapInArrow(run, SUMS)
     return lots.withColumn("lot", F.lit(0)).repartition("block").mapInArrow(run, SUMS)
 
 
@@ -544,22 +582,24 @@ class Head:
     def __init__(self, h: np.ndarray, n: np.ndarray, kind: np.ndarray, place: np.ndarray):
         self.words = h, n, kind, place
         self.bits = max(10, int(len(h)).bit_length() + 2)
-        self.keys, self.counts, self.at = np.zeros(1 << self.bits, U), np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int32)
+        self.at = np.zeros(1 << self.bits, np.int32)
         order = np.argsort(n, kind="stable")
-        slot = self.slot(h[order])
-        self.keys[slot], self.counts[slot], self.at[slot] = h[order], n[order], order
+        self.at[self.slot(h[order])] = order
         self.held = None
 
     def __reduce__(self):
-        return Head, self.words  # a quarter of the table
+        return Head, self.words  # without what is made of them
 
     def slot(self, h: np.ndarray) -> np.ndarray:
         return (h >> U(64 - self.bits)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts, 0 where the word is not in the table, and which of its words it is."""
-        slot = self.slot(h)
-        return np.where(self.keys[slot] == h, self.counts[slot], 0), self.at[slot]
+        own, n, *_ = self.words
+        if not len(own):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), np.int32)
+        at = self.at[self.slot(h)]
+        return np.where(own[at] == h, n[at], 0), at
 
     def paths(self, rest: Rest, p: Lm) -> Paths:
         """Of all words of the table, made once; a member's is that of the first word without one."""
@@ -628,7 +668,7 @@ def token_logs(h: np.ndarray, ending: np.ndarray, bounds: np.ndarray, weights: n
 def _scorer(sent, p: Lm):
     def run(batches):
         weights, members, head, in_rest, rest_words, odds = sent.value
-        for rows, data, offsets in T.pieces(batches, "text", 1 << 20):
+        for rows, data, offsets in T.pieces(batches, "text", PIECE):
             h, ending, bounds = tokens(data, offsets)
             each, rest, n = token_logs(h, ending, bounds, weights, members, in_rest, p)
             in_head, word = head.find(h)

@@ -2,10 +2,12 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -306,3 +308,63 @@ def test_slots_with_no_training_and_empty_tables(spark):
     only = lm.score_documents(spark.createDataFrame([(held, "a b"), (held, None)], "doc_id long, text string"), DEEP).collect()
     assert len(only) == 2 and all(math.isfinite(r.score) and not r.train_tokens for r in only)
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string"), DEEP).count() == 0
+
+
+class Docs:
+    """Stands for documents: keeps the function that tasks run."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def groupBy(self, _):
+        return self
+
+    def agg(self, *_):
+        return self
+
+
+def test_memory_of_tasks(monkeypatch):
+    """The check's executors have two tasks and 3,000 MB, of which the JVM takes more than 2,000. Here with all rows and
+    slots, a full head, and rows of 4 KB."""
+    p, rnd = lm.Lm(slots=1 << 17).sized(10**9), np.random.default_rng(6)
+    text = " ".join(f"{x % 10**7:x}" for x in rnd.zipf(1.2, 900_000))[: 4 << 20]
+    h, ending, _ = lm.tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    h, at, n = np.unique(h, return_index=True, return_counts=True)
+    more = rnd.integers(1 << 40, 1 << 63, p.head - len(h)).astype(np.uint64)
+    h, n, kind = np.append(h, more), np.append(n, np.ones(len(more), int)), np.append(lm.classes_of(ending[at], p), rnd.integers(0, p.classes, len(more)))
+    order = np.lexsort((-n, kind))
+    h, n, kind = h[order], n[order], kind[order]
+    place = np.arange(len(h)) - np.searchsorted(kind, kind)
+    own = place < p.members - 1
+    members, rest = lm.Members(h[own], kind[own], place[own], n[own], p), lm.Rest(kind[~own], n[~own], np.ones((~own).sum(), int), p)
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda _: 0})())
+    batch = pa.RecordBatch.from_arrays([pa.array([text[lo : lo + 4096] for lo in range(0, len(text), 4096)])], names=["text"])
+
+    class Sent:
+        @property
+        def value(self):  # read by each task
+            return lm.frequency_start(np.ones((p.classes, p.members)), p), members, lm.Head(h, n, kind, place), rest, np.zeros(p.slots, np.float32)
+
+    def peak(run):
+        lm.T._powers.clear()
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        at = tracemalloc.get_traced_memory()[1] / 2**20
+        tracemalloc.stop()
+        return at
+
+    train, count = Docs(), Docs()
+    lm._round(train, Sent(), p)
+    lm.word_counts(count, p)
+    assert peak(train.run) < 150
+    assert peak(count.run) < 80
+
+
+def test_softmax_of_large_and_small_weights():
+    w = np.random.default_rng(7).normal(size=(4, 8)).astype(np.float32)
+    rows = np.array([[0], [1], [2], [3]])
+    shifted = w + np.array([[0], [200], [-200], [-30]], np.float32)
+    assert lm.softmax(shifted, rows) == pytest.approx(lm.softmax(w, rows), rel=1e-4)
+    assert lm.softmax_at(shifted, rows, np.arange(4)) == pytest.approx(lm.softmax(w, rows)[np.arange(4), np.arange(4)], rel=1e-4)
