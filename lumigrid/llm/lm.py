@@ -154,64 +154,59 @@ def rows_of(features: np.ndarray, kind: np.ndarray, p: Lm) -> tuple[np.ndarray,
     return upper, lower
 
 
-def _powers(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def factors_of(weights: np.ndarray) -> np.ndarray | None:
+    """Powers of the weights, made once: their products are the powers of sums without an exponential a token. None if
+    a weight is so large that a product could pass below float32's range and come back: up to three of these don't."""
+    return np.exp(weights) if weights.max() < 15 else None
+
+
+def _powers(weights: np.ndarray, rows: np.ndarray, factors: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the sums of the rows' weights, and their sums (a column). A row of small or large ones is scaled by its largest."""
-    z = np.take(weights, rows[:, 0], axis=0)
-    for k in range(1, rows.shape[1]):
-        z += np.take(weights, rows[:, k], axis=0)
-    with np.errstate(over="ignore", under="ignore"):
-        out = np.exp(z)
+    join, of = (np.add, weights) if factors is None else (np.multiply, factors)
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        out = np.take(of, rows[:, 0], axis=0)
+        for k in range(1, rows.shape[1]):
+            join(out, np.take(of, rows[:, k], axis=0), out=out)
+        if factors is None:
+            np.exp(out, out=out)
         total = out.sum(1, keepdims=True)  # not a product: that depends on a row's place
     # weights start as logarithms of shares, so few rows, if any, leave these bounds
     far = np.flatnonzero(~((total > 1e-4) & (total < 1e30)))
     if len(far):
-        out[far] = np.exp(z[far] - z[far].max(1, keepdims=True))
+        z = weights[rows[far]].sum(1)
+        out[far] = np.exp(z - z.max(1, keepdims=True))
         total[far] = out[far].sum(1, keepdims=True)
     return out, total
 
 
-def softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z, total = _powers(weights, rows)
+def softmax(weights: np.ndarray, rows: np.ndarray, factors: np.ndarray | None = None) -> np.ndarray:
+    z, total = _powers(weights, rows, factors)
     z /= total
     return z
 
 
-def softmax_at(weights: np.ndarray, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
+def softmax_at(weights: np.ndarray, rows: np.ndarray, label: np.ndarray, factors: np.ndarray | None = None) -> np.ndarray:
     """Each token's entry of the softmax for its label."""
-    z, total = _powers(weights, rows)
+    z, total = _powers(weights, rows, factors)
     return z[np.arange(len(z)), label] / total[:, 0]
 
 
-def add_counts(observed: np.ndarray, expected: np.ndarray, weights: np.ndarray, rows: np.ndarray, label: np.ndarray) -> None:
+def add_counts(observed: np.ndarray, expected: np.ndarray, weights: np.ndarray, rows: np.ndarray, label: np.ndarray, factors: np.ndarray | None = None) -> None:
     """Add the counts of a batch: each feature row with its token's label, and with the label's probabilities.
 
     The first feature is added run by run, so tokens with the same one should stand
-    together. Most of the other rows occur once or twice in a batch: those are added
-    place by place, the few others by a sum of their own."""
-    g = softmax(weights, rows)
+    together; the others number by number, two neighbours at a time as one complex number."""
+    g = softmax(weights, rows, factors)
     flat = rows.T.ravel()
     np.add.at(observed.reshape(-1), flat * g.shape[1] + np.tile(label, rows.shape[1]), np.float32(1))
     cuts, ones = np.flatnonzero(np.diff(flat[: len(g)], prepend=-1, append=-1)), np.ones(len(g), g.dtype)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         expected[flat[lo]] += ones[: hi - lo] @ g[lo:hi]
-    flat = flat[len(g) :]
-    if not len(flat):
-        return
-    # 16-bit keys are sorted by radix
-    order = np.argsort(flat.astype(np.uint16) if len(weights) <= 1 << 16 else flat, kind="stable")
-    ordered, source = flat[order], order % len(g)
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    size = np.diff(np.append(first, len(ordered)))
-    longest = np.argsort(-np.minimum(size, 7).astype(np.int8), kind="stable")  # so that the runs with a k-th place are a slice
-    first, size = first[longest], size[longest]
-    row, n = ordered[first], len(size) - np.cumsum(np.bincount(np.minimum(size, 7), minlength=8))
-    sums = np.take(g, source[first], axis=0)
-    for k in range(1, 6):
-        sums[: n[k]] += np.take(g, source[first[: n[k]] + k], axis=0)
-    for i in range(n[6]):
-        sums[i] += ones[: size[i] - 6] @ np.take(g, source[first[i] + 6 : first[i] + size[i]], axis=0)
-    sums += np.take(expected, row, axis=0)
-    expected[row] = sums
+    pair = np.result_type(g, np.complex64) if g.shape[1] % 2 == 0 else g.dtype
+    into, values = expected.reshape(-1).view(pair), g.view(pair)
+    places = np.arange(values.shape[1])
+    for k in range(1, rows.shape[1]):
+        np.add.at(into, (rows[:, k, None] * len(places) + places).ravel(), values.ravel())
 
 
 def training(doc_id: Column) -> Column:
@@ -483,28 +478,30 @@ def _round(docs: DataFrame, sent, p: Lm) -> DataFrame:
 
     def run(batches):
         weights, members, head, rest, odds = sent.value
-        slot_sums = np.zeros((3, p.slots))
-        observed, expected = np.zeros(p.shape, np.float32), np.zeros(p.shape, np.float32)
+        slot_sums, factors = np.zeros((3, p.slots)), factors_of(weights)
+        observed, expected, own = (np.zeros(p.shape, np.float32) for _ in range(3))
         for _, data, offsets in T.pieces(batches, "text", PIECE):
             h, ending, bounds = tokens(data, offsets)
             kind, (member, _) = classes_of(ending, p), members.find(h)
             before = history(h, bounds)
-            upper, lower = rows_of(before, kind, p)
             if p.slots:
                 n, word = head.find(h)
                 at = np.flatnonzero((member == p.members - 1) & (n > 0))
                 add_decisions(slot_sums, word[at], packed(before[at]), odds, head.paths(rest, p), p)
             order = np.argsort(kind.astype(np.int16), kind="stable")  # sums need no order, and equal bias features are next to each other
-            upper, lower, kind, member = upper[order], lower[order], kind[order], member[order]
+            kind, member = kind[order], member[order]
+            upper, lower = rows_of(before[order], kind, p)
+            own[:] = 0  # a piece's sum first: small numbers added to a task's sum one by one would round alike
             for lo in range(0, len(h), p.batch):
                 part = slice(lo, lo + p.batch)
-                add_counts(observed, expected, weights, upper[part], kind[part])
-                add_counts(observed, expected, weights, lower[part], member[part])
+                add_counts(observed, own, weights, upper[part], kind[part], factors)
+                add_counts(observed, own, weights, lower[part], member[part], factors)
+            expected += own
         blocks, lot = [x.reshape(-1, p.block * p.classes) for x in (observed, expected)], TaskContext.get().partitionId() // p.lot
         used = np.flatnonzero(blocks[0].any(1) | blocks[1].any(1))
         for lo in range(0, len(used), SENT):
-            own = used[lo : lo + SENT]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([b"".join(x[b].tobytes() for x in blocks) for b in own], pa.binary()), pa.array(np.full(len(own), lot, np.int32))], names=["block", "sums", "lot"])
+            these = used[lo : lo + SENT]
+            yield pa.RecordBatch.from_arrays([pa.array(these.astype(np.int32)), pa.array([b"".join(x[b].tobytes() for x in blocks) for b in these], pa.binary()), pa.array(np.full(len(these), lot, np.int32))], names=["block", "sums", "lot"])
         if p.slots:
             yield _slot_batch(slot_sums, lot)
 
@@ -651,7 +648,7 @@ def score_documents(docs: DataFrame, p: Lm = Lm(), row_filter=training) -> DataF
     )
 
 
-def token_logs(h: np.ndarray, ending: np.ndarray, bounds: np.ndarray, weights: np.ndarray, members: Members, in_rest: np.ndarray, p: Lm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_logs(h: np.ndarray, ending: np.ndarray, bounds: np.ndarray, weights: np.ndarray, members: Members, in_rest: np.ndarray, p: Lm, factors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """log10 of each token's model probability but for the count of a word without a
     member of its own; which tokens are such; and the others' counts."""
     kind, (member, n) = classes_of(ending, p), members.find(h)
@@ -660,7 +657,7 @@ def token_logs(h: np.ndarray, ending: np.ndarray, bounds: np.ndarray, weights: n
     each = np.where(rest, in_rest[kind], 0.0)
     for lo in range(0, len(h), p.batch):
         part = slice(lo, lo + p.batch)
-        own = softmax_at(weights, upper[part], kind[part]).astype(np.float64) * softmax_at(weights, lower[part], member[part])
+        own = softmax_at(weights, upper[part], kind[part], factors).astype(np.float64) * softmax_at(weights, lower[part], member[part], factors)
         each[part] += np.log10(np.maximum(own, 1e-300))
     return each, rest, n
 
@@ -668,9 +665,10 @@ def token_logs(h: np.ndarray, ending: np.ndarray, bounds: np.ndarray, weights: n
 def _scorer(sent, p: Lm):
     def run(batches):
         weights, members, head, in_rest, rest_words, odds = sent.value
+        factors = factors_of(weights)
         for rows, data, offsets in T.pieces(batches, "text", PIECE):
             h, ending, bounds = tokens(data, offsets)
-            each, rest, n = token_logs(h, ending, bounds, weights, members, in_rest, p)
+            each, rest, n = token_logs(h, ending, bounds, weights, members, in_rest, p, factors)
             in_head, word = head.find(h)
             count = np.where(rest, in_head, n)
             found = count > 0

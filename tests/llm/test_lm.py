@@ -2,6 +2,7 @@ import math
 import random
 import re
 import struct
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
@@ -368,3 +369,61 @@ def test_softmax_of_large_and_small_weights():
     shifted = w + np.array([[0], [200], [-200], [-30]], np.float32)
     assert lm.softmax(shifted, rows) == pytest.approx(lm.softmax(w, rows), rel=1e-4)
     assert lm.softmax_at(shifted, rows, np.arange(4)) == pytest.approx(lm.softmax(w, rows)[np.arange(4), np.arange(4)], rel=1e-4)
+
+
+def test_products_of_powers_are_the_softmax():
+    rnd = np.random.default_rng(8)
+    w = rnd.normal(size=(40, 8)).astype(np.float32) * 3
+    rows = rnd.integers(0, 40, (500, 4))
+    for shift in (0, -30, 9):  # -30: all sums are far below the range, and taken from the logarithms
+        own = w + np.float32(shift) * (np.arange(40) < 20)[:, None].astype(np.float32)
+        z = own[rows].astype(np.float64).sum(1)
+        want = np.exp(z - z.max(1, keepdims=True))
+        want /= want.sum(1, keepdims=True)
+        factors = lm.factors_of(own)
+        assert (factors is None) == (own.max() >= 15)
+        assert lm.softmax(own, rows, factors) == pytest.approx(want, rel=1e-4, abs=1e-9)
+        assert lm.softmax_at(own, rows, np.arange(500) % 8, factors) == pytest.approx(want[np.arange(500), np.arange(500) % 8], rel=1e-4, abs=1e-9)
+    assert lm.factors_of(w + np.float32(20)) is None
+
+
+@pytest.mark.parametrize("width", (8, 7))
+def test_counts_need_no_call_a_row(width):
+    """Rows that occur many times in a batch, odd widths too: sums as in plain loops, in a fixed number of numpy calls."""
+    rnd = np.random.default_rng(9)
+    rows = np.concatenate([np.zeros((4000, 1), int), 1 + rnd.integers(0, 300, (4000, 3))], axis=1)
+    weights, label = rnd.normal(size=(301, width)).astype(np.float32), rnd.integers(0, width, 4000)
+    seen, expected = (np.zeros(weights.shape, np.float32) for _ in range(2))
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "c_call" else None)
+    try:
+        lm.add_counts(seen, expected, weights, rows, label)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 200
+    want_seen, want = np.zeros(weights.shape), np.zeros(weights.shape)
+    for k in range(4):
+        np.add.at(want_seen, (rows[:, k], label), 1)
+        np.add.at(want, rows[:, k], lm.softmax(weights, rows).astype(np.float64))
+    assert (seen == want_seen).all() and expected == pytest.approx(want, rel=1e-4)
+
+
+def test_tokens_cost_no_exponentials(monkeypatch):
+    """A round and the scoring take the powers of the weights once, however many tokens there are."""
+    p = lm.replace(SMALL, classes=8)
+    h, ending, _ = lm.tokens(np.frombuffer(b"ab cd ef " * 5000, np.uint8), np.array([0, 45000]))
+    h, at, n = np.unique(h, return_index=True, return_counts=True)
+    kind = lm.classes_of(ending[at], p)
+    members, rest = lm.Members(h, kind, np.zeros(len(h), int), n, p), lm.Rest(*np.zeros((3, 0), np.int64), p)
+    weights, made = lm.frequency_start(np.ones((p.classes, p.members)), p), []
+    value = weights, members, lm.Head(h, n, kind, np.zeros(len(h), int)), rest, np.zeros(0, np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([False]), pa.array(["ab cd ef " * 5000])], names=["row_id", "doc_id", "held_out", "text"])
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda _: 0})())
+    exp = np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: made.append(np.size(x)) or exp(x, *a, **k))
+    docs = Docs()
+    lm._round(docs, type("Sent", (), {"value": value}), p)
+    assert list(docs.run(iter([batch]))) and sum(made) <= weights.size
+    made.clear()
+    score = lm._scorer(type("Sent", (), {"value": (*value[:3], np.zeros(p.classes), *value[3:])}), p)
+    assert list(score(iter([batch]))) and sum(made) <= weights.size
