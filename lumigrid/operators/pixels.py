@@ -24,9 +24,9 @@ def to_pixels(images: DataFrame, kind: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            col = lambda n: batch.column(batch.schema.get_field_index(n)).to_pylist()
-            for i, w, ch, data in zip(col("image_id"), col("width"), col("channels"), col("data"), strict=True):
-                a = np.frombuffer(data, PIXEL_TYPES[kind][0])
+            col = lambda n: batch.column(batch.schema.get_field_index(n))
+            for i, w, ch, data in zip(*(col(n).to_pylist() for n in ("image_id", "width", "channels")), col("data"), strict=True):
+                a = np.frombuffer(data.as_buffer(), PIXEL_TYPES[kind][0])  # in place
                 for lo in range(0, len(a), 1 << 16):
                     p = np.arange(lo, min(lo + (1 << 16), len(a)))
                     spot = p // ch

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions import rice
-from ..schema import META_VALUE, ColorSpace, cspace_text
+from ..schema import META_VALUE, ColorSpace, cspace_text, image_rows
 
 BLOCK = 2880
 #: names of compressions and their suffix in an extended file name
@@ -268,21 +268,20 @@ class FitsWriter(DataSourceArrowWriter):
         task = f"{folder}/_attempts/{uuid.uuid4().hex}"
         filesystem.create_dir(task, recursive=True)
         names, stream = [], None
-        for batch in iterator:
-            for row in batch.to_pylist():
-                if not self.append:
-                    name = f"{row['image_id']}.fits"
-                    with filesystem.open_output_stream(f"{task}/{name}", compression=None) as out:
-                        out.write(file_bytes(row, self.compression))
-                    names.append((f"{task}/{name}", name))
-                    continue
-                if stream is None:
-                    name = f"part-{uuid.uuid4().hex}.fits"
-                    names.append((f"{task}/{name}", name))
-                    stream = filesystem.open_output_stream(names[0][0], compression=None)
-                    stream.write(header([header_card("SIMPLE", True), header_card("BITPIX", 8), header_card("NAXIS", 0), header_card("EXTEND", True)]))
-                unit = (pixels_of(row), row["pixel_type"], metadata_cards(row))
-                stream.write(image_hdu(*unit, False) if self.compression == "none" else tiled_hdu(*unit, self.compression))
+        for row in image_rows(iterator):
+            if not self.append:
+                name = f"{row['image_id']}.fits"
+                with filesystem.open_output_stream(f"{task}/{name}", compression=None) as out:
+                    out.write(file_bytes(row, self.compression))
+                names.append((f"{task}/{name}", name))
+                continue
+            if stream is None:
+                name = f"part-{uuid.uuid4().hex}.fits"
+                names.append((f"{task}/{name}", name))
+                stream = filesystem.open_output_stream(names[0][0], compression=None)
+                stream.write(header([header_card("SIMPLE", True), header_card("BITPIX", 8), header_card("NAXIS", 0), header_card("EXTEND", True)]))
+            unit = (pixels_of(row), row["pixel_type"], metadata_cards(row))
+            stream.write(image_hdu(*unit, False) if self.compression == "none" else tiled_hdu(*unit, self.compression))
         if stream:
             stream.close()
         return Written(names)
@@ -367,6 +366,32 @@ def read_image(data: bytes, keys: dict) -> tuple[np.ndarray, str] | None:
     return _unstored(data, kind).reshape(shape), kind
 
 
+#: units to a batch that is read, and bytes of pixels after which it ends; Spark would gather 10,000 of any size
+UNITS, UNIT_BYTES = 256, 4 << 20
+
+ROWS = pa.schema(
+    [("path", pa.string()), ("unit", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("pixel_type", pa.string()), ("data", pa.binary()), ("color_space", pa.string()), ("keys", pa.map_(pa.string(), pa.string()))]
+)
+
+
+def batched(rows):
+    """Arrow batches of read units, each small whatever the images' number and size."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[6])
+        if len(held) == UNITS or size >= UNIT_BYTES:
+            yield _rows_batch(held)
+            held, size = [], 0
+    if held:
+        yield _rows_batch(held)
+
+
+def _rows_batch(rows) -> pa.RecordBatch:
+    *columns, keys = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, [list(k.items()) for k in keys]], ROWS, strict=True)], schema=ROWS)
+
+
 class Files(InputPartition):
     def __init__(self, paths):
         self.paths = paths
@@ -389,6 +414,9 @@ class FitsReader(DataSourceReader):
         return [*out, Files(own)] if own or not out else out
 
     def read(self, partition):
+        return batched(self.units(partition))
+
+    def units(self, partition):
         """A unit at a time: no file is held whole."""
         filesystem, _ = open_fs(self.path)
         for path in partition.paths:

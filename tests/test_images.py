@@ -2,8 +2,10 @@ import io
 import json
 import os
 import struct
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +250,40 @@ def test_fits_files(spark, tmp_path):
     assert fits.compression_suffix("gzip") == "[compress G]" and fits.compression_suffix("[compress G 4]") == "[compress G 4]"
 
 
+def test_fits_memory_of_tasks(tmp_path):
+    """What a task holds follows neither the number of images nor their size, but for one image."""
+    space = {"kind": "gray", "pattern": None, "channels": None, "name": None}
+    stamp = {"kind": "systemtime", "i": None, "u": None, "f": None, "s": None, "ns": 1_700_000_000_000_000_000, "comment": None}
+    row = {"width": 8, "height": 8, "channels": 1, "cspace": space, "pixel_type": "u16", "metadata": [("TIMESTAMP", stamp)]}
+    item = pa.struct([("kind", pa.string()), ("i", pa.int64()), ("u", pa.decimal128(20)), ("f", pa.float64()), ("s", pa.string()), ("ns", pa.int64()), ("comment", pa.string())])
+    types = [("image_id", pa.int64()), ("data", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("cspace", pa.struct([(k, pa.string()) for k in space])), ("pixel_type", pa.string()), ("metadata", pa.map_(pa.string(), item))]
+
+    def peaks(n, side):
+        data = np.arange(side * side, dtype="u2").tobytes()
+        batch = pa.RecordBatch.from_pylist([row | {"image_id": i, "width": side, "height": side, "data": data} for i in range(n)], schema=pa.schema(types))
+        folder = f"{tmp_path}/{n}-{side}"
+        writer, out, seen = fits.FitsWriter({"path": folder, "append": "true"}, True), [], 0
+        for step in ("write", "read"):
+            tracemalloc.start()
+            before = pa.total_allocated_bytes()
+            if step == "write":
+                writer.commit([writer.write(iter([batch]))])
+            else:
+                reader = fits.FitsReader({"path": folder})
+                for part in reader.partitions():
+                    for rows in reader.read(part):
+                        assert isinstance(rows, pa.RecordBatch) and (rows.num_rows <= fits.UNITS)
+                        assert rows.nbytes < fits.UNIT_BYTES + len(data) + (1 << 20)
+                        seen += rows.num_rows
+                assert seen == n
+            out.append(tracemalloc.get_traced_memory()[1] / 2**20 + (pa.total_allocated_bytes() - before) / 2**20)
+            tracemalloc.stop()
+        return out
+
+    assert max(peaks(3000, 8)) < 4
+    assert max(peaks(40, 1024)) < 30  # 2 MB each
+
+
 @pytest.mark.parametrize("kind", sorted(fits.TYPES))
 def test_fits_pixel_types(kind):
     store = np.dtype(fits.TYPES[kind][2])
