@@ -28,7 +28,8 @@ and is distributed: in each of ``rounds`` rounds, over documents of its own, eve
 task sums observed and expected counts of all features at the same weights, the
 sums of all tasks are added, and each weight moves by ``rate`` times the log of
 their ratio: scaled maximum-entropy gradients. Nothing depends on how rows are
-dealt to tasks but the order of additions.
+dealt to tasks but the order of additions. In the first round no history has a weight,
+so expected counts follow from how often each row occurred, without a softmax a token.
 
 What grows with the corpus is the table of word counts, which covers all
 training documents; the ``head`` most frequent words are sent to every task, the
@@ -160,16 +161,22 @@ def factors_of(weights: np.ndarray) -> np.ndarray | None:
     return np.exp(weights) if weights.max() < 15 else None
 
 
-def _powers(weights: np.ndarray, rows: np.ndarray, factors: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the sums of the rows' weights, and their sums (a column). A row of small or large ones is scaled by its largest."""
+def begun_of(factors: np.ndarray | None, p: Lm) -> np.ndarray | None:
+    """The class softmax's rows times its bias row, which stands first of every token's."""
+    return None if factors is None else factors[: p.rows] * factors[0]
+
+
+def _powers(weights: np.ndarray, rows: np.ndarray, factors: np.ndarray | None, begun: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the sums of the rows' weights, and their sums (a column). A row of small or large ones is scaled by its largest.
+    ``begun``: products of the first column's row, the same one everywhere, and the second's."""
     join, of = (np.add, weights) if factors is None else (np.multiply, factors)
     with np.errstate(over="ignore", under="ignore", invalid="ignore"):
-        out = np.take(of, rows[:, 0], axis=0)
-        for k in range(1, rows.shape[1]):
+        out = np.take(of, rows[:, 0], axis=0) if begun is None else np.take(begun, rows[:, 1], axis=0)
+        for k in range(1 if begun is None else 2, rows.shape[1]):
             join(out, np.take(of, rows[:, k], axis=0), out=out)
         if factors is None:
             np.exp(out, out=out)
-        total = out.sum(1, keepdims=True)  # not a product: that depends on a row's place
+        total = np.vecdot(out, np.ones(out.shape[1], out.dtype))[:, None]  # row by row, not one product: that depends on a row's place
     # weights start as logarithms of shares, so few rows, if any, leave these bounds
     far = np.flatnonzero(~((total > 1e-4) & (total < 1e30)))
     if len(far):
@@ -179,34 +186,69 @@ def _powers(weights: np.ndarray, rows: np.ndarray, factors: np.ndarray | None) -
     return out, total
 
 
-def softmax(weights: np.ndarray, rows: np.ndarray, factors: np.ndarray | None = None) -> np.ndarray:
-    z, total = _powers(weights, rows, factors)
-    z /= total
+def softmax(weights: np.ndarray, rows: np.ndarray, factors: np.ndarray | None = None, begun: np.ndarray | None = None) -> np.ndarray:
+    z, total = _powers(weights, rows, factors, begun)
+    z *= 1 / total
     return z
 
 
-def softmax_at(weights: np.ndarray, rows: np.ndarray, label: np.ndarray, factors: np.ndarray | None = None) -> np.ndarray:
+def softmax_at(weights: np.ndarray, rows: np.ndarray, label: np.ndarray, factors: np.ndarray | None = None, begun: np.ndarray | None = None) -> np.ndarray:
     """Each token's entry of the softmax for its label."""
-    z, total = _powers(weights, rows, factors)
+    z, total = _powers(weights, rows, factors, begun)
     return z[np.arange(len(z)), label] / total[:, 0]
 
 
-def add_counts(observed: np.ndarray, expected: np.ndarray, weights: np.ndarray, rows: np.ndarray, label: np.ndarray, factors: np.ndarray | None = None) -> None:
+def add_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add ``values`` (tokens, width) to the rows of ``into`` that each column of ``rows`` (tokens, columns) names.
+
+    What goes to one row is cut into 1, 2, 4, ... values by the bits of its number. All pieces of a length are
+    summed by one call over whole rows, and each row has one of a length, so none is written twice at a time."""
+    flat = rows.T.astype(np.min_scalar_type(len(into) - 1)).ravel()
+    order = np.argsort(flat, kind="stable")  # 16 bits are sorted by counting
+    token, flat = np.tile(np.arange(len(rows)), rows.shape[1])[order], flat[order]
+    at = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])[: len(flat)])
+    row, n, length = flat[at].astype(np.intp), np.diff(at, append=len(flat)), 1
+    item = np.dtype((np.void, into.shape[1] * into.itemsize))
+    items = into.view(item)[:, 0]  # a row is written as one
+    while len(n):
+        odd = (n & 1).astype(bool)
+        to = row[odd]
+        part = np.take(values, token[at[odd] + np.arange(length)[:, None]], axis=0)
+        part = part.sum(0) if length > 1 else part[0]
+        part += np.take(into, to, axis=0)
+        items[to] = part.view(item)[:, 0]
+        more = n > 1
+        at, row, n, length = (at + odd * length)[more], row[more], n[more] >> 1, length * 2
+
+
+def add_observed(observed: np.ndarray, rows: np.ndarray, label: np.ndarray) -> None:
+    """Count each feature row with its token's label."""
+    np.add.at(observed.reshape(-1), rows.T.ravel() * observed.shape[1] + np.tile(label, rows.shape[1]), np.float32(1))
+
+
+def without_history(weights: np.ndarray, p: Lm) -> bool:
+    """Whether only bias rows have weights, as at the start."""
+    return not (weights[1 : p.rows].any() or weights[p.rows + p.classes :].any())
+
+
+def expected_without_history(weights: np.ndarray, observed: np.ndarray, by_kind: np.ndarray, p: Lm) -> np.ndarray:
+    """Expected counts where only bias rows have weights: all tokens have one class softmax, and those of a class one of its
+    members, so it takes no more than how often each row occurred. ``by_kind``: that of the members' rows, by class."""
+    upper, lower = (softmax(weights, rows[:, None]) for rows in (np.zeros(1, np.int64), p.rows + np.arange(p.classes)))
+    return np.concatenate([observed[: p.rows].sum(1, keepdims=True) * upper, by_kind @ lower])
+
+
+def add_counts(observed: np.ndarray, expected: np.ndarray, weights: np.ndarray, rows: np.ndarray, label: np.ndarray, factors: np.ndarray | None = None, begun: np.ndarray | None = None) -> None:
     """Add the counts of a batch: each feature row with its token's label, and with the label's probabilities.
 
-    The first feature is added run by run, so tokens with the same one should stand
-    together; the others number by number, two neighbours at a time as one complex number."""
-    g = softmax(weights, rows, factors)
-    flat = rows.T.ravel()
-    np.add.at(observed.reshape(-1), flat * g.shape[1] + np.tile(label, rows.shape[1]), np.float32(1))
-    cuts, ones = np.flatnonzero(np.diff(flat[: len(g)], prepend=-1, append=-1)), np.ones(len(g), g.dtype)
+    The first feature is added run by run, so tokens with the same one should stand together."""
+    g = softmax(weights, rows, factors, begun)
+    first = rows[:, 0]
+    add_observed(observed, rows, label)
+    cuts, ones = np.flatnonzero(np.diff(first, prepend=-1, append=-1)), np.ones(len(g), g.dtype)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        expected[flat[lo]] += ones[: hi - lo] @ g[lo:hi]
-    pair = np.result_type(g, np.complex64) if g.shape[1] % 2 == 0 else g.dtype
-    into, values = expected.reshape(-1).view(pair), g.view(pair)
-    places = np.arange(values.shape[1])
-    for k in range(1, rows.shape[1]):
-        np.add.at(into, (rows[:, k, None] * len(places) + places).ravel(), values.ravel())
+        expected[first[lo]] += ones[: hi - lo] @ g[lo:hi]
+    add_rows(expected, rows[:, 1:], g)
 
 
 def training(doc_id: Column) -> Column:
@@ -478,8 +520,14 @@ def _round(docs: DataFrame, sent, p: Lm) -> DataFrame:
 
     def run(batches):
         weights, members, head, rest, odds = sent.value
-        slot_sums, factors = np.zeros((3, p.slots)), factors_of(weights)
-        observed, expected, own = (np.zeros(p.shape, np.float32) for _ in range(3))
+        slot_sums, plain = np.zeros((3, p.slots)), without_history(weights, p)
+        observed = np.zeros(p.shape, np.float32)
+        if plain:
+            by_kind = np.zeros((p.member_rows, p.classes), np.float32)
+        else:
+            factors = factors_of(weights)
+            begun = begun_of(factors, p)
+            expected, own = (np.zeros(p.shape, np.float32) for _ in range(2))
         for _, data, offsets in T.pieces(batches, "text", PIECE):
             h, ending, bounds = tokens(data, offsets)
             kind, (member, _) = classes_of(ending, p), members.find(h)
@@ -491,12 +539,18 @@ def _round(docs: DataFrame, sent, p: Lm) -> DataFrame:
             order = np.argsort(kind.astype(np.int16), kind="stable")  # sums need no order, and equal bias features are next to each other
             kind, member = kind[order], member[order]
             upper, lower = rows_of(before[order], kind, p)
+            if plain:
+                for into, rows, label in ((observed, upper, kind), (observed, lower, member), (by_kind, lower - p.rows, kind)):
+                    add_observed(into, rows, label)
+                continue
             own[:] = 0  # a piece's sum first: small numbers added to a task's sum one by one would round alike
-            for lo in range(0, len(h), p.batch):
-                part = slice(lo, lo + p.batch)
-                add_counts(observed, own, weights, upper[part], kind[part], factors)
+            for lo in range(0, len(h), ADDED * p.batch):
+                part = slice(lo, lo + ADDED * p.batch)
+                add_counts(observed, own, weights, upper[part], kind[part], factors, begun)
                 add_counts(observed, own, weights, lower[part], member[part], factors)
             expected += own
+        if plain:
+            expected = expected_without_history(weights, observed, by_kind, p)
         blocks, lot = [x.reshape(-1, p.block * p.classes) for x in (observed, expected)], TaskContext.get().partitionId() // p.lot
         used = np.flatnonzero(blocks[0].any(1) | blocks[1].any(1))
         for lo in range(0, len(used), SENT):
@@ -509,6 +563,8 @@ def _round(docs: DataFrame, sent, p: Lm) -> DataFrame:
 
 
 SUMS = "block int, sums binary, lot int"
+#: batches whose counts are added at a time: in more tokens more rows are the same
+ADDED = 2
 #: blocks of sums that are sent at a time
 SENT = 32
 
@@ -648,16 +704,16 @@ def score_documents(docs: DataFrame, p: Lm = Lm(), row_filter=training) -> DataF
     )
 
 
-def token_logs(h: np.ndarray, ending: np.ndarray, bounds: np.ndarray, weights: np.ndarray, members: Members, in_rest: np.ndarray, p: Lm, factors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_logs(h: np.ndarray, ending: np.ndarray, before: np.ndarray, weights: np.ndarray, members: Members, in_rest: np.ndarray, p: Lm, factors: np.ndarray | None = None, begun: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """log10 of each token's model probability but for the count of a word without a
     member of its own; which tokens are such; and the others' counts."""
     kind, (member, n) = classes_of(ending, p), members.find(h)
     rest = member == p.members - 1
-    upper, lower = rows_of(history(h, bounds), kind, p)
+    upper, lower = rows_of(before, kind, p)
     each = np.where(rest, in_rest[kind], 0.0)
     for lo in range(0, len(h), p.batch):
         part = slice(lo, lo + p.batch)
-        own = softmax_at(weights, upper[part], kind[part], factors).astype(np.float64) * softmax_at(weights, lower[part], member[part], factors)
+        own = softmax_at(weights, upper[part], kind[part], factors, begun).astype(np.float64) * softmax_at(weights, lower[part], member[part], factors)
         each[part] += np.log10(np.maximum(own, 1e-300))
     return each, rest, n
 
@@ -666,15 +722,16 @@ def _scorer(sent, p: Lm):
     def run(batches):
         weights, members, head, in_rest, rest_words, odds = sent.value
         factors = factors_of(weights)
+        begun = begun_of(factors, p)
         for rows, data, offsets in T.pieces(batches, "text", PIECE):
             h, ending, bounds = tokens(data, offsets)
-            each, rest, n = token_logs(h, ending, bounds, weights, members, in_rest, p, factors)
+            before = history(h, bounds)
+            each, rest, n = token_logs(h, ending, before, weights, members, in_rest, p, factors, begun)
             in_head, word = head.find(h)
             count = np.where(rest, in_head, n)
             found = count > 0
-            before = np.zeros(len(h), U)
+            before = packed(before)
             if p.slots:
-                before = packed(history(h, bounds))
                 told = np.flatnonzero(rest & found)
                 each[told] += gained(word[told], before[told], odds, head.paths(rest_words, p), p)
             logs = np.log10(count + 1.0)

@@ -427,3 +427,62 @@ def test_tokens_cost_no_exponentials(monkeypatch):
     made.clear()
     score = lm._scorer(type("Sent", (), {"value": (*value[:3], np.zeros(p.classes), *value[3:])}), p)
     assert list(score(iter([batch]))) and sum(made) <= weights.size
+
+
+def one_task(monkeypatch, weights, p, text):
+    """Sums of a training task at these weights, by block, and how many tokens' softmaxes it took."""
+    made, powers = [], lm._powers
+    monkeypatch.setattr(lm, "_powers", lambda w, rows, *a: made.append(len(rows)) or powers(w, rows, *a))
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda _: 0})())
+    h, ending, _ = lm.tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    h, at, n = np.unique(h, return_index=True, return_counts=True)
+    members = lm.Members(h, lm.classes_of(ending[at], p), np.arange(len(h)) % p.members, n, p)
+    head, rest = lm.Head(h, n, members.kind, np.zeros(len(h), int)), lm.Rest(*np.zeros((3, 0), np.int64), p)
+    docs = Docs()
+    lm._round(docs, type("Sent", (), {"value": (weights, members, head, rest, np.zeros(0, np.float32))}), p)
+    rows = [r for b in docs.run(iter([pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])])) for r in b.to_pylist()]
+    sums = np.zeros((p.shape[0] // p.block, 2, p.block * p.classes), np.float32)
+    for r in rows:
+        sums[r["block"]] = np.frombuffer(r["sums"], np.float32).reshape(2, -1)
+    monkeypatch.setattr(lm, "_powers", powers)
+    return sums, sum(made)
+
+
+def test_the_first_round_makes_no_softmax_a_token(monkeypatch):
+    """Only bias rows have weights then. The sums are those that a softmax for each token gives, which a weight of
+    next to nothing brings back."""
+    p, rnd = lm.replace(SMALL, batch=256), random.Random(10)
+    text = " ".join(rnd.choice("abcdefgh") + rnd.choice("ijklmnop") * rnd.randint(1, 3) for _ in range(5000))
+    weights = lm.frequency_start(np.random.default_rng(10).integers(0, 50, (p.classes, p.members)).astype(float), p)
+    sums, made = one_task(monkeypatch, weights, p, text)
+    assert made <= p.classes + 1
+    weights[1, 0] = 1e-30
+    want, made = one_task(monkeypatch, weights, p, text)
+    assert made == 2 * 5001
+    assert (sums[:, 0] == want[:, 0]).all() and sums[:, 1] == pytest.approx(want[:, 1], rel=1e-4, abs=1e-4)
+    assert sums[:, 1].sum() == pytest.approx(7 * 5001, rel=1e-4)
+
+
+@pytest.mark.parametrize("width", (8, 7))
+def test_added_rows_are_sums(width):
+    rnd = np.random.default_rng(11)
+    for rows in (rnd.integers(0, 300, (4000, 3)), np.minimum(rnd.zipf(1.5, (3000, 2)), 69_999), np.full((1000, 2), 5), np.zeros((0, 3), int), np.array([[7]])):
+        into, values = np.ones((70_000, width), np.float32), rnd.random((len(rows), width), np.float32)
+        want = np.ones(into.shape)
+        for k in range(rows.shape[1]):
+            np.add.at(want, rows[:, k], values)
+        lm.add_rows(into, rows, values)
+        assert into == pytest.approx(want, rel=1e-5)
+
+
+def test_products_with_the_bias_are_the_softmax():
+    p, rnd = SMALL, np.random.default_rng(12)
+    weights = rnd.normal(size=p.shape).astype(np.float32)
+    upper, _ = lm.rows_of(rnd.integers(0, 1 << 63, (400, 3)).astype(np.uint64), np.zeros(400, int), p)
+    factors = lm.factors_of(weights)
+    want = lm.softmax(weights, upper)
+    assert lm.softmax(weights, upper, factors, lm.begun_of(factors, p)) == pytest.approx(want, rel=1e-4)
+    assert lm.begun_of(None, p) is None
+    weights[0] -= 40  # sums below the bounds are taken from the logarithms
+    factors = lm.factors_of(weights)
+    assert lm.softmax(weights, upper, factors, lm.begun_of(factors, p)) == pytest.approx(want, rel=1e-4)
