@@ -486,3 +486,23 @@ def test_products_with_the_bias_are_the_softmax():
     weights[0] -= 40  # sums below the bounds are taken from the logarithms
     factors = lm.factors_of(weights)
     assert lm.softmax(weights, upper, factors, lm.begun_of(factors, p)) == pytest.approx(want, rel=1e-4)
+
+
+def test_memory_of_a_round_with_history(monkeypatch):
+    """As ``test_memory_of_tasks``, whose weights are those of the first round, for a later one; without a head."""
+    p, rnd = lm.Lm(slots=1 << 17).sized(10**9), np.random.default_rng(13)
+    text = " ".join(f"{x % 10**7:x}" for x in rnd.zipf(1.2, 900_000))[: 4 << 20]
+    weights = lm.frequency_start(np.ones((p.classes, p.members)), p) + rnd.normal(size=p.shape).astype(np.float32) / 4
+    none = np.zeros(0, np.int64)
+    value = weights, lm.Members(none.astype(np.uint64), none, none, none, p), lm.Head(none.astype(np.uint64), none, none, none), lm.Rest(none, none, none, p), np.zeros(p.slots, np.float32)
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda _: 0})())
+    monkeypatch.setattr(lm, "add_decisions", lambda *_: None)
+    docs, batch = Docs(), pa.RecordBatch.from_arrays([pa.array([text[lo : lo + 4096] for lo in range(0, len(text), 4096)])], names=["text"])
+    lm._round(docs, type("Sent", (), {"value": value}), p)
+    lm.T._powers.clear()
+    tracemalloc.start()
+    for _ in docs.run(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    assert peak < 120
